@@ -7,7 +7,7 @@ and makes for each record a WARC record with a record id (a UUID from the URL, d
 and SHA-1 digests. Of records with equal payloads of at least `min_bytes` bytes the one with the largest row number is a
 response; the others are revisits that refer to it and carry its HTTP headers, with the payload's length, but no payload.
 
-Archives are written by Spark's own text writer into the folder that all executors share, some `segment_bytes` to a file,
+Archives are written, gzipped, by Spark's own text writer into the folder that all executors share, some `segment_bytes` to a file,
 and read by its binary reader; nothing is written by tasks themselves. Copies are found by digest: only
 (digest, row) pairs are grouped, and a digest of a third of all rows is counted before the shuffle.
 
@@ -20,6 +20,7 @@ and is all responses. An empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -178,7 +179,7 @@ def convert(pages: DataFrame, min_bytes: int = MIN_BYTES, segment_bytes: int = S
     folder = new_path(pages.sparkSession, "warc")
     segments = rows.select("page_id", "url", "payload", "refers").mapInArrow(run, "records binary").select(F.col("records").cast("string").alias("value"))
     # a record ends with two line ends; the writer puts in the last ones of each file
-    segments.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", 1).text(folder)
+    segments.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", 1).option("compression", "gzip").text(folder)
     return folder
 
 
@@ -192,7 +193,7 @@ def read_archives(spark, folder: str) -> DataFrame:
         for batch in batches:
             for data in batch.column(0):
                 rows = []
-                for warc, http, payload in read_warc(data.as_py()):
+                for warc, http, payload in read_warc(gzip.decompress(data.as_py())):
                     n = int(http["Content-Length"])
                     digest = base64.b32decode(warc["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
                     if warc["WARC-Type"] == "response" and (len(payload) != n or hashlib.sha1(payload).hexdigest() != digest):
