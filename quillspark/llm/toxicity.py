@@ -28,7 +28,7 @@ from .common import table
 from .labelled import held_out, sample
 from .words import ALNUM, Words, mix, parts
 
-PER_CLASS = 1500
+PER_CLASS = 1000
 PER_TEXT = 16
 WINDOW, STEP = 32, 16
 WORD_ROWS, CHAR_ROWS = 1 << 13, 1 << 13

@@ -1,11 +1,12 @@
 """Embedding near-dedup with an inverted multi-index.
 
 Unit vectors are cut in two halves, each half has a codebook of its own, and the pairs of codewords form a grid of cells.
-Every vector lives in the cell of its nearest codewords. Two unit vectors of cosine c are sqrt(2 - 2c) apart, so a
-neighbour's half lies across the plane between two codewords only if the vector's own half is that near to the plane. The
-multi-sequence traversal visits cells by the sum of the two halves' squared plane distances, nearest first, and stops
-where `recall` of that squared radius is used up; at recall 1 no neighbour can be outside the visited cells. Cosines of the
-vector and all vectors that live in a visited cell, with the same label, decide in double precision.
+Every vector lives in the cell of its nearest codewords. Two unit vectors of cosine c are delta = sqrt(2 - 2c) apart, and a
+neighbour's half lies beyond the plane between two codewords only if the vector's half is near the plane: the step along
+the plane's normal is about normal, with deviation delta / sqrt(dimensions). The multi-sequence traversal visits cells
+by the sum of the two halves' squared plane distances, nearest first, until the distance of the normal quantile of the
+target recall is used up. Cosines of the vector and all vectors that live in a visited cell, with the same label, decide in
+double precision. A link that only one side visits counts for both. Tests hold the recall against brute force.
 
 Codebooks are fitted to a sample of at most `sample` distinct vectors, the smallest by a hash. All distinct vectors of a
 label enter once with their count. Cells that are home to more than `tile` vectors are cut in tiles. From a cell go
@@ -19,7 +20,9 @@ one vec_id count as separate vectors; an empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,7 @@ from .common import components, shuffle_parts, table, written
 
 COSINE = 0.98
 SAMPLE = 20_000
-RECALL = 1.0
+RECALL = 0.997
 TILE = 20_000
 
 
@@ -56,6 +59,12 @@ def plane_distances(half: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray,
     return home, np.maximum(away, 0) ** 2
 
 
+def reach(cosine: float, recall: float, size: int) -> float:
+    """Squared plane distance within which cells are visited."""
+    z = NormalDist().inv_cdf((1 + min(recall, 1 - 1e-12)) / 2)
+    return (2 - 2 * cosine) * min(1.0, z * z / size) + 1e-12
+
+
 def traversal(one: np.ndarray, two: np.ndarray, radius: float) -> list[tuple[int, int]]:
     """Multi-sequence traversal: pairs (i, j) by one[i] + two[j], nearest first, while the sum is at most radius."""
     a, b = np.argsort(one, kind="stable"), np.argsort(two, kind="stable")
@@ -70,9 +79,9 @@ def traversal(one: np.ndarray, two: np.ndarray, radius: float) -> list[tuple[int
     return out
 
 
-def spread(groups: DataFrame, books: dict[int, tuple[np.ndarray, np.ndarray]], radius: float) -> DataFrame:
-    """(label, size, cell, home, rep, n, unit): a row for the cell each vector lives in and a row for each it visits."""
-    schema = "label string, size int, cell bigint, home boolean, rep bigint, n bigint, unit binary"
+def spread(groups: DataFrame, books: dict[int, tuple[np.ndarray, np.ndarray]], cosine: float, recall: float) -> DataFrame:
+    """(label, size, cell, home, rep, n, own_cell, unit): a row for the cell each vector lives in and a row for each it visits."""
+    schema = "label string, size int, cell bigint, home boolean, rep bigint, n bigint, own_cell bigint, unit binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,49 +97,54 @@ def spread(groups: DataFrame, books: dict[int, tuple[np.ndarray, np.ndarray]], r
                 if size in books:
                     one, two = books[size]
                     (h1, d1), (h2, d2) = plane_distances(unit[:, : size // 2], one), plane_distances(unit[:, size // 2 :], two)
-                    visits = [traversal(x, y, radius) for x, y in zip(d1, d2, strict=True)]
+                    visits = [traversal(x, y, reach(cosine, recall, size)) for x, y in zip(d1, d2, strict=True)]
                     homes, wide = h1 * len(two) + h2, len(two)
                 else:
                     visits, homes, wide = [[(0, 0)]] * len(of), np.zeros(len(of), np.int64), 1
                 for k, i in enumerate(of.tolist()):
-                    rows.append((labels[i], size, int(homes[k]), True, reps[i], ns[i], blobs[k]))
-                    rows += [(labels[i], size, a * wide + b, False, reps[i], ns[i], blobs[k]) for a, b in visits[k]]
+                    rows.append((labels[i], size, int(homes[k]), True, reps[i], ns[i], int(homes[k]), blobs[k]))
+                    rows += [(labels[i], size, a * wide + b, False, reps[i], ns[i], int(homes[k]), blobs[k]) for a, b in visits[k]]
             for at in range(0, len(rows), 10_000):
-                types = (pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
+                types = (pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip(zip(*rows[at : at + 10_000], strict=True), types, strict=True)], ["label", "size", "cell", "home", "rep", "n", "unit"]
+                    [pa.array(x, t) for x, t in zip(zip(*rows[at : at + 10_000], strict=True), types, strict=True)], ["label", "size", "cell", "home", "rep", "n", "own_cell", "unit"]
                 )
 
     return groups.select("label", "vector", "rep", "n").mapInArrow(run, schema)
 
 
-def compare(home: np.ndarray, rep: np.ndarray, n: np.ndarray, unit: np.ndarray, cosine: float, most: int = 1024) -> tuple[list, list]:
-    """One cell: ((rep, linked rows) of visitors, (a, b) links that connect what the cell's links connect)."""
+def compare(home: np.ndarray, rep: np.ndarray, n: np.ndarray, own: np.ndarray, unit: np.ndarray, book: tuple | None, cosine: float, radius: float, most: int = 1024) -> tuple[list, list]:
+    """One cell: ((rep, linked rows) of what is linked, (a, b) links that connect what the cell's links connect)."""
     h, v = np.flatnonzero(home), np.flatnonzero(~home)
-    counts, edges = np.zeros(len(v), np.int64), []
+    counts, edges, half = np.zeros(len(home), np.int64), [], unit.shape[1] // 2
+    if book is not None:  # squared plane distances of those at home, to tell which visitors' cells they visit
+        one, two = (plane_distances(x, y)[1] for x, y in ((unit[h, :half], book[0]), (unit[h, half:], book[1])))
     for a in range(0, len(v), most):
         va = v[a : a + most]
         for b in range(0, len(h), most):
             hb = h[b : b + most]
             close = (unit[va] @ unit[hb].T >= cosine) & (rep[va][:, None] != rep[hb])
-            counts[a : a + most] += close @ n[hb]
-            own, other = np.flatnonzero(close.any(1)), np.flatnonzero(close.any(0))
-            if not len(own):
+            x, y = np.nonzero(close)
+            if not len(x):
                 continue
-            x, y = np.nonzero(close[np.ix_(own, other)])
-            low_v, low_h = rep[va[own]].copy(), rep[hb[other]].copy()
+            np.add.at(counts, va[x], n[hb[y]])
+            if book is not None:
+                cell = own[va[x]]
+                missed = one[b + y, cell // len(book[1])] + two[b + y, cell % len(book[1])] > radius
+                np.add.at(counts, hb[y[missed]], n[va[x[missed]]])
+            low_v, low_h = rep[va].copy(), rep[hb].copy()
             while True:  # smallest reachable within the block
                 before = low_v.sum(), low_h.sum()
                 np.minimum.at(low_h, y, low_v[x])
                 np.minimum.at(low_v, x, low_h[y])
                 if before == (low_v.sum(), low_h.sum()):
                     break
-            edges += [(rep[va[own]], low_v), (rep[hb[other]], low_h)]
+            edges += [(rep[va], low_v), (rep[hb], low_h)]
     some = counts > 0
-    return [(rep[v[some]], counts[some])], edges
+    return [(rep[some], counts[some])], edges
 
 
-def met(sent: DataFrame, cosine: float, tile: int) -> DataFrame:
+def met(sent: DataFrame, books: dict, cosine: float, recall: float, tile: int) -> DataFrame:
     """(a, b, n): links have b, counts have n."""
     spark = sent.sparkSession
     parts, key = shuffle_parts(spark), ["label", "size", "cell"]
@@ -143,7 +157,7 @@ def met(sent: DataFrame, cosine: float, tile: int) -> DataFrame:
         sent = sent.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         sent = sent.withColumn("part", F.when(F.col("home"), F.col("own") * F.col("tiles") + F.col("other")).otherwise(F.col("other") * F.col("tiles") + F.col("own")))
     group = F.xxhash64(*key, "part").alias("cell_group")
-    dealt = sent.select(group, *key, "part", "home", "rep", "n", "unit").repartition(parts, "cell_group").sortWithinPartitions("cell_group", *key, "part")
+    dealt = sent.select(group, *key, "part", "home", "rep", "n", "own_cell", "unit").repartition(parts, "cell_group").sortWithinPartitions("cell_group", *key, "part")
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         held, last = [], None
@@ -167,7 +181,8 @@ def met(sent: DataFrame, cosine: float, tile: int) -> DataFrame:
             if not home.any() or home.all() or len(home) < 3:
                 continue
             unit = np.frombuffer(b"".join(t["unit"].to_pylist()), np.float64).reshape(len(home), -1)
-            counts, edges = compare(home, t["rep"].to_numpy(), t["n"].to_numpy(), unit, cosine)
+            size = unit.shape[1]
+            counts, edges = compare(home, *(t[c].to_numpy() for c in ("rep", "n", "own_cell")), unit, books.get(size), cosine, reach(cosine, recall, size))
             for a, n in counts:
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64()), pa.array(n)], ["a", "b", "n"])
             for a, b in edges:
@@ -193,7 +208,7 @@ def dedup_vectors(rows: DataFrame, cosine: float = COSINE, codewords: int | None
         unit /= np.sqrt((unit**2).sum(1))[:, None]
         if size >= 2:
             books[size] = codebook(unit[:, : size // 2], k), codebook(unit[:, size // 2 :], k)
-    found = written(met(spread(groups, books, recall * (2 - 2 * cosine) + 1e-9), cosine, tile), "met")
+    found = written(met(spread(groups, books, cosine, recall), books, cosine, recall, tile), "met")
     linked = found.where("n is not null").groupBy("a").agg(F.sum("n").alias("others"))
     joined = components(found.where("b is not null").select("a", "b"))
     classes = groups.join(linked, groups.rep == linked.a, "left").join(joined, groups.rep == joined.node, "left")
