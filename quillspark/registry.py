@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-FLAGSHIP = ""
+from .operators import analytics, curation, graph, retrieval, similarity, telemetry, text  # noqa: F401  each adds its queries
+from .plans.named import QUERIES, SQL
+from .sources import files  # noqa: F401
+from .streaming import live  # noqa: F401
+
+FLAGSHIP = "retrieve_hybrid"
 
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
