@@ -49,9 +49,12 @@ def counts(texts: list[bytes]) -> np.ndarray:
     raw = CLASS[np.frombuffer(END.join([*texts, b""]), np.uint8)]
     doc = np.repeat(np.arange(len(texts)), lengths + len(END))
     term = _COLUMN[(raw[:-2] << 12) | (raw[1:-1] << 6) | raw[2:]]
-    n = doc[: len(term)] * TERMS
-    n += term
-    out = np.bincount(n, minlength=len(texts) * TERMS).reshape(-1, TERMS).astype(np.float32)
+    own = np.ones(len(doc), bool)  # not runs that start in what parts the texts
+    ends = np.cumsum(lengths + len(END))
+    for k in range(1, len(END) + 1):
+        own[ends - k] = False
+    own = own[: len(term)]
+    out = np.bincount(doc[: len(term)][own] * TERMS + term[own], minlength=len(texts) * TERMS).reshape(-1, TERMS).astype(np.float32)
     w = Words(texts)
     same = np.zeros(len(w.doc), bool)
     same[1:] = (w.hash[1:] == w.hash[:-1]) & (w.doc[1:] == w.doc[:-1])
@@ -112,6 +115,7 @@ def features(rows: DataFrame) -> list[tuple[np.ndarray, int]]:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     got = features(sample(docs, labels, "quality", MOD, REST, per_class))
+    got.sort(key=lambda r: (r[1], r[0].tobytes()))  # the order in which tasks end must not matter
     x = np.stack([r[0] for r in got]) if got else np.zeros((0, TERMS + REPEATS), np.float32)
     return Model(x, np.array([r[1] for r in got]))
 

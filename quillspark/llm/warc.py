@@ -200,7 +200,8 @@ def read_archives(spark, folder: str) -> DataFrame:
                         raise ValueError(f"the payload of {warc['WARC-Record-ID']} is not whole")
                     row, refers = http.get(ROW), warc.get(REFERS)
                     rows.append((row and int(row), warc["WARC-Target-URI"], warc["WARC-Type"], warc["WARC-Record-ID"], n, digest, refers and int(refers)))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     files = spark.read.format("binaryFile").load(folder).select("content")
     return files.mapInArrow(run, "row bigint, url string, record_type string, record_id string, payload_bytes bigint, payload_digest string, refers_to bigint")
