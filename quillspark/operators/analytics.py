@@ -31,8 +31,8 @@ grouped("agg_entity_timeline", "orders", {"o_custkey": "o_custkey"}, {"first_ord
 grouped("agg_decades", "documents", {"decade": "floor((1995 + doc_id % 30) / 10) * 10"}, {"n": "count(*)", "chars": "sum(n_chars)"}, "select ((1995 + doc_id % 30) // 10) * 10 as decade, count(*) as n, sum(n_chars)::bigint as chars from documents group by all")
 grouped("agg_edges", "lineitem", {"cause": "l_suppkey", "effect": "l_partkey"}, {"weight": "round(avg(l_discount), 6)", "evidence": "count(*)", "kinds": "count(distinct l_returnflag)"},
         "select l_suppkey as cause, l_partkey as effect, round(avg(l_discount), 6) as weight, count(*) as evidence, count(distinct l_returnflag) as kinds from lineitem group by all")
-grouped("agg_costs", "conversations", {"role": "role"}, {"calls": "count(*)", "tokens": "sum(length(text)) / 4.0", "cost": "round(sum(length(text)) / 4.0 / 1000 * 0.002, 4)"},
-        "select role, count(*) as calls, sum(len(text)) / 4.0::double as tokens, round(sum(len(text)) / 4.0 / 1000 * 0.002, 4)::double as cost from conversations group by all")
+grouped("agg_costs", "conversations", {"role": "role"}, {"calls": "count(*)", "tokens": "sum(length(text)) / 4", "cost": "round(sum(length(text)) / 4 / 1000 * 0.002D, 4)"},
+        "select role, count(*) as calls, sum(len(text)) / 4::double as tokens, round(sum(len(text)) / 4::double / 1000 * 0.002::double, 4) as cost from conversations group by all")
 grouped("agg_feedback", "conversations", {"conv_id": "conv_id"}, {"up": "sum(case when turn % 2 = 0 then 1 else 0 end)", "down": "sum(case when turn % 2 = 1 then 1 else 0 end)"},
         "select conv_id, sum(case when turn % 2 = 0 then 1 else 0 end)::bigint as up, sum(case when turn % 2 = 1 then 1 else 0 end)::bigint as down from conversations group by all having sum(case when turn % 2 = 0 then 1 else 0 end) > sum(case when turn % 2 = 1 then 1 else 0 end)", "up > down")
 grouped("agg_cube_sales", "orders", {"status": "o_orderstatus"}, {"n": "count(*)", "buyers": "count(distinct o_custkey)"}, "select o_orderstatus as status, count(*) as n, count(distinct o_custkey) as buyers from orders group by all")
@@ -87,7 +87,7 @@ def agg_rank_stats(spark, folder):
     return s.select("event_type", "n", "mean", "median", "least", "most", F.when(F.col("n") > 20, F.col("p95")).alias("p95"))
 
 
-@named("agg_balance", """with c as (select o_orderpriority as topic, count(*) as n from orders group by 1) select topic, n, row_number() over (order by n desc, topic) as top, row_number() over (order by n, topic) as bottom, n < 0.5 * avg(n) over () as under from c""")
+@named("agg_balance", """with c as (select o_orderpriority as topic, count(*) as n from orders group by 1) select topic, n, row_number() over (order by n desc, topic)::int as top, row_number() over (order by n, topic)::int as bottom, n < 0.5 * avg(n) over () as under from c""")
 def agg_balance(spark, folder):
     c = table(spark, folder, "orders").groupBy(F.col("o_orderpriority").alias("topic")).agg(F.count("*").alias("n"))  # a few rows
     return c.select("topic", "n", F.row_number().over(Window.orderBy(F.desc("n"), "topic")).alias("top"), F.row_number().over(Window.orderBy("n", "topic")).alias("bottom"), (F.col("n") < 0.5 * F.avg("n").over(Window.partitionBy())).alias("under"))

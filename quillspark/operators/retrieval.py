@@ -41,7 +41,7 @@ _BM25 = """q0 as (select item_id, unnest(regexp_extract_all(lower(text), '[a-z0-
     score as (select item_id, doc_id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / mean))) as score from tf join f using (token) join q using (token), s group by all)"""
 
 
-@named("retrieve_bm25", f"""with {_BM25} select item_id, doc_id, rank, round(score, 6) as score from (select *, row_number() over (partition by item_id order by round(score, 6) desc, doc_id) as rank from score) where rank <= 10""")
+@named("retrieve_bm25", f"""with {_BM25} select item_id, doc_id, rank::int as rank, round(score, 6) as score from (select *, row_number() over (partition by item_id order by round(score, 6) desc, doc_id) as rank from score) where rank <= 10""")
 def retrieve_bm25(spark, folder):
     """Ten best documents for each benchmark item, by corpus-wide BM25."""
     scored = bm25(table(spark, folder, "documents"), query_tokens(table(spark, folder, "benchmark"))).withColumn("score", F.round("score", 6))
@@ -55,7 +55,7 @@ def retrieve_bm25(spark, folder):
     boosted as (select item_id, doc_id, source, least(1, greatest(0, case when hi - lo <= 1e-9 then 0.5 else (score - lo) / (hi - lo) end
         + case when quality = 1 then 0.06 when quality = 0 then -0.02 else 0 end + case when toxic = 1 then -0.03 else 0 end)) as final from norm join documents using (doc_id) left join labels using (doc_id)),
     ranked as (select *, row_number() over (partition by item_id order by round(final, 6) desc, doc_id) as r from boosted), fam as (select *, row_number() over (partition by item_id, source order by r) as f from ranked)
-    select item_id, doc_id, round(final, 6) as score, rank from (select *, row_number() over (partition by item_id order by f > 2, r) as rank from fam) where rank <= 12""",
+    select item_id, doc_id, round(final, 6) as score, rank::int as rank from (select *, row_number() over (partition by item_id order by f > 2, r) as rank from fam) where rank <= 12""",
 )
 def retrieve_hybrid(spark, folder):
     """Lexical pool of 60, min-max normalised, boosts by tier and stage, at most two of a family before the rest, top 12."""
@@ -105,10 +105,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, block: int = 5000) -> D
         held.append(row)
         if len(held) == block:
             flush()
-    if held or out is None:
-        held = held or [(0, [0.0])][:0]
-        if held:
-            flush()
+    if held:
+        flush()
     if out is None:
         return spark.createDataFrame([], "query_id bigint, vec_id bigint, cosine double, rank int")
     out = out.where("query_id <> vec_id").withColumn("cosine", F.round("cosine", 6))
@@ -118,7 +116,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, block: int = 5000) -> D
 @named(
     "retrieve_nearest",
     """with n as (select q.vec_id as query_id, r.vec_id, round(list_cosine_similarity(q.embedding::double[], r.embedding::double[]), 6) as cosine from embeddings q, embeddings r where q.vec_id % 20 = 0 and q.vec_id <> r.vec_id)
-    select query_id, vec_id, cosine, rank from (select *, row_number() over (partition by query_id order by cosine desc, vec_id) as rank from n) where rank <= 10""",
+    select query_id, vec_id, cosine, rank::int as rank from (select *, row_number() over (partition by query_id order by cosine desc, vec_id) as rank from n) where rank <= 10""",
 )
 def retrieve_nearest(spark, folder):
     rows = table(spark, folder, "embeddings")
