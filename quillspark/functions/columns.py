@@ -42,19 +42,28 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{2,}"), F.lit(0))
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with value worked out once a row, also where use() reads it inside a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
 def windows_of_words(text: Column, size: int, overlap: int) -> Column:
     """Runs of `size` words that start every size - overlap words; the last may be shorter."""
-    w = words(text)
-    starts = F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1)), F.lit(size - overlap))
-    return F.filter(F.transform(starts, lambda i: F.array_join(F.slice(w, i, size), " ")), lambda x: x != "")
+    def cut(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1)), F.lit(size - overlap))
+        return F.filter(F.transform(starts, lambda i: F.array_join(F.slice(w, i, size), " ")), lambda x: x != "")
+
+    return once(words(text), cut)
 
 
 def grams(parts: Column, n: int) -> Column:
     """Distinct runs of n parts, joined by spaces."""
-    last = F.size(parts) - n + 1
-    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(parts, i, n), " ")))).otherwise(
-        F.array().cast("array<string>")
-    )
+    def cut(w: Column) -> Column:
+        last = F.size(w) - n + 1
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(last >= 1, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+    return once(parts, cut)
 
 
 def redact(text: Column) -> Column:
