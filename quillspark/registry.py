@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from .operators import analytics, curation, graph, retrieval, similarity, telemetry, text  # noqa: F401  each adds its queries
+from .operators import analytics, curation, graph, network, ranking, retrieval, similarity, telemetry, text  # noqa: F401  each adds its queries
 from .plans.named import QUERIES, SQL
 from .sources import files  # noqa: F401
 from .streaming import live  # noqa: F401
