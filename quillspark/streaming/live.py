@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..plans.named import named
 from ..sources.files import scratch
@@ -32,3 +36,73 @@ def stream_clicks(spark, folder):
 def stream_distinct(spark, folder):
     """Each event once, however often it is delivered; state is bounded by the watermark."""
     return finished(events_stream(spark, folder).withWatermark("t", "1 day").dropDuplicatesWithinWatermark(["event_id"]).select("event_id"))
+
+
+def settled(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs an aggregation in update mode and reads the last value of each key: batches are written apart, numbered, and a rerun
+    of a batch replaces it."""
+    spark, at = df.sparkSession, scratch(df.sparkSession)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
+
+    df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{at}/rows")
+    values = [c for c in df.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
+    return last.select(*keys, "v.*")
+
+
+@named("stream_hourly", "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")
+def stream_hourly(spark, folder):
+    """Counts and sums by hour; the watermark lets go of hours that are a month past."""
+    e = events_stream(spark, folder).withWatermark("t", "31 days").groupBy(F.window("t", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    start = F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start")
+    return settled(e.select(start, "event_type", "n", F.round("total", 4).alias("total")), ["start", "event_type"])
+
+
+def stateful(events: DataFrame, key: str, first: tuple, step) -> DataFrame:
+    """(key, event_id) of the events that pass. step(state, microseconds) gives the new state and whether the event passes; a key's
+    state is one tuple of whole numbers. A batch's events of a key are ordered in its task, three numbers each; maxFilesPerTrigger
+    of the source bounds a batch."""
+    state_type = ", ".join(f"s{i} bigint" for i in range(len(first)))
+
+    def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
+        now, passed = tuple(state.get) if state.exists else first, []
+        for at, event in zip(rows["at"].tolist(), rows["event_id"].tolist(), strict=True):
+            now, ok = step(now, at)
+            if ok:
+                passed.append(event)
+        state.update(now)
+        yield pd.DataFrame({key: group[0], "event_id": pd.Series(passed, dtype="int64")})
+
+    sent = events.select(key, "event_id", F.unix_micros("t").alias("at"))
+    return sent.groupBy(key).applyInPandasWithState(run, f"{key} bigint, event_id bigint", state_type, "append", GroupStateTimeout.NoTimeout)
+
+
+@named("stream_cooldown", """with recursive e as (select user_id, event_id, epoch_us(ts) as us, row_number() over (partition by user_id order by ts, event_id) as i from events where event_type = 'error'),
+    r as (select user_id, event_id, i, us as last, true as ok from e where i = 1 union all
+    select e.user_id, e.event_id, e.i, case when e.us - r.last >= 172800000000 then e.us else r.last end, e.us - r.last >= 172800000000 from r join e on e.user_id = r.user_id and e.i = r.i + 1)
+    select user_id, event_id from r where ok""")
+def stream_cooldown(spark, folder, wait: int = 172_800_000_000):
+    """Alerts of a user, but none within two days of the last one that went out."""
+    def step(now: tuple, at: int) -> tuple:
+        quiet = now[0] >= 0 and at - now[0] < wait
+        return (now if quiet else (at,)), not quiet
+
+    return finished(stateful(events_stream(spark, folder).where("event_type = 'error'"), "user_id", (-1,), step))
+
+
+@named("stream_bucket", """with recursive e as (select user_id, event_id, epoch_us(ts) as us, row_number() over (partition by user_id order by ts, event_id) as i from events),
+    s as (select user_id, event_id, i, us, 259200000000 - 86400000000 as held, true as ok from e where i = 1 union all
+    select user_id, event_id, i, us, case when held >= 86400000000 then held - 86400000000 else held end, held >= 86400000000 from (select e.user_id, e.event_id, e.i, e.us, least(259200000000, s.held + e.us - s.us) as held from s join e on e.user_id = s.user_id and e.i = s.i + 1))
+    select user_id, event_id from s where ok""")
+def stream_bucket(spark, folder, every: int = 86_400_000_000, burst: int = 3):
+    """A token bucket per user: one token a day, three at most, each event that passes takes one."""
+    def step(now: tuple, at: int) -> tuple:
+        held = min(burst * every, now[0] + at - now[1]) if now[1] >= 0 else burst * every
+        ok = held >= every
+        return (held - every if ok else held, at), ok
+
+    return finished(stateful(events_stream(spark, folder), "user_id", (0, -1), step))
