@@ -56,6 +56,61 @@ def windows_of_words(text: Column, size: int, overlap: int) -> Column:
     return once(words(text), cut)
 
 
+def paragraphs(text: Column, boundary: str) -> Column:
+    ends = " \t\n\r\f\x0b"
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), boundary), lambda p: F.btrim(p, F.lit(ends))), lambda p: p != "")
+
+
+def chunks_by_topic(parts: Column, size: int, overlap: int, tiny: int = 100, alike: float = 0.15, split_first: bool = False) -> Column:
+    """Paragraphs in chunks of about `size` characters. A chunk ends where the next paragraph would overfill it, or where it is a third full
+    and the next shares few words with the last; the last paragraph is carried over if it is short and alike. A paragraph over the size is
+    cut in overlapping windows, the first one only if `split_first`. Chunks under `tiny` characters join the one before.
+
+    The fold runs over lengths and yes-or-no shifts only: it gives ranges of paragraphs, and texts are joined once, after it."""
+    n = F.size(parts)
+    lens = F.transform(parts, F.length)
+    sets = F.transform(parts, lambda p: F.array_distinct(F.regexp_extract_all(F.lower(p), F.lit(r"[\p{L}\p{N}_]{3,}"), F.lit(0))))
+    likeness = lambda a, b: F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1))
+    shifts = once(sets, lambda s: F.transform(s, lambda w, i: F.when(i > 0, likeness(w, F.get(s, i - 1)) < alike).otherwise(F.lit(False))))
+    pair = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
+    state = lambda cuts, a, length: F.struct(cuts.alias("cuts"), a.cast("int").alias("a"), length.cast("int").alias("length"))
+
+    def fold(given: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            here, last, shift = F.get(given["lens"], i - 1), F.get(given["lens"], i - 2), F.get(given["shifts"], i - 1)
+            done = F.concat(s["cuts"], F.array(pair(s["a"], i - 1)))
+            over = (s["length"] + here + 2 > size) | (shift & (s["length"] > size // 3))
+            return (
+                F.when(here > size, state(F.concat(F.when(s["a"] > 0, done).otherwise(s["cuts"]), F.array(pair(i, i))), F.lit(0), F.lit(0)))
+                .when(s["a"] == 0, state(s["cuts"], i, here))
+                .when(over & (last < overlap) & ~shift, state(done, i - 1, last + here + 2))
+                .when(over, state(done, i, here))
+                .otherwise(state(s["cuts"], s["a"], s["length"] + here + 2))
+            )
+
+        rest = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: i > 1)
+        start = state(F.array().cast("array<struct<a:int,b:int>>"), F.lit(1), F.get(given["lens"], F.lit(0)))
+        return F.aggregate(rest, start, step, lambda s: F.when(s["a"] > 0, F.concat(s["cuts"], F.array(pair(s["a"], n)))).otherwise(s["cuts"]))
+
+    def texts(cut: Column) -> Column:
+        joined = F.array_join(F.slice(parts, cut["a"], cut["b"] - cut["a"] + 1), "\n\n")
+        long = F.get(parts, cut["a"] - 1)
+        starts = F.sequence(F.lit(0), F.ceil(F.greatest(F.length(long) - size, F.lit(0)) / (size - overlap)).cast("int"))
+        windows = F.transform(starts, lambda k: F.substring(long, k * (size - overlap) + 1, F.lit(size)))
+        return F.when((F.length(long) > size) & ((cut["a"] > 1) | F.lit(split_first)), windows).otherwise(F.array(joined))
+
+    def merged(raw: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(1), F.size(raw)), lambda k: (k == 1) | (F.length(F.get(raw, k - 1)) >= tiny))
+        return once(heads, lambda h: F.transform(h, lambda k, i: F.array_join(F.slice(raw, k, F.coalesce(F.get(h, i + 1), F.size(raw) + 1) - k), "\n\n")))
+
+    cuts = once(F.struct(lens.alias("lens"), shifts.alias("shifts")), fold)
+    whole = F.array(F.array_join(parts, "\n\n"))
+    short = F.aggregate(lens, F.lit(0), lambda s, x: s + x) <= size
+    good = lambda t: (F.length(F.btrim(t)) >= 20) & (F.size(words(t)) >= 3) & (F.length(F.regexp_replace(t, r"[^\p{L}]", "")) >= 0.2 * F.length(t))
+    long = F.filter(once(F.flatten(F.transform(cuts, texts)), merged), good)
+    return F.when(n == 0, F.array().cast("array<string>")).when(short, whole).otherwise(long)
+
+
 def grams(parts: Column, n: int) -> Column:
     """Distinct runs of n parts, joined by spaces."""
     def cut(w: Column) -> Column:

@@ -156,3 +156,26 @@ def text_repetition(spark, folder):
     """Sentences of 30 characters or more that a document holds three times or more."""
     s = table(spark, folder, "documents").select("doc_id", F.explode(F.split(F.lower("text"), r"[.!?\n]+")).alias("s")).select("doc_id", F.trim("s").alias("s"))
     return s.where(F.length("s") >= 30).groupBy("doc_id", F.md5("s").alias("sentence_md5")).agg(F.count("*").alias("n")).where("n >= 3")
+
+
+@named(
+    "chunk_topics",
+    r"""with recursive d as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda p: trim(p, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda p: p <> '') as p from documents),
+    w as (select *, list_transform(p, lambda x: list_distinct(regexp_extract_all(lower(x), '[\p{L}\p{N}_]{3,}'))) as w from d where list_sum(list_transform(p, lambda x: len(x))) > 1800),
+    s as (select doc_id, p, w, 1 as i, [[]]::varchar[][] as raw, p[1] as cur from w union all
+    select doc_id, p, w, i + 1, case when len(here) > 1800 then list_append(case when cur = '' then raw else list_append(raw, [cur]) end, list_transform(range(0, (ceil((len(here) - 1800) / 1550.0) + 1)::int), lambda k: substr(here, k * 1550 + 1, 1800)))
+    when cur <> '' and over then list_append(raw, [cur]) else raw end,
+    case when len(here) > 1800 then '' when cur = '' then here when over and len(p[i]) < 250 and not shift then p[i] || chr(10) || chr(10) || here when over then here else cur || chr(10) || chr(10) || here end
+    from (select *, len(cur) + len(here) + 2 > 1800 or (shift and len(cur) > 600) as over from (select *, p[i + 1] as here, len(list_intersect(w[i], w[i + 1])) / greatest(len(list_distinct(w[i] || w[i + 1])), 1) < 0.15 as shift from s where i < len(p)))),
+    r as (select doc_id, flatten(case when cur = '' then raw else list_append(raw, [cur]) end) as c from s where i = len(p)),
+    u as (select doc_id, unnest(c) as t, generate_subscripts(c, 1) as k from r), h as (select *, sum((k = 1 or len(t) >= 100)::int) over (partition by doc_id order by k) as g from u),
+    m as (select doc_id, g, string_agg(t, chr(10) || chr(10) order by k) as t from h group by all),
+    f as (select doc_id, t, row_number() over (partition by doc_id order by g) - 1 as chunk from m where len(trim(t)) >= 20 and len(list_filter(regexp_split_to_array(t, '[ \t\n\r\f\x0B]+'), lambda x: x <> '')) >= 3 and len(regexp_replace(t, '[^\p{L}]', '', 'g')) >= 0.2 * len(t)),
+    o as (select doc_id, array_to_string(p, chr(10) || chr(10)) as t, 0 as chunk from d where len(p) > 0 and list_sum(list_transform(p, lambda x: len(x))) <= 1800)
+    select doc_id, chunk::bigint as chunk, len(t)::bigint as n, md5(t) as chunk_md5 from (select doc_id, t, chunk from f union all select doc_id, t, chunk from o)""",
+)
+def chunk_topics(spark, folder, size: int = 1800, overlap: int = 250, boundary: str = "\n"):
+    """Chunks that end where the topic does; paragraphs are lines here."""
+    d = table(spark, folder, "documents").select("doc_id", C.paragraphs(F.col("text"), boundary).alias("p"))
+    c = d.select("doc_id", F.posexplode(C.chunks_by_topic(F.col("p"), size, overlap)).alias("chunk", "t"))
+    return c.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.length("t").cast("long").alias("n"), F.md5("t").alias("chunk_md5"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -61,24 +61,24 @@ def stream_hourly(spark, folder):
     return settled(e.select(start, "event_type", "n", F.round("total", 4).alias("total")), ["start", "event_type"])
 
 
-def stateful(events: DataFrame, key: str, first: tuple, step) -> DataFrame:
-    """(key, event_id) of the events that pass. step(state, microseconds) gives the new state and whether the event passes; a key's
-    state is one tuple of whole numbers. A batch's events of a key are ordered in its task, three numbers each; maxFilesPerTrigger
-    of the source bounds a batch."""
+def stateful(events: DataFrame, key: str, first: tuple, step, given: Column | None = None) -> DataFrame:
+    """(key, event_id, result) of the events that have a result. step(state, microseconds, given) gives the new state and a whole number,
+    or None for no result; a key's state is one tuple of whole numbers. A batch's events of a key are ordered in its task, three numbers
+    each; maxFilesPerTrigger of the source bounds a batch."""
     state_type = ", ".join(f"s{i} bigint" for i in range(len(first)))
 
     def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
-        now, passed = tuple(state.get) if state.exists else first, []
-        for at, event in zip(rows["at"].tolist(), rows["event_id"].tolist(), strict=True):
-            now, ok = step(now, at)
-            if ok:
-                passed.append(event)
+        now, found = tuple(state.get) if state.exists else first, []
+        for at, event, x in zip(rows["at"].tolist(), rows["event_id"].tolist(), rows["given"].tolist(), strict=True):
+            now, result = step(now, at, x)
+            if result is not None:
+                found.append((event, result))
         state.update(now)
-        yield pd.DataFrame({key: group[0], "event_id": pd.Series(passed, dtype="int64")})
+        yield pd.DataFrame(found, columns=["event_id", "result"], dtype="int64").assign(**{key: group[0]})[[key, "event_id", "result"]]
 
-    sent = events.select(key, "event_id", F.unix_micros("t").alias("at"))
-    return sent.groupBy(key).applyInPandasWithState(run, f"{key} bigint, event_id bigint", state_type, "append", GroupStateTimeout.NoTimeout)
+    sent = events.select(key, "event_id", F.unix_micros("t").alias("at"), (F.lit(0) if given is None else given).cast("long").alias("given"))
+    return sent.groupBy(key).applyInPandasWithState(run, f"{key} bigint, event_id bigint, result bigint", state_type, "append", GroupStateTimeout.NoTimeout)
 
 
 @named("stream_cooldown", """with recursive e as (select user_id, event_id, epoch_us(ts) as us, row_number() over (partition by user_id order by ts, event_id) as i from events where event_type = 'error'),
@@ -87,11 +87,11 @@ def stateful(events: DataFrame, key: str, first: tuple, step) -> DataFrame:
     select user_id, event_id from r where ok""")
 def stream_cooldown(spark, folder, wait: int = 172_800_000_000):
     """Alerts of a user, but none within two days of the last one that went out."""
-    def step(now: tuple, at: int) -> tuple:
+    def step(now: tuple, at: int, _: int) -> tuple:
         quiet = now[0] >= 0 and at - now[0] < wait
-        return (now if quiet else (at,)), not quiet
+        return (now, None) if quiet else ((at,), 1)
 
-    return finished(stateful(events_stream(spark, folder).where("event_type = 'error'"), "user_id", (-1,), step))
+    return finished(stateful(events_stream(spark, folder).where("event_type = 'error'"), "user_id", (-1,), step).drop("result"))
 
 
 @named("stream_bucket", """with recursive e as (select user_id, event_id, epoch_us(ts) as us, row_number() over (partition by user_id order by ts, event_id) as i from events),
@@ -100,9 +100,69 @@ def stream_cooldown(spark, folder, wait: int = 172_800_000_000):
     select user_id, event_id from s where ok""")
 def stream_bucket(spark, folder, every: int = 86_400_000_000, burst: int = 3):
     """A token bucket per user: one token a day, three at most, each event that passes takes one."""
-    def step(now: tuple, at: int) -> tuple:
+    def step(now: tuple, at: int, _: int) -> tuple:
         held = min(burst * every, now[0] + at - now[1]) if now[1] >= 0 else burst * every
-        ok = held >= every
-        return (held - every if ok else held, at), ok
-
-    return finished(stateful(events_stream(spark, folder), "user_id", (0, -1), step))
+        return ((held - every, at), 1) if held >= every else ((held, at), None)
+
+    return finished(stateful(events_stream(spark, folder), "user_id", (0, -1), step).drop("result"))
+
+
+REFUSED, CLOSED, OPEN, HALF_OPEN = range(4)
+
+
+@named("stream_breaker", """with recursive e as (select user_id, event_id, epoch_us(ts) as us, event_type = 'error' as failed, row_number() over (partition by user_id order by ts, event_id) as i from events),
+    s as (select user_id, null::bigint as event_id, 0::bigint as i, 0::bigint as result, 1::bigint as mode, -1::bigint as opened, -1::bigint as a, -1::bigint as b from (select distinct user_id from events) union all
+    select user_id, event_id, i, case when now = 2 then 0 when trips then 2 when heals then 1 else now end, case when trips then 2 when heals then 1 else now end, case when trips then us else opened end,
+    case when now = 2 then a when failed then us when heals then -1 else a end, case when now = 2 then b when failed then a when heals then -1 else b end
+    from (select *, now <> 2 and failed and b >= 0 and us - b < 172800000000 as trips, now = 3 and not failed as heals
+    from (select e.*, s.opened, s.a, s.b, case when s.mode = 2 and e.us - s.opened > 86400000000 then 3 else s.mode end as now from s join e on e.user_id = s.user_id and e.i = s.i + 1)))
+    select user_id, event_id, result as state from s where i > 0""")
+def stream_breaker(spark, folder, failures: int = 3, within: int = 172_800_000_000, cooldown: int = 86_400_000_000):
+    """A circuit breaker per user, errors being failures: what each event meets. 0: refused; else the state that it leaves, 1 closed, 2 open,
+    3 half open. So many failures in a span open it; after the cooldown one is let through, and a success closes it."""
+    def step(now: tuple, at: int, failed: int) -> tuple:
+        mode, opened, *recent = now
+        if mode == OPEN:
+            if at - opened <= cooldown:
+                return now, REFUSED
+            mode = HALF_OPEN
+        if failed:
+            if recent[-1] >= 0 and at - recent[-1] < within:
+                mode, opened = OPEN, at
+            recent = [at, *recent[:-1]]
+        elif mode == HALF_OPEN:
+            mode, recent = CLOSED, [-1] * len(recent)
+        return (mode, opened, *recent), mode
+
+    found = stateful(events_stream(spark, folder), "user_id", (CLOSED, -1, *[-1] * (failures - 1)), step, F.col("event_type") == "error")
+    return finished(found.withColumnRenamed("result", "state"))
+
+
+#: The grade of a review by what happened, and what each grade from 0 to 5 does to the ease, in hundredths.
+GRADES = {"error": 0, "view": 2, "click": 3, "signup": 4, "purchase": 5}
+EASE = (-80, -54, -32, -14, 0, 10)
+
+
+@named("stream_reviews", """with recursive e as (select user_id, event_id, case event_type when 'error' then 0 when 'view' then 2 when 'click' then 3 when 'signup' then 4 else 5 end as grade, row_number() over (partition by user_id order by ts, event_id) as i from events),
+    s as (select user_id, null::bigint as event_id, 0::bigint as i, 0::bigint as reps, 0::bigint as days, 250::bigint as ease from (select distinct user_id from events) union all
+    select e.user_id, e.event_id, e.i, case when grade >= 3 then reps + 1 else 0 end,
+    case when grade < 3 or reps = 0 then 1 when reps = 1 then 6 else least(36500, days * ease // 100 + (days * ease % 100 > 50 or (days * ease % 100 = 50 and days * ease // 100 % 2 = 1))::int) end,
+    greatest(130, ease + case grade when 0 then -80 when 2 then -32 when 3 then -14 when 4 then 0 else 10 end) from s join e on e.user_id = s.user_id and e.i = s.i + 1)
+    select user_id, event_id, days from s where i > 0""")
+def stream_reviews(spark, folder, longest: int = 36_500):
+    """Days until the next review, after each: 1, then 6, then times the ease, which each grade moves; a grade below 3 starts anew. Ease is
+    kept in hundredths, halves of days go to even, and a hundred years is the longest wait."""
+    def step(now: tuple, at: int, grade: int) -> tuple:
+        reps, days, ease = now
+        if grade < 3:
+            reps, days = 0, 1
+        else:
+            whole, part = divmod(days * ease, 100)
+            days = (1, 6)[reps] if reps < 2 else min(longest, whole + (part > 50 or (part == 50 and whole % 2 == 1)))
+            reps += 1
+        return (reps, days, max(130, ease + EASE[grade])), days
+
+    grade = F.lit(None)
+    for kind, g in GRADES.items():
+        grade = F.when(F.col("event_type") == kind, g).otherwise(grade)
+    return finished(stateful(events_stream(spark, folder), "user_id", (0, 0, 250), step, grade).withColumnRenamed("result", "days"))
