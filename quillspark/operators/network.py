@@ -169,3 +169,47 @@ def atlas_closest(spark, folder):
     centre = mean.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("p")).select("label", F.col("p.v").alias("q"))
     near = rows.join(centre, "label").select("label", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("cosine"))
     return near.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("cosine"), "vec_id"))).where("r <= 3").drop("r")
+
+
+def nearest(points: DataFrame) -> DataFrame:
+    """(label, id, other, distance): for each of points (label, id, x, y, z) the nearest of its label, exactly; ties go to the smallest id.
+
+    Equal points are one place, so copies meet each other without a search. Places are dealt to cells of a grid; what is found in
+    a place's own and the 26 cells around is the nearest if it is within a cell's side, and other places go on to a round with wider cells."""
+    at = ["label", "x", "y", "z"]
+    places = kept(points.groupBy(*at).agg(F.min("id").alias("first"), F.count("*").alias("n")))
+    copies = points.join(places.where("n > 1"), at)
+    twins = copies.where("id <> first").groupBy(*at).agg(F.min("id").alias("second"))
+    found = kept(copies.join(twins, at).select("label", "id", F.when(F.col("id") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("other"), F.lit(0.0).alias("distance")))
+    span = places.agg(*[F.max(c) - F.min(c) for c in "xyz"], F.count("*")).first()
+    if not span[3]:
+        return found
+    extent = max(*span[:3], 1e-9)
+    side, todo = extent / max(1.0, (span[3] / 4) ** (1 / 3)), kept(places.where("n = 1").select("label", F.col("first").alias("id"), "x", "y", "z"))
+    while not todo.isEmpty():
+        cell = lambda c: F.floor(F.col(c) / side)  # noqa: B023, E731
+        asked = todo
+        for c in "xyz":
+            asked = asked.withColumn(f"c{c}", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: cell(c) + d)))  # noqa: B023
+        held = places.select("label", F.col("first").alias("other"), *[F.col(c).alias(f"o{c}") for c in "xyz"], *[cell(c).alias(f"c{c}") for c in "xyz"])
+        far = F.expr("(x - ox) * (x - ox) + (y - oy) * (y - oy) + (z - oz) * (z - oz)")
+        best = asked.join(held, ["label", "cx", "cy", "cz"]).where("id <> other").groupBy("label", "id").agg(F.min(F.struct(far.alias("d"), "other")).alias("best"))
+        best = best.select("label", "id", "best.other", F.sqrt("best.d").alias("distance"))
+        last = side > extent
+        settled = kept(best if last else best.where(F.col("distance") < side))
+        found = found.union(settled)
+        if last:
+            break
+        todo, side = kept(todo.join(settled, ["label", "id"], "left_anti")), side * 4
+    return found
+
+
+@named("atlas_nearest", """with p as (select label, vec_id, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z from embeddings where label is not null and isfinite(embedding[1]) and isfinite(embedding[2]) and isfinite(embedding[3])),
+    d as (select a.label, a.vec_id, b.vec_id as other, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) as d from p a join p b on a.label = b.label and a.vec_id <> b.vec_id)
+    select label, vec_id, arg_min(other, {'d': d, 'other': other}) as other, round(1 / (sqrt(min(d)) + 0.01), 2) as weight from d group by all""")
+def atlas_nearest(spark, folder):
+    """An edge of the map from each point to the nearest of its label, heavier the nearer."""
+    fine = " and ".join(f"abs(embedding[{i}]) < double('infinity') and not isnan(embedding[{i}])" for i in range(3))
+    rows = table(spark, folder, "embeddings").where(f"label is not null and {fine}")
+    points = rows.select("label", F.col("vec_id").alias("id"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyz")])
+    return nearest(points).select("label", F.col("id").alias("vec_id"), "other", F.round(1 / (F.col("distance") + 0.01), 2).alias("weight"))

@@ -64,3 +64,16 @@ def events_props(spark, folder):
 def events_forecast(spark, folder):
     d = table(spark, folder, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("h")).agg(F.count("*").alias("c")).groupBy("event_type").agg(F.sum("c").alias("n"), F.count("*").alias("hours"))
     return d.select("event_type", "n", F.round(F.col("n") + F.col("n") / F.col("hours") * 24, 4).alias("tomorrow"))
+
+
+@named("events_chain", """with h as (select user_id, ts::date as day, ts, event_id, sha256(event_id || ',' || event_type || ',' || props) as h from events),
+    d as (select user_id, day, count(*) as n, list_reduce(list_prepend('', list(h order by ts, event_id)), lambda a, x: sha256(a || x)) as h from h group by all)
+    select user_id, sum(n)::bigint as n, list_reduce(list_prepend('', list(h order by day)), lambda a, x: sha256(a || x)) as head from d group by user_id""")
+def events_chain(spark, folder):
+    """The head of each user's chain of hashes: changing, losing or swapping any event changes it. Events are chained by day and days by
+    user, so days are folded in parallel and no list holds more than a user's events of one day."""
+    chained = lambda rows: F.aggregate(F.array_sort(rows), F.lit(""), lambda a, r: F.sha2(F.concat(a, r["h"]), 256))
+    h = F.sha2(F.concat_ws(",", "event_id", "event_type", "props"), 256)
+    e = table(spark, folder, "events").select("user_id", F.to_date("ts").alias("day"), F.struct("ts", "event_id", h.alias("h")).alias("row"))
+    days = e.groupBy("user_id", "day").agg(F.count("*").alias("n"), chained(F.collect_list("row")).alias("h"))
+    return days.groupBy("user_id").agg(F.sum("n").alias("n"), chained(F.collect_list(F.struct("day", "h"))).alias("head"))

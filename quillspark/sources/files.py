@@ -57,3 +57,26 @@ def source_datasets(spark, folder):
     """A top-10 report."""
     c, n = table(spark, folder, "customer"), table(spark, folder, "nation")
     return c.join(n, c.c_nationkey == n.n_nationkey).groupBy("n_name").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance")).orderBy(F.desc("n"), "n_name").limit(10)
+
+
+def read_bibtex(spark: SparkSession, path: str) -> DataFrame:
+    """(kind, key, fields) of BibTeX entries. Files are split where a line starts with @, so they are read in parallel. A value may hold
+    one level of braces, or be quoted or a bare word; names of fields are lower-cased, and what is no entry is left out."""
+    raw = spark.read.option("lineSep", "\n@").text(path).select(F.regexp_replace("value", "^@", "").alias("e"))
+    body = r"([A-Za-z][A-Za-z0-9_-]*)\s*=\s*(\{(?:[^{}]|\{[^{}]*\})*\}|\"[^\"]*\"|\w+)"
+    names, values = (F.regexp_extract_all("e", F.lit(body), F.lit(i)) for i in (1, 2))
+    values = F.transform(values, lambda v: F.trim(F.when(v.rlike(r'^[{"]'), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)))
+    rows = raw.where(F.col("e").rlike(r"^[A-Za-z]+\s*\{[^,}]+,"))
+    fields = F.map_from_entries(F.arrays_zip(F.transform(names, F.lower).alias("name"), values.alias("value")))
+    return rows.select(F.lower(F.regexp_extract("e", r"^([A-Za-z]+)", 1)).alias("kind"), F.trim(F.regexp_extract("e", r"^[A-Za-z]+\s*\{([^,}]+),", 1)).alias("key"), fields.alias("fields"))
+
+
+@named("source_bibtex", """select 'misc' as kind, 'part' || p_partkey as key, p_name as title, p_brand as first_author, 2 as n_authors, p_size::int as pages from part""")
+def source_bibtex(spark, folder):
+    """Parts written as bibliography entries of several lines, read back and parsed."""
+    at = scratch(spark)
+    entry = F.format_string("@Misc{part%d,\n  Title = {%s},\n  author = {%s and {%s}},\n  pages = \"%d\"\n}", "p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    table(spark, folder, "part").select(entry).write.text(at)
+    f = F.col("fields")
+    authors = F.split(f["author"], r"\s+and\s+")
+    return read_bibtex(spark, at).select("kind", "key", f["title"].alias("title"), authors[0].alias("first_author"), F.size(authors).alias("n_authors"), f["pages"].cast("int").alias("pages"))
