@@ -138,3 +138,48 @@ def join_not_indexed(spark, folder):
 def join_health(spark, folder):
     n = table(spark, folder, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"))
     return table(spark, folder, "supplier").join(n, F.col("s_suppkey") == F.col("l_suppkey"), "left").select("s_suppkey", "s_name", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+#: Price of a thousand tokens by who wrote them.
+PRICES = {"user": 0.003, "assistant": 0.015}
+
+
+@named("agg_cost", """with t as (select conv_id, role, ceil(len(coalesce(text, '')) / 4.0)::bigint as n from conversations), c as (select role, count(*) as turns, sum(n)::bigint as tokens from t group by role)
+    select role, turns, tokens, round(tokens / 1000.0::double * case role when 'user' then 0.003 when 'assistant' then 0.015 else 0 end::double, 6) as cost from c""")
+def agg_cost(spark, folder):
+    """Turns, tokens and cost by role; a role without a price is free."""
+    price = F.lit(0.0)
+    for role, p in PRICES.items():
+        price = F.when(F.col("role") == role, p).otherwise(price)
+    n = F.ceil(F.length(F.coalesce("text", F.lit(""))) / 4.0)
+    c = table(spark, folder, "conversations").groupBy("role").agg(F.count("*").alias("turns"), F.sum(n).alias("tokens"))
+    return c.select("role", "turns", "tokens", F.round(F.col("tokens") / 1000.0 * price, 6).alias("cost"))
+
+
+@named("agg_first_seen", """select l_suppkey, min(l_shipdate)::date::varchar as first_seen, arg_min(l_orderkey, {'d': l_shipdate, 'o': l_orderkey}) as first_order, max(l_shipdate)::date::varchar as last_seen, count(*) as n from lineitem group by 1""")
+def agg_first_seen(spark, folder):
+    """When each supplier is first and last seen, and in which order first; ties go to the smallest order."""
+    day = F.col("l_shipdate").cast("date").cast("string")
+    first = F.min(F.struct("l_shipdate", "l_orderkey"))
+    g = table(spark, folder, "lineitem").groupBy("l_suppkey").agg(F.min(day).alias("first_seen"), first.alias("f"), F.max(day).alias("last_seen"), F.count("*").alias("n"))
+    return g.select("l_suppkey", "first_seen", F.col("f.l_orderkey").alias("first_order"), "last_seen", "n")
+
+
+@named("agg_merged_records", """select p_name, arg_min(p_brand, p_partkey) as brand, string_agg(distinct p_type, ';' order by p_type) as types, count(*) as mentions, round(max(p_retailprice), 2) as price from part group by p_name""")
+def agg_merged_records(spark, folder):
+    """Records of one name as one: the first one's brand, all types, and how often the name is met. Types are few."""
+    first, types = F.min_by("p_brand", "p_partkey"), F.array_join(F.array_sort(F.collect_set("p_type")), ";")
+    return table(spark, folder, "part").groupBy("p_name").agg(first.alias("brand"), types.alias("types"), F.count("*").alias("mentions"), F.round(F.max("p_retailprice"), 2).alias("price"))
+
+
+@named("retrieve_page", "select o_orderkey, o_custkey, round(o_totalprice, 2) as price from orders order by o_totalprice desc, o_orderkey limit 50 offset 100")
+def retrieve_page(spark, folder, page: int = 3, per_page: int = 50):
+    """One page of a sorted listing."""
+    o = table(spark, folder, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").offset((page - 1) * per_page).limit(per_page)
+    return o.select("o_orderkey", "o_custkey", F.round("o_totalprice", 2).alias("price"))
+
+
+@named("events_recent", "select event_type, count(*) as n, max(event_id) as latest from (select * from events order by ts desc, event_id desc limit 500) group by event_type")
+def events_recent(spark, folder, most: int = 500):
+    """What the last 500 events were; a top-k, so no full sort."""
+    return table(spark, folder, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(most).groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("latest"))

@@ -166,3 +166,48 @@ def stream_reviews(spark, folder, longest: int = 36_500):
     for kind, g in GRADES.items():
         grade = F.when(F.col("event_type") == kind, g).otherwise(grade)
     return finished(stateful(events_stream(spark, folder), "user_id", (0, 0, 250), step, grade).withColumnRenamed("result", "days"))
+
+
+@named("stream_due", """with recursive e as (select user_id, ts, case event_type when 'error' then 0 when 'view' then 2 when 'click' then 3 when 'signup' then 4 else 5 end as grade, row_number() over (partition by user_id order by ts, event_id) as i from events),
+    s as (select user_id, null::timestamp as ts, 0::bigint as i, 0::bigint as reps, 0::bigint as days, 250::bigint as ease from (select distinct user_id from events) union all
+    select e.user_id, e.ts, e.i, case when grade >= 3 then reps + 1 else 0 end,
+    case when grade < 3 or reps = 0 then 1 when reps = 1 then 6 else least(36500, days * ease // 100 + (days * ease % 100 > 50 or (days * ease % 100 = 50 and days * ease // 100 % 2 = 1))::int) end,
+    greatest(130, ease + case grade when 0 then -80 when 2 then -32 when 3 then -14 when 4 then 0 else 10 end) from s join e on e.user_id = s.user_id and e.i = s.i + 1),
+    last as (select user_id, max(ts) as ts, arg_max(days, i) as days from s where i > 0 group by user_id)
+    select user_id, days from last where ts + to_days(days::int) <= (select max(ts) from events)""")
+def stream_due(spark, folder):
+    """Users whose next review is due at the time of the last event."""
+    e = table(spark, folder, "events").select("event_id", "ts")
+    last = stream_reviews(spark, folder).join(e, "event_id").groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "days")).alias("last"))
+    now = F.broadcast(e.agg(F.max("ts").alias("now")))  # one row
+    return last.join(now).where(F.expr("last.ts + make_interval(0, 0, 0, cast(last.days as int)) <= now")).select("user_id", "last.days")
+
+
+@named("stream_rate_limit", """with recursive e as (select user_id, event_id, epoch_us(ts) as us, row_number() over (partition by user_id order by ts, event_id) as i from events),
+    s as (select user_id, null::bigint as event_id, 0::bigint as i, false as ok, -1::bigint as a, -1::bigint as b, -1::bigint as c from (select distinct user_id from events) union all
+    select user_id, event_id, i, free, case when free then us else a end, case when free then a else b end, case when free then b else c end
+    from (select e.*, s.a, s.b, s.c, s.c < 0 or e.us - s.c >= 172800000000 as free from s join e on e.user_id = s.user_id and e.i = s.i + 1))
+    select user_id, event_id from s where ok""")
+def stream_rate_limit(spark, folder, most: int = 3, within: int = 172_800_000_000):
+    """Events of a user that a sliding window lets through: at most three in any two days. What is refused does not count."""
+    def step(now: tuple, at: int, _: int) -> tuple:
+        free = now[-1] < 0 or at - now[-1] >= within
+        return ((at, *now[:-1]), 1) if free else (now, None)
+
+    return finished(stateful(events_stream(spark, folder), "user_id", (-1,) * most, step).drop("result"))
+
+
+@named("stream_budget", """with recursive e as (select user_id, event_id, epoch_us(ts) as us, ceil(value)::bigint as cost, row_number() over (partition by user_id order by ts, event_id) as i from events where value >= 0),
+    s as (select user_id, null::bigint as event_id, 0::bigint as i, -1::bigint as start, 0::bigint as used, 0::bigint as room from (select distinct user_id from e) union all
+    select user_id, event_id, i, start, case when fits then used + cost else used end, case when fits then 100 - used - cost end
+    from (select *, used + cost <= 100 as fits from (select user_id, event_id, i, cost, case when fresh then us else start end as start, case when fresh then 0 else used end as used
+    from (select e.*, s.start, s.used, s.start < 0 or e.us - s.start >= 86400000000 as fresh from s join e on e.user_id = s.user_id and e.i = s.i + 1))))
+    select user_id, event_id, room from s where i > 0 and room is not null""")
+def stream_budget(spark, folder, budget: int = 100, lasts: int = 86_400_000_000):
+    """Events that a user's budget pays for, and what is left of it. A budget starts with the first use and is new a day later."""
+    def step(now: tuple, at: int, cost: int) -> tuple:
+        start, used = (at, 0) if now[0] < 0 or at - now[0] >= lasts else now
+        return ((start, used + cost), budget - used - cost) if used + cost <= budget else ((start, used), None)
+
+    events = events_stream(spark, folder).where("value >= 0")
+    return finished(stateful(events, "user_id", (-1, 0), step, F.ceil("value")).withColumnRenamed("result", "room"))
