@@ -12,27 +12,29 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..plans.named import named
 from ..sources.tables import chunks, table
+from .network import kept
 
 K1, B = 1.5, 0.75
 
 
-def query_tokens(items: DataFrame, n: int = 8) -> DataFrame:
-    """(item_id, token, times): the first n tokens of an item; a token that repeats counts as often."""
-    one = items.select("item_id", F.explode(F.slice(C.tokens(F.col("text")), 1, n)).alias("token"))
+def query_tokens(items: DataFrame) -> DataFrame:
+    """(item_id, token, times): all tokens of an item; a token that repeats counts as often."""
+    one = items.select("item_id", F.explode(C.tokens(F.col("text"))).alias("token"))
     return one.groupBy("item_id", "token").agg(F.count("*").alias("times"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(item_id, doc_id, score). Only tokens that a query holds are counted; document lengths come from the same scan."""
-    sized = docs.select("doc_id", C.tokens(F.col("text")).alias("t")).withColumn("len", F.size("t"))
-    whole = sized.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    terms = queries.select("token").distinct()
-    tf = sized.select("doc_id", "len", F.explode("t").alias("token")).join(terms, "token", "left_semi").groupBy("doc_id", "len", "token").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
+    """(item_id, doc_id, score). Only tokens that a query holds are counted. The weights of the queries' tokens are written first; then
+    texts are dealt by document, so that counts and sums of a document stay in its task and only its scores travel."""
+    sized = lambda d: d.select("doc_id", C.tokens(F.col("text")).alias("t")).withColumn("len", F.size("t"))
+    whole = sized(docs).agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+    df = docs.select(F.explode(F.array_distinct(C.tokens(F.col("text")))).alias("token")).join(queries.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    hit = tf.join(df, "token").join(queries, "token").join(F.broadcast(whole))  # one row
-    return hit.groupBy("item_id", "doc_id").agg(F.sum(part * F.col("times")).alias("score"))
+    weights = kept(queries.join(df, "token").join(F.broadcast(whole)).select("item_id", "token", "mean", (idf * F.col("times")).alias("w")))  # whole: one row
+    held = sized(docs.select("doc_id", "text").repartition("doc_id")).select("doc_id", "len", F.explode("t").alias("token")).join(weights.select("token").distinct(), "token", "left_semi")
+    hit = held.groupBy("doc_id", "len", "token").agg(F.count("*").alias("tf")).join(weights, "token")
+    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+    return hit.groupBy("item_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
 _BM25 = """q0 as (select item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')[1:8]) as token from benchmark), q as (select item_id, token, count(*) as times from q0 group by all),
