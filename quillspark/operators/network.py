@@ -36,22 +36,22 @@ def components(edges: DataFrame) -> DataFrame:
 _STRONG = "select distinct 's' || l_suppkey as u, 'p' || l_partkey as v from lineitem where l_quantity = 50 and l_discount >= 0.095"
 
 
-def _strong(spark, folder) -> DataFrame:
-    e = table(spark, folder, "lineitem").where("l_quantity = 50 and l_discount >= 0.095D")
-    return e.select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("u"), F.concat(F.lit("p"), F.col("l_partkey")).alias("v")).distinct()
+def _supplied(spark, folder) -> DataFrame:
+    """(u, v): suppliers and the parts of their lines, whatever their size or discount."""
+    return table(spark, folder, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("u"), F.concat(F.lit("p"), F.col("l_partkey")).alias("v")).distinct()
 
 
 @named("graph_components", f"""with recursive e as ({_STRONG}), b as (select u, v from e union select v, u from e), r(node, seen) as (select u, u from b union select b.v, r.seen from r join b on b.u = r.node)
     select node, min(seen) as component from r group by node""")
 def graph_components(spark, folder):
-    """Suppliers and parts joined by large discounted lines."""
-    return components(_strong(spark, folder))
+    """Suppliers and parts joined by lines."""
+    return components(_supplied(spark, folder))
 
 
 @named("graph_component_sizes", f"""with recursive e as ({_STRONG}), b as (select u, v from e union select v, u from e), r(node, seen) as (select u, u from b union select b.v, r.seen from r join b on b.u = r.node),
     c as (select node, min(seen) as component from r group by node) select component, count(*) as n, sum((node like 's%')::int)::bigint as suppliers from c group by component""")
 def graph_component_sizes(spark, folder):
-    c = components(_strong(spark, folder))
+    c = components(_supplied(spark, folder))
     return c.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.col("node").startswith("s").cast("int")).alias("suppliers"))
 
 
@@ -70,8 +70,8 @@ def hops(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
 @named("graph_hops", """with recursive e as (select distinct 's' || l_suppkey as u, 'p' || l_partkey as v from lineitem where l_quantity >= 49), b as (select u, v from e union select v, u from e),
     r(node, depth) as (select 's0', 0 union select b.v, r.depth + 1 from r join b on b.u = r.node where r.depth < 4) select node, min(depth) as depth from r group by node""")
 def graph_hops(spark, folder):
-    """Fewest steps, at most four, from a seed over suppliers and parts of large lines."""
-    e = table(spark, folder, "lineitem").where("l_quantity >= 49").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("u"), F.concat(F.lit("p"), F.col("l_partkey")).alias("v")).distinct()
+    """Fewest steps, at most four, from a seed over suppliers and parts of all lines."""
+    e = kept(_supplied(spark, folder))
     return hops(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), spark.range(1).select(F.lit("s0").alias("node")), 4)
 
 
@@ -99,7 +99,7 @@ def graph_descendants(spark, folder, most: int = 10):
     select l_partkey, parents, case when parents >= 2 then 'collider' else 'chain' end as kind from c""")
 def graph_colliders(spark, folder):
     """Nodes with two parents or more."""
-    e = table(spark, folder, "lineitem").where("l_quantity >= 45").select("l_suppkey", "l_partkey").distinct()
+    e = table(spark, folder, "lineitem").select("l_suppkey", "l_partkey").distinct()
     return e.groupBy("l_partkey").agg(F.count("*").alias("parents")).withColumn("kind", F.when(F.col("parents") >= 2, "collider").otherwise("chain"))
 
 

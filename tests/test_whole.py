@@ -1,6 +1,7 @@
 """Whole inputs: what earlier versions of these queries cut."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -8,6 +9,7 @@ import duckdb
 import pytest
 
 from quillspark import registry
+from quillspark.operators.network import components
 from quillspark.operators.retrieval import bm25, query_tokens
 
 FOLDER = "/root/testdata/sf0.001"
@@ -48,3 +50,40 @@ def test_bm25_takes_all_words_of_an_item(spark):
 def test_ranks_by_all_words(spark, name):
     columns, want = whole_sql(name, "[1:8]")
     assert rounded(registry.queries()[name](spark, FOLDER).select(*columns).collect()) == rounded(want)
+
+
+def joined(pairs):
+    """{node: least node of its component} by union-find."""
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((top(a), top(b)))
+        up[b] = a
+    return {x: top(x) for x in list(up)}
+
+
+def test_components_of_chains_rings_and_stars(spark):
+    rng = random.Random(5)
+    pairs = [(f"s{rng.randrange(60)}", f"p{rng.randrange(90)}") for _ in range(70)] + [(f"c{i:02}", f"c{i + 1:02}") for i in range(40)] + [("hub", f"x{i}") for i in range(30)]
+    got = components(spark.createDataFrame(pairs, "u string, v string")).collect()
+    assert {r.node: r.component for r in got} == joined(pairs) and len(got) == len(joined(pairs))
+
+
+def test_components_of_all_lines(spark):
+    lines = spark.read.parquet(f"{FOLDER}/lineitem.parquet").select("l_suppkey", "l_partkey").distinct().collect()
+    want = joined((f"s{s}", f"p{p}") for s, p in lines)
+    got = {r.node: r.component for r in registry.queries()["graph_components"](spark, FOLDER).collect()}
+    assert got == want
+    sizes = {r.component: (r.n, r.suppliers) for r in registry.queries()["graph_component_sizes"](spark, FOLDER).collect()}
+    assert sizes == {c: (sum(x == c for x in want.values()), sum(x == c and node[0] == "s" for node, x in want.items())) for c in set(want.values())}
+
+
+@pytest.mark.parametrize("name, cut", [("graph_hops", " where l_quantity >= 49"), ("graph_colliders", " where l_quantity >= 45")])
+def test_graph_of_all_lines(spark, name, cut):
+    columns, want = whole_sql(name, cut)
+    assert rounded(registry.queries()[name](spark, FOLDER).select(*columns).collect()) == rounded(want)
