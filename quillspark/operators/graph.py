@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.named import named
 from ..sources.tables import table
+from .network import kept
 
 
 @named("graph_most_cited", "select l_partkey, count(distinct l_orderkey) as cited from lineitem group by 1 order by cited desc, l_partkey limit 20")
@@ -36,17 +38,29 @@ _RANK_STEP = "r{i} as (select n.id, 0.15 / (select count(*) from nodes) + 0.85 *
     + ", ".join(_RANK_STEP.format(i=i, j=i - 1) for i in range(1, 6))
     + " select id, round(v, 8) as rank from r5",
 )
-def graph_rank(spark, folder, rounds: int = 5, damping: float = 0.85):
-    """PageRank without redistribution of dangling weight; edges are grouped by target each round, ranks stay a table."""
-    link = table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 100).alias("dst")).where("src <> dst").distinct()
-    edges = link.join(link.groupBy("src").agg((F.lit(1.0) / F.count("*")).alias("w")), "src")
-    nodes = link.select(F.col("src").alias("id")).union(link.select("dst")).distinct()
-    n = F.broadcast(nodes.agg(F.count("*").alias("n")))  # one row
-    rank = nodes.join(n).select("id", (F.lit(1.0) / F.col("n")).alias("v"))
+def graph_rank(spark, folder, rounds: int = 50, damping: float = 0.85):
+    """PageRank of all suppliers ("s" and number) and parts ("p" and number); a supplier links to each part of its lines."""
+    link = table(spark, folder, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst"))
+    return page_rank(link, rounds, damping).select("id", F.round("v", 14).alias("rank"))
+
+
+def page_rank(link: DataFrame, rounds: int = 50, damping: float = 0.85, tolerance: float = 1e-12) -> DataFrame:
+    """(id, v): ranks over (src, dst) without redistribution of dangling weight; links of a node to itself don't count. Each round is written,
+    so plans stay short. Stops after so many rounds, or when no rank moved by more than the tolerance times itself."""
+    link = kept(link.where("src <> dst").distinct())
+    edges = kept(link.join(link.groupBy("src").agg((F.lit(1.0) / F.count("*")).alias("w")), "src"))
+    nodes = kept(link.select(F.col("src").alias("id")).union(link.select("dst")).distinct())
+    n = nodes.count()
+    rank = kept(nodes.select("id", F.lit(1.0 / max(1, n)).alias("v")))
     for _ in range(rounds):
         into = edges.join(rank, edges.src == rank.id).groupBy("dst").agg(F.sum(F.col("v") * F.col("w")).alias("got"))
-        rank = nodes.join(n).join(into, nodes.id == into.dst, "left").select("id", ((1 - damping) / F.col("n") + damping * F.coalesce("got", F.lit(0.0))).alias("v"))
-    return rank.select("id", F.round("v", 8).alias("rank"))
+        old = rank.withColumnRenamed("v", "old")
+        new = old.join(into, old.id == into.dst, "left").select("id", "old", (F.lit((1 - damping) / max(1, n)) + damping * F.coalesce("got", F.lit(0.0))).alias("v"))
+        new = kept(new)
+        rank = new.select("id", "v")
+        if new.where(F.abs(F.col("v") - F.col("old")) > tolerance * F.col("v")).isEmpty():
+            break
+    return rank
 
 
 @named("graph_two_hops", """with e as (select l_suppkey as a, l_partkey as b from lineitem group by all having avg(l_discount) > 0.06), f as (select a as s, b as t from e union select b + 1000000000, a from e where false)

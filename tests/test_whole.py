@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 from quillspark import registry
+from quillspark.operators.graph import page_rank
 from quillspark.operators.network import components
 from quillspark.operators.retrieval import bm25, query_tokens
 
@@ -87,3 +88,26 @@ def test_components_of_all_lines(spark):
 def test_graph_of_all_lines(spark, name, cut):
     columns, want = whole_sql(name, cut)
     assert rounded(registry.queries()[name](spark, FOLDER).select(*columns).collect()) == rounded(want)
+
+
+def test_ranks_of_rings_chains_and_dangling_nodes(spark):
+    links = {("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("e", "a"), ("d", "d")}
+    real = {x for x in links if x[0] != x[1]}
+    nodes = {x for link in real for x in link}
+    want = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(12):
+        want = {n: 0.15 / len(nodes) + 0.85 * sum(want[a] / sum(x == a for x, _ in real) for a, b in real if b == n) for n in nodes}
+    got = {r.id: r.v for r in page_rank(spark.createDataFrame(sorted(links), "src string, dst string"), 12).collect()}
+    assert got.keys() == want.keys() and all(abs(got[n] - want[n]) < 1e-12 for n in want)
+
+
+def test_ranks_of_all_suppliers_and_parts(spark):
+    links = {tuple(r) for r in spark.read.parquet(f"{FOLDER}/lineitem.parquet").select("l_suppkey", "l_partkey").collect()}
+    out = Counter(s for s, _ in links)
+    parts = {p for _, p in links}
+    base = 0.15 / (len(out) + len(parts))
+    want = {f"s{s}": base for s in out} | {f"p{p}": base for p in parts}
+    for s, p in links:
+        want[f"p{p}"] += 0.85 * base / out[s]
+    got = {r.id: r["rank"] for r in registry.queries()["graph_rank"](spark, FOLDER).collect()}
+    assert got.keys() == want.keys() and all(abs(got[n] - want[n]) < 1e-12 for n in want)
