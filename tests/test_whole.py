@@ -111,3 +111,8 @@ def test_ranks_of_all_suppliers_and_parts(spark):
         want[f"p{p}"] += 0.85 * base / out[s]
     got = {r.id: r["rank"] for r in registry.queries()["graph_rank"](spark, FOLDER).collect()}
     assert got.keys() == want.keys() and all(abs(got[n] - want[n]) < 1e-12 for n in want)
+
+
+def test_every_chunk_is_stitched(spark):
+    columns, want = whole_sql("retrieve_stitched", " where a.chunk % 5 = 0")
+    assert rounded(registry.queries()["retrieve_stitched"](spark, FOLDER).select(*columns).collect()) == rounded(want)
