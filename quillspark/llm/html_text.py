@@ -9,8 +9,9 @@ stand in. For every node
 
 with C characters, T tags, LC characters in links and LT links, each at least 1. The node with the largest sum of its
 children's densities is the core; the smallest density on the path from it up to body is the threshold. From body down,
-each outermost node at or above the threshold gives its subtree of maximal sum. The blocks of what was chosen are
-returned whole, in page order.
+each node at or above the threshold marks its subtree of maximal sum. Under an outermost such node, the least node that holds
+all marks is taken whole, and so is each node above it whose further text is not mostly links or that is an article or
+main element. The blocks of what was chosen are returned whole, in page order.
 
 Defined results: a null or empty page, or one with no text outside the removed parts, gives the empty string; broken, cut and
 very deep markup is parsed without recursion; unknown character references stay as they are.
@@ -191,11 +192,25 @@ def chosen(nodes: list[Node]) -> set[Node]:
     best: dict[Node, Node] = {}
     for x in reversed(nodes):
         best[x] = max([x, *(best[c] for c in x.children if c in best)], key=lambda y: y.total)
+    dense = {x for x in nodes if x is not nodes[0] and x.chars and x.density >= threshold or x is core}
+    marks, holds = {best[x] for x in dense}, {}
+    for x in reversed(nodes):
+        under = [holds[c] for c in x.children if c in holds]
+        if x in marks or len(under) > 1:
+            holds[x] = x
+        elif under:
+            holds[x] = under[0]
     out, todo = set(), [nodes[0]]
     while todo:
         x = todo.pop()
-        if x is not nodes[0] and x.chars and x.density >= threshold or x is core:
-            out.add(best[x])
+        if x in dense:
+            whole = holds[x]
+            for p in path(whole):
+                if p.tag in ("article", "main") or 2 * (p.link_chars - whole.link_chars) <= p.chars - whole.chars:
+                    whole = p
+                if p is x:
+                    break
+            out.add(whole)
         else:
             todo += [c for c in x.children if not c.drop]
     return out

@@ -209,6 +209,30 @@ def test_html(page):
     assert html_text.main_text(page) == PAGES[page]
 
 
+def paragraphs(n, name):
+    return [f"{name} {i} " + "words of a long enough paragraph " * 9 + "end" for i in range(n)]
+
+
+@pytest.mark.parametrize("outer", ["article", "div"])
+@pytest.mark.parametrize("inner", ["div", "section"])
+def test_html_of_two_sections(outer, inner):
+    a, b = paragraphs(5, "first"), paragraphs(4, "second")
+    one, two = ("".join(f"<p>{x}</p>" for x in part) for part in (a, b))
+    menu = "<div>" + "".join(f"<a href={i}>Go {i}</a>" for i in range(9)) + "</div>"
+    page = f"<body><div>{menu}<{outer}><h1>Title</h1><{inner}>{one}</{inner}><h2>More</h2><{inner}>{two}</{inner}></{outer}></div>"
+    assert html_text.main_text(page).split("\n") == ["Title", *a, "More", *b]
+
+
+@pytest.mark.parametrize("outer", ["article", "div"])
+@pytest.mark.parametrize("n, item", [(60, "<li>{}</li>"), (60, "<tr><td>{}</td></tr>")])
+def test_html_of_a_long_list_or_table(outer, n, item):
+    a, items = paragraphs(5, "text"), [f"item {i} of it" for i in range(n)]
+    held = "".join(item.format(x) for x in items)
+    held = f"<ul>{held}</ul>" if "li" in item else f"<table>{held}</table>"
+    page = f"<body><{outer}><div>{''.join(f'<p>{x}</p>' for x in a)}</div>{held}</{outer}>"
+    assert html_text.main_text(page).split("\n") == a + items
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>a b</article>", "old"), (2, None, None, None)], "page_id bigint, url string, html string, text string")
     assert sorted(map(tuple, html_text.extract(df).collect())) == [(1, "u", "a b"), (2, None, "")]
