@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.named import named
+from ..sources.files import removed
 from ..sources.tables import table
-from .network import kept
+from .network import kept, kept_at
 
 
 @named("graph_most_cited", "select l_partkey, count(distinct l_orderkey) as cited from lineitem group by 1 order by cited desc, l_partkey limit 20")
@@ -29,19 +30,15 @@ def graph_degrees(spark, folder):
     return table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("s"), "l_partkey").distinct().groupBy("s").agg(F.count("*").alias("out_degree"))
 
 
-_RANK_STEP = "r{i} as (select n.id, 0.15 / (select count(*) from nodes) + 0.85 * coalesce(sum(r.v * e.w), 0) as v from nodes n left join e on e.dst = n.id left join r{j} r on r.id = e.src group by n.id)"
-
-
-@named(
-    "graph_rank",
-    "with l as (select distinct l_suppkey as src, (l_partkey % 100) as dst from lineitem where l_suppkey <> l_partkey % 100), o as (select src, count(*) as n from l group by src), e as (select src, dst, 1.0 / n as w from l join o using (src)), nodes as (select src as id from l union select dst from l), r0 as (select id, 1.0 / (select count(*) from nodes) as v from nodes), "
-    + ", ".join(_RANK_STEP.format(i=i, j=i - 1) for i in range(1, 6))
-    + " select id, round(v, 8) as rank from r5",
-)
+@named("graph_rank", """with recursive l as (select distinct 's' || l_suppkey as u, 'p' || l_partkey as v from lineitem), b as (select u as src, v as dst from l union all select v, u from l),
+    e as (select src, dst, 1.0::double / count(*) over (partition by src) as w from b), n as (select count(distinct src) as n from e),
+    r(i, id, v) as (select distinct 0, src, 1.0::double / n from e, n union all select any_value(i) + 1, e.dst, 0.15 / any_value(n) + 0.85 * sum(r.v * e.w) from r join e on e.src = r.id, n where i < 50 group by e.dst)
+    select id, round(v, 10) as rank from r where i = 50""")
 def graph_rank(spark, folder, rounds: int = 50, damping: float = 0.85):
-    """PageRank of all suppliers ("s" and number) and parts ("p" and number); a supplier links to each part of its lines."""
-    link = table(spark, folder, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst"))
-    return page_rank(link, rounds, damping).select("id", F.round("v", 14).alias("rank"))
+    """PageRank of all suppliers ("s" and number) and parts ("p" and number); a line links its supplier and part both ways."""
+    link = table(spark, folder, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst")).distinct()
+    both = link.union(link.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return page_rank(both, rounds, damping).select("id", F.round("v", 10).alias("rank"))
 
 
 def page_rank(link: DataFrame, rounds: int = 50, damping: float = 0.85, tolerance: float = 1e-12) -> DataFrame:
@@ -51,13 +48,14 @@ def page_rank(link: DataFrame, rounds: int = 50, damping: float = 0.85, toleranc
     edges = kept(link.join(link.groupBy("src").agg((F.lit(1.0) / F.count("*")).alias("w")), "src"))
     nodes = kept(link.select(F.col("src").alias("id")).union(link.select("dst")).distinct())
     n = nodes.count()
-    rank = kept(nodes.select("id", F.lit(1.0 / max(1, n)).alias("v")))
+    rank, at = kept_at(nodes.select("id", F.lit(1.0 / max(1, n)).alias("v")))
     for _ in range(rounds):
         into = edges.join(rank, edges.src == rank.id).groupBy("dst").agg(F.sum(F.col("v") * F.col("w")).alias("got"))
         old = rank.withColumnRenamed("v", "old")
         new = old.join(into, old.id == into.dst, "left").select("id", "old", (F.lit((1 - damping) / max(1, n)) + damping * F.coalesce("got", F.lit(0.0))).alias("v"))
-        new = kept(new)
-        rank = new.select("id", "v")
+        new, new_at = kept_at(new)
+        removed(link.sparkSession, at)
+        rank, at = new.select("id", "v"), new_at
         if new.where(F.abs(F.col("v") - F.col("old")) > tolerance * F.col("v")).isEmpty():
             break
     return rank

@@ -7,33 +7,48 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import cosine
 from ..plans.named import named
-from ..sources.files import scratch
+from ..sources.files import removed, scratch
 from ..sources.tables import table
 
 
 def kept(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read back: its lineage ends there."""
+    return kept_at(df)[0]
+
+
+def kept_at(df: DataFrame) -> tuple[DataFrame, str]:
     at = scratch(df.sparkSession)
     df.write.parquet(at)
-    return df.sparkSession.read.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at), at
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, component): the least node of each component of (u, v). Alternates two steps: every node hands its least neighbour to
-    its greater ones, then to its lesser ones; the edges become stars in rounds that grow with the logarithm of the nodes."""
-    now = kept(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    while True:
+    its greater ones, then to its lesser ones; the edges become stars in rounds that grow with the logarithm of the nodes. A round is
+    written once, told from the last by a count and a sum of hashes, and then takes its place. Null nodes and loops are left out."""
+    spark = edges.sparkSession
+    now, at = kept_at(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    before = state(now)
+    for _ in range(most):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        new = kept(small.where("u <> v").distinct())
-        if new.exceptAll(now).isEmpty() and now.exceptAll(new).isEmpty():
+        new, new_at = kept_at(small.where("u <> v").distinct())
+        removed(spark, at)
+        now, at, after = new, new_at, state(new)
+        if after == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
-        now = new
+        before = after
+    raise RuntimeError(f"components did not settle in {most} rounds")
 
 
-_STRONG = "select distinct 's' || l_suppkey as u, 'p' || l_partkey as v from lineitem where l_quantity = 50 and l_discount >= 0.095"
+#: Whole-graph SQL: every node keeps the least node known to reach it, and hands it on when it changes.
+_LINKS = "select distinct 's' || l_suppkey as u, 'p' || l_partkey as v from lineitem"
+_COMPONENTS = f"""with recursive e as ({_LINKS}), b as (select u, v from e union select v, u from e), r(node, component) using key (node) as (select u, min(least(u, v)) from b group by u
+    union select b.v, min(r.component) from r join b on b.u = r.node join recurring.r o on o.node = b.v where r.component < o.component group by b.v)"""
 
 
 def _supplied(spark, folder) -> DataFrame:
@@ -41,15 +56,13 @@ def _supplied(spark, folder) -> DataFrame:
     return table(spark, folder, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("u"), F.concat(F.lit("p"), F.col("l_partkey")).alias("v")).distinct()
 
 
-@named("graph_components", f"""with recursive e as ({_STRONG}), b as (select u, v from e union select v, u from e), r(node, seen) as (select u, u from b union select b.v, r.seen from r join b on b.u = r.node)
-    select node, min(seen) as component from r group by node""")
+@named("graph_components", f"{_COMPONENTS} select node, component from r")
 def graph_components(spark, folder):
     """Suppliers and parts joined by lines."""
     return components(_supplied(spark, folder))
 
 
-@named("graph_component_sizes", f"""with recursive e as ({_STRONG}), b as (select u, v from e union select v, u from e), r(node, seen) as (select u, u from b union select b.v, r.seen from r join b on b.u = r.node),
-    c as (select node, min(seen) as component from r group by node) select component, count(*) as n, sum((node like 's%')::int)::bigint as suppliers from c group by component""")
+@named("graph_component_sizes", f"{_COMPONENTS} select component, count(*) as n, sum((node like 's%')::int)::bigint as suppliers from r group by component")
 def graph_component_sizes(spark, folder):
     c = components(_supplied(spark, folder))
     return c.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.col("node").startswith("s").cast("int")).alias("suppliers"))
@@ -67,7 +80,7 @@ def hops(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
     return reached
 
 
-@named("graph_hops", """with recursive e as (select distinct 's' || l_suppkey as u, 'p' || l_partkey as v from lineitem where l_quantity >= 49), b as (select u, v from e union select v, u from e),
+@named("graph_hops", """with recursive e as (select distinct 's' || l_suppkey as u, 'p' || l_partkey as v from lineitem), b as (select u, v from e union select v, u from e),
     r(node, depth) as (select 's0', 0 union select b.v, r.depth + 1 from r join b on b.u = r.node where r.depth < 4) select node, min(depth) as depth from r group by node""")
 def graph_hops(spark, folder):
     """Fewest steps, at most four, from a seed over suppliers and parts of all lines."""
@@ -95,7 +108,7 @@ def graph_descendants(spark, folder, most: int = 10):
     return every.groupBy("top").agg(F.sum("n").alias("descendants"), F.max("depth").alias("depth"))
 
 
-@named("graph_colliders", """with e as (select distinct l_suppkey, l_partkey from lineitem where l_quantity >= 45), c as (select l_partkey, count(*) as parents from e group by 1)
+@named("graph_colliders", """with e as (select distinct l_suppkey, l_partkey from lineitem), c as (select l_partkey, count(*) as parents from e group by 1)
     select l_partkey, parents, case when parents >= 2 then 'collider' else 'chain' end as kind from c""")
 def graph_colliders(spark, folder):
     """Nodes with two parents or more."""

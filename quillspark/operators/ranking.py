@@ -136,7 +136,7 @@ def retrieve_keyword(spark, folder):
     return m.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("hits"), "doc_id"))).where("r <= 10").drop("r")
 
 
-@named("retrieve_diagnostics", """with recursive q0 as (select item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')[1:8]) as token from benchmark), q as (select item_id, token, count(*) as times from q0 group by all),
+@named("retrieve_diagnostics", """with recursive q0 as (select item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) as token from benchmark), q as (select item_id, token, count(*) as times from q0 group by all),
     d as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]{2,}') as t from documents), s as (select count(*) as n, avg(len(t)) as mean from d),
     tf as (select doc_id, len(t) as l, token, count(*) as tf from (select doc_id, t, unnest(t) as token from d) group by all), f as (select token, count(*) as df from tf group by token),
     score as (select item_id, doc_id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / mean))), 6) as score from tf join f using (token) join q using (token), s group by all),

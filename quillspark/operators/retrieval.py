@@ -37,7 +37,7 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return hit.groupBy("item_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
-_BM25 = """q0 as (select item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')[1:8]) as token from benchmark), q as (select item_id, token, count(*) as times from q0 group by all),
+_BM25 = """q0 as (select item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) as token from benchmark), q as (select item_id, token, count(*) as times from q0 group by all),
     d as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]{2,}') as t from documents), s as (select count(*) as n, avg(len(t)) as mean from d),
     tf as (select doc_id, len(t) as l, token, count(*) as tf from (select doc_id, t, unnest(t) as token from d) group by all), f as (select token, count(*) as df from tf group by token),
     score as (select item_id, doc_id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / mean))) as score from tf join f using (token) join q using (token), s group by all)"""
@@ -142,7 +142,7 @@ def vector_check(spark, folder):
     "retrieve_stitched",
     r"""with d as (select doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\r\f\x0B]+'), lambda x: x <> '') as w from documents), c as (select doc_id, unnest(range(0, len(w), 100)) // 100 as chunk, w from d),
     t as (select doc_id, chunk, array_to_string(w[chunk * 100 + 1:chunk * 100 + 120], ' ') as t from c)
-    select a.doc_id, a.chunk, count(*) as span, md5(substr(string_agg(b.t, ' ' order by b.chunk), 1, 4000)) as text_md5 from t a join t b on a.doc_id = b.doc_id and b.chunk between a.chunk - 2 and a.chunk + 2 where a.chunk % 5 = 0 group by a.doc_id, a.chunk""",
+    select a.doc_id, a.chunk, count(*) as span, md5(substr(string_agg(b.t, ' ' order by b.chunk), 1, 4000)) as text_md5 from t a join t b on a.doc_id = b.doc_id and b.chunk between a.chunk - 2 and a.chunk + 2 group by a.doc_id, a.chunk""",
 )
 def retrieve_stitched(spark, folder):
     """Every chunk with its two neighbours on either side; a window over each document's chunks, not a self-join. The stitched text stops at

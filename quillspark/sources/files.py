@@ -13,8 +13,26 @@ from .tables import table
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that executors share: under spark.checkpoint.dir, or local where that is unset."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='quillspark-')).rstrip('/')}/files-{uuid.uuid4().hex}"
+    """A new folder that executors share, under spark.checkpoint.dir, which goes when the driver's JVM ends. Where the setting is missing, a local
+    folder will do only if all tasks run in this machine; on a cluster that is an error, as each executor would write to its own disk."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    jvm = spark.sparkContext._jvm
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = jvm.System.getProperty("quillspark.shared")
+        if not shared:
+            shared = "file://" + tempfile.mkdtemp(prefix="quillspark-")
+            jvm.System.setProperty("quillspark.shared", shared)
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared.rstrip('/')}/quillspark/{uuid.uuid4().hex}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
+def removed(spark: SparkSession, at: str) -> None:
+    """Deletes a table of scratch() that no later plan reads."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def upsert(held: DataFrame, new: DataFrame, key: str) -> DataFrame:
