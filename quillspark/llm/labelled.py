@@ -19,11 +19,12 @@ def held_out(doc_id: Column, mod: int, rest: int) -> Column:
 def sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, rest: int, per_class: int) -> DataFrame:
     """(text, y): documents whose label may be learnt from, at most `per_class` of either label, the first by a hash of their id.
 
-    Ids labelled both ways, null labels and held-out ids are left out; of an id with several rows each row is taken. The ids
-    are at most 2 * per_class rows, so sending them to all tasks is safe at any size of the tables.
+    Ids labelled both ways, null labels and held-out ids are left out; of an id with several rows one is taken, the first by a hash of its
+    text. The ids are at most 2 * per_class rows, so sending them to all tasks is safe at any size of the tables.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), mod, rest))
     known = known.groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("most")).where("y = most")
     first = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     ids = reduce(DataFrame.unionAll, first).select(F.col("doc_id").alias("known_id"), F.col("y").cast("int").alias("y"))
-    return docs.join(F.broadcast(ids), F.col("doc_id") == F.col("known_id")).select("text", "y")
+    found = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("known_id")).select("known_id", F.struct("text").alias("row"), "y")
+    return found.groupBy("known_id", "y").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.text", "y")

@@ -1,18 +1,18 @@
 """Toxicity: a bidirectional gated recurrent network with attention, over words and characters, trained and run in numpy.
 
 A text's words (digits, letters and non-ASCII bytes, A-Z lowered) are read in overlapping windows of 32 words, 16 apart. A word's
-input is its hashed embedding beside the mean of the embeddings of its character trigrams. Forward and backward gated
+input is its hashed embedding beside the mean of the embeddings of its runs of 3 and of 5 characters. Forward and backward gated
 recurrent units read the window, attention pools their states, and a logistic output scores it. The text's score is that of
 its worst window, put through a logistic curve fitted on the training texts.
 
-Training sees at most `per_class` labelled texts of either label and `per_text` windows of each, evenly spaced and of at most 4 KB
-each. Only texts are labelled, so of a toxic text the window that scores highest so far is the example, and of a clean
-text its highest and a random one. One column of either embedding starts as the
-contrast between the shares of toxic and clean texts that hold its words or trigrams.
+Training sees at most `per_class` labelled texts of either label, whole, in all their windows. Only texts are labelled. So a
+column of either embedding is first trained alone, by gradient descent, for a text to be toxic if some word of it is; then all
+weights are trained on windows: of a toxic text the one that scores highest so far, of a clean text the highest and a random
+one. Every few rounds all windows are scored anew.
 
 All documents are scored over all their windows. Defined results: a null or empty text is scored as a window without words; if a label
-is missing from the sample, every text gets the sample's prior; rows of one doc_id are scored one by one; an empty table gives
-an empty result.
+is missing from the sample, every text gets the sample's prior; rows of one doc_id are scored one by one, and one of them may be learnt from; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,16 +24,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+
 from .common import table
 from .labelled import held_out, sample
 from .words import ALNUM, Words, mix, parts
 
 PER_CLASS = 1000
-PER_TEXT = 16
 WINDOW, STEP = 32, 16
-WORD_ROWS, CHAR_ROWS = 1 << 13, 1 << 13
+WORD_BITS, CHAR_BITS = 14, 15
+WORD_ROWS, CHAR_ROWS = 1 << WORD_BITS, 1 << CHAR_BITS
 WORD_DIMS, CHAR_DIMS, HIDDEN, ATTENTION = 8, 16, 8, 8
-DROP, ENOUGH = 0.2, 1000
+GRAMS = (3, 5)
+DROP = 0.2
+#: Training of the first column: steps for words' and for character runs' values, the logit of an unknown word, decay; and its scale in the embeddings.
+FIRST = {"rounds": 200, "rate": 4.0, "char_rate": 320.0, "base": -8.0, "decay": 1e-4}
+SCALE = 3.0
+SLOW = 0.1  # embeddings learn so much slower than the rest, or few texts would teach their other words
 CUT = 0.7
 MOD, REST = 3, 1
 
@@ -49,19 +55,24 @@ class Inputs:
         w = Words(texts, ALNUM)
         self.n_texts = len(texts)
         distinct, where, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-        self.word = (distinct >> np.uint64(51)).astype(np.int64)
+        self.word = (distinct >> np.uint64(64 - WORD_BITS)).astype(np.int64)
         start, size = w.start[where], w.end[where] - w.start[where]
-        # trigrams of the word between two marks: as many as it has bytes
-        first = np.cumsum(size) - size
-        of = np.repeat(np.arange(len(size)), size)
-        k = np.arange(size.sum()) - np.repeat(first, size)
-        at = start[of] + k
-        raw = w.raw.astype(np.uint64)
-        here = raw[at]
-        before = np.where(k > 0, raw[np.maximum(at - 1, 0)], np.uint64(1))
-        after = np.where(k + 1 < size[of], raw[np.minimum(at + 1, max(0, len(raw) - 1))], np.uint64(2))
-        self.tri = (mix((before << np.uint64(16)) | (here << np.uint64(8)) | after) >> np.uint64(51)).astype(np.int64)
-        self.first, self.size = first, size
+        # runs of characters of the word between two marks: of each length as many as it has bytes
+        own = np.repeat(np.arange(len(size)), size)
+        k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        raw, rows = w.raw.astype(np.uint64), []
+        for n in GRAMS:
+            h = np.full(len(k), np.uint64(n))
+            for j in range(n):
+                at = k + j - 1
+                byte = raw[np.clip(start[own] + at, 0, max(0, len(raw) - 1))] if len(k) else h
+                h = (h << np.uint64(8)) | np.where(at < 0, np.uint64(1), np.where(at < size[own], byte, np.uint64(2)))
+            rows.append((mix(h) >> np.uint64(64 - CHAR_BITS)).astype(np.int64))
+        order = np.argsort(np.concatenate([own] * len(GRAMS)), kind="stable")
+        self.tri = np.concatenate(rows)[order]
+        self.size = size * len(GRAMS)
+        self.first = np.cumsum(self.size) - self.size
+        self.doc_words = w.doc, inverse.reshape(-1)
         # windows
         n = np.maximum(1, -(-np.maximum(w.n - step, 1) // step))
         self.text = np.repeat(np.arange(len(texts)), n)
@@ -177,44 +188,47 @@ class Net:
         return sigmoid(self.slope * self.text_logits(Inputs(texts)).astype(np.float64) + self.offset)
 
 
-def contrast(rows: np.ndarray, texts: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
-    """How far apart the shares of toxic and clean texts that hold each hashed row are, in standard errors."""
-    pairs = np.unique(np.stack([texts, rows], 1), axis=0)
-    seen = [np.bincount(pairs[y[pairs[:, 0]] == c, 1], minlength=size) for c in (0, 1)]
-    n = [(y == c).sum() for c in (0, 1)]
-    both = (seen[0] + seen[1] + 1) / (n[0] + n[1] + 2)
-    error = np.sqrt(both * (1 - both) * (1 / n[0] + 1 / n[1]))
-    return ((seen[1] / n[1] - seen[0] / n[0]) / error).astype(np.float32)
-
-
-def train(windows: list[bytes], text_of: np.ndarray, y: np.ndarray, rounds: int = 12, batch: int = 256, rate: float = 0.01) -> Net:
-    """windows: up to WINDOW words each; text_of: the text of each window; y: label of each text."""
+def some_word(x: Inputs, y: np.ndarray, rounds: int, rate: float, char_rate: float, base: float, decay: float) -> tuple[np.ndarray, np.ndarray]:
+    """A column of either embedding table, trained by gradient descent so that a text is toxic if some word of it is: a word's logit is
+    the sum of its word's and the mean of its character runs' values, and words count as independent causes (noisy or). Steps
+    are not scaled row by row, so what many toxic texts share is learnt first and then explains them."""
+    pair = np.unique(x.doc_words[0] * np.int64(max(1, x.n_words)) + x.doc_words[1])
+    doc, word = pair // max(1, x.n_words), pair % max(1, x.n_words)
+    weight = np.where(y == 1, 1 / max(1, (y == 1).sum()), 1 / max(1, (y == 0).sum()))
+    of = np.repeat(np.arange(x.n_words), x.size)
+    share = 1 / np.repeat(x.size, x.size)
+    a, c = np.zeros(WORD_ROWS), np.zeros(CHAR_ROWS)
+    va, vc = np.zeros_like(a), np.zeros_like(c)
+    for _ in range(rounds):
+        s = base + a[x.word] + np.bincount(of, c[x.tri] * share, x.n_words)
+        each = np.logaddexp(0, s)
+        total = np.bincount(doc, each[word], len(y))
+        pull = np.where(y == 1, 1 / np.expm1(np.maximum(total, 1e-9)), -1.0) * weight
+        g = np.bincount(word, pull[doc], x.n_words) * sigmoid(s)
+        va = 0.9 * va + np.bincount(x.word, g, WORD_ROWS) - decay * a
+        vc = 0.9 * vc + np.bincount(x.tri, np.repeat(g, x.size) * share, CHAR_ROWS) - decay * rate / char_rate * c
+        a, c = a + rate * va, c + char_rate * vc
+    return a, c
+
+
+def train(texts: list[bytes], y: np.ndarray, rounds: int = 9, batch: int = 256, rate: float = 0.01, first: bool = True) -> Net:
+    """Texts are read whole, in all their windows."""
     net = Net()
     if len(np.unique(y)) < 2:
         net.prior = float(y.mean()) if len(y) else 0.5
         return net
-    x = Inputs(windows)
-
-    def start(z: np.ndarray) -> np.ndarray:  # what few texts show counts little
-        return 2 * np.tanh(np.sign(z) * np.maximum(0, abs(z) - 3) / 4)
-
-    only = np.flatnonzero(np.concatenate([[True], x.text[1:] != x.text[:-1]]))  # one window each
-    ids, mask = x.ids[only], x.mask[only]
-    flat = np.repeat(text_of, mask.sum(1))
-    used = ids[mask]
-    net.p["word"][:, 0] = start(contrast(x.word[used], flat, y, WORD_ROWS))
-    sizes = x.size[used]
-    tri = x.tri[np.repeat(x.first[used], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
-    net.p["char"][:, 0] = start(contrast(tri, np.repeat(flat, sizes), y, CHAR_ROWS))
+    x = Inputs(texts)
+    ids, mask, text_of = x.ids, x.mask, x.text
+    if first:
+        net.p["word"][:, 0], net.p["char"][:, 0] = (v / SCALE for v in some_word(x, y, **FIRST))
     rng = np.random.default_rng(2)
-    slow = min(1.0, min(np.bincount(y, minlength=2)) / ENOUGH) ** 2  # embeddings of few texts would learn their other words
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
-    order = np.argsort(text_of, kind="stable")
-    cut = np.searchsorted(text_of[order], np.arange(len(y) + 1))
+    cut = np.searchsorted(text_of, np.arange(len(y) + 1))
+    order = np.arange(len(ids))
     words = net.inputs(x)
-    logits = words[:, 0][ids].max(1, where=mask, initial=-9) + words[:, WORD_DIMS][ids].max(1, where=mask, initial=-9)
-    for _ in range(rounds):
+    logits = np.where(mask, (words[:, 0] + words[:, WORD_DIMS])[ids], -99).max(1)
+    for turn in range(rounds):
         picked = []
         for d in range(len(y)):
             own = order[cut[d] : cut[d + 1]]
@@ -249,9 +263,9 @@ def train(windows: list[bytes], text_of: np.ndarray, y: np.ndarray, rounds: int
                 m += 0.1 * (g[k] - m)
                 # embeddings share one scale, so that rows of rare words move little
                 s += 0.01 * ((np.square(g[k]).sum() / max(1, np.count_nonzero(g[k])) if k in ("word", "char") else g[k] * g[k]) - s)
-                v -= (rate * slow if k in ("word", "char") else rate) * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-7)
-        words = net.inputs(x)
-        logits = np.concatenate([net.forward(words, ids[i : i + 8192], mask[i : i + 8192]) for i in range(0, len(ids), 8192)])
+                v -= (rate * SLOW if k in ("word", "char") else rate) * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-7)
+        if turn % 3 == 2:
+            logits = net.window_logits(x)
     top = np.full(len(y), -30.0)
     np.maximum.at(top, text_of, logits)
     net.slope, net.offset = curve(top, y)
@@ -268,21 +282,10 @@ def curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, per_text: int = PER_TEXT) -> Net:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text in batch.column(0).to_pylist():
-                words = (text or b"").translate(ALNUM).split()
-                n = max(1, -(-max(len(words) - STEP, 1) // STEP))
-                some = range(n) if n <= per_text else sorted({round(i * (n - 1) / (per_text - 1)) for i in range(per_text)})
-                rows.append([b" ".join(words[i * STEP : i * STEP + WINDOW])[:4096] for i in some])
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.binary())), batch.column(1)], ["windows", "y"])
-
-    got = sample(docs, labels, "toxic", MOD, REST, per_class).select(F.col("text").cast("binary"), "y").mapInArrow(run, "windows array<binary>, y int").collect()
-    got.sort(key=lambda r: (r["y"], [bytes(w) for w in r["windows"]]))
-    windows = [bytes(w) for r in got for w in r["windows"]]
-    return train(windows, np.repeat(np.arange(len(got)), [len(r["windows"]) for r in got]), np.array([r["y"] for r in got]))
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Net:
+    got = sample(docs, labels, "toxic", MOD, REST, per_class).select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), "y").collect()
+    rows = sorted((r["y"], bytes(r["text"])) for r in got)  # the order in which tasks end must not matter
+    return train([t for _, t in rows], np.array([y for y, _ in rows], np.int64))
 
 
 def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, carry: list[str] | None = None) -> DataFrame:
