@@ -1,8 +1,10 @@
 """Main text of HTML pages by composite text density.
 
-A page is parsed to a tree with the end tags that HTML lets authors leave out. Scripts, styles and parts that name
-themselves as menus, headers, footers, sidebars, notices, adverts, forms or comments (by element, role, class or id) leave
-the tree first. Tags that only style text (b, i, span, a, br, ...) are no nodes; they count as the tags of the block they
+A page is parsed to a tree with the end tags that HTML lets authors leave out, in time linear in its length. Scripts, styles and
+parts that name themselves as menus, headers, footers, sidebars, notices, adverts, forms or comments (by element, role, or a whole
+name in class or id) leave the tree first; but a form, or a part
+named only by its place or use, that holds half of the page's text is none. What
+names do not tell, density decides. Tags that only style text (b, i, span, a, br, ...) are no nodes; they count as the tags of the block they
 stand in. For every node
 
     density = C / T * log(C * T / (LC * LT)) / log(ln(C * LC / (C - LC) + LC_body * C / C_body + e))
@@ -22,6 +24,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,42 +44,78 @@ CLOSES_P = frozenset(
 )
 #: An element closed by the start of another of its kind, and where the search for it stops.
 CLOSED_BY = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Elements, roles and words of class or id that are not the article.
-DROPPED = frozenset("nav footer aside form script style noscript template iframe svg math button select textarea input object embed head title menu dialog".split())
+#: Elements and roles that are not the article.
+DROPPED = frozenset("nav footer aside script style noscript template iframe svg math button select textarea input object embed head title menu dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
-NAMED = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|topbar|header|comments?|commentlist|disqus|replies|respond"
-    r"|cookies?|consent|notices?|gdpr|newsletter|subscribe|popup|modal|share|sharing|social|related|recommended|widget|login|signup|pagination|pager|skip)(?:$|[^a-z])"
+#: Names in class or id of such parts. A name of several parts counts by its first or last part, or as a pair.
+ALONE = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promos promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar"
+    " disqus cookie cookies consent notice notices gdpr newsletter subscribe popup modal share sharing social related recommended widget login signup pagination pager banner".split()
 )
+FIRST = frozenset("ad ads advert advertisement sponsor sponsored promo sidebar nav navbar menu breadcrumb breadcrumbs footer cookie cookies gdpr consent newsletter subscribe popup modal share sharing pagination".split())
+LAST = frozenset("ad ads advert advertisement promo sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar consent notice notices newsletter popup modal banner widget pagination pager login signup".split())
+PAIRS = frozenset("related-posts related-articles related-stories related-links related-content social-links social-media social-share social-icons social-buttons social-bar site-header page-header top-header main-header global-header skip-link skip-links".split())
+COMMENTS = frozenset("comment comments commentlist replies respond disqus".split())
+PLAIN = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr newsletter breadcrumb breadcrumbs".split())
+DENIED = frozenset("no non not with without has have".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+PARTS = re.compile(r"[-_]+")
+NAMED, SURE, READERS = 1, 2, 3  # why a node is not the article: a name or a form; an element, role or plain name; comments of readers
+#: Where the search for an open element of a kind stops. "p" is closed by the start of most blocks.
+SCOPES = {"p": ({"p"}, {"td", "th", "table", "button"})} | {k: CLOSED_BY[k] for k in ("li", "dt", "tr", "td", "option")}
+SCOPE_OF = {"dd": "dt", "th": "td"}
+SCOPED = frozenset().union(*(a | b for a, b in SCOPES.values()))
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "drop", "chars", "tags", "link_chars", "links", "density", "total", "order")
+    __slots__ = ("tag", "parent", "children", "drop", "chars", "tags", "link_chars", "links", "density", "total", "order", "near", "inside")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool):
+    def __init__(self, tag: str, parent: Node | None, drop: int):
         self.tag, self.parent, self.children, self.drop = tag, parent, [], drop
         self.chars = self.tags = self.link_chars = self.links = 0
         self.density = self.total = 0.0
+        self.inside = tag in ("article", "main") or parent is not None and parent.inside
+        self.near: dict[str, Node | None] = parent.near if parent is not None else {}
+        if tag in SCOPED:  # the closest open element of each kind that a tag may close
+            self.near = dict(self.near)
+            for kind, (own, stop) in SCOPES.items():
+                if tag in own:
+                    self.near[kind] = self
+                elif tag in stop:
+                    self.near[kind] = None
         if parent is not None:
             parent.children.append(self)
 
 
-def is_dropped(tag: str, attributes: str, parent: Node) -> bool:
-    if tag in DROPPED:
-        return True
-    if tag == "header":
-        return not any(p.tag in ("article", "main") for p in path(parent))
-    if not attributes:
-        return False
+def named(name: str) -> int:
+    """What a class or id says of a part: whole names count, not letters inside them."""
+    parts = [x for x in PARTS.split(CAMEL.sub("-", name).lower()) if x]
+    if not parts or DENIED.intersection(parts):
+        return 0
+    if parts[0] in COMMENTS or parts[-1] in COMMENTS:
+        return READERS
+    if parts[0] in PLAIN or parts[-1] in PLAIN:
+        return SURE
+    if len(parts) == 1:
+        return NAMED if parts[0] in ALONE else 0
+    return NAMED if parts[0] in FIRST or parts[-1] in LAST or f"{parts[0]}-{parts[-1]}" in PAIRS else 0
+
+
+def why_dropped(tag: str, attributes: str, parent: Node) -> int:
+    if tag in DROPPED or tag == "header" and not parent.inside:
+        return SURE
+    why = NAMED if tag == "form" else 0
+    if not attributes or tag in ("body", "html"):
+        return why
     for name, *values in ATTRIBUTE.findall(attributes):
-        value, name = "".join(values).lower(), name.lower()
-        if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name in ("class", "id") and tag not in ("body", "html", "article", "main") and NAMED.search(value):
-            return True
-    return False
+        value, name = "".join(values), name.lower()
+        if name == "role" and value.strip().lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
+            return SURE
+        if name in ("class", "id") and tag not in ("article", "main"):
+            why = max([why, *map(named, value.split())])
+    return why
 
 
 def path(node: Node | None) -> Iterator[Node]:
@@ -86,14 +125,30 @@ def path(node: Node | None) -> Iterator[Node]:
 
 
 def parse(page: str) -> tuple[Node, list[tuple[Node, str, int]]]:
-    """The tree, and its pieces of text (node, text, in a link) in page order; a piece of a styled part has the block's node."""
-    root = Node("html", None, False)
+    """The tree, and its pieces of text (node, text, in a link) in page order; a piece of a styled part has the block's node. A tag
+    costs no walk up the tree, but for elements that it closes."""
+    root = Node("html", None, 0)
     body, node, pieces, link, at, styled = root, root, [], 0, 0, []
+    nodes, open_ = [root], Counter()
 
     def text(a: int, b: int) -> None:
         if b > a:
             pieces.append((node, page[a:b], link))
 
+    def closed(upto: Node) -> Node:
+        """The parent of an open element, once that and all in it are closed."""
+        x = node
+        while x is not upto:
+            open_[x.tag] -= 1
+            x = x.parent
+        open_[upto.tag] -= 1
+        return upto.parent
+
+    def opened(tag: str, why: int) -> Node:
+        open_[tag] += 1
+        nodes.append(Node(tag, node, why))
+        return nodes[-1]
+
     find = TOKEN.search
     while m := find(page, at):
         text(at, m.start())
@@ -109,23 +164,26 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, int]]]:
                 node.links += tag == "a"
             if tag not in VOID and not m[3].endswith("/"):
                 # an opened part that may be dropped as a whole is a node after all
-                if not end and m[3] and is_dropped(tag, m[3], node):
-                    node = Node(tag, node, True)
+                if not end and m[3] and (why := why_dropped(tag, m[3], node)):
+                    node = opened(tag, why)
                     styled.append(node)
                 elif end and styled and styled[-1].tag == tag and styled[-1] is node:
-                    node = styled.pop().parent
+                    node = closed(styled.pop())
                 elif tag == "a":
                     link = 0 if end else 1
             continue
         if end:
-            for p in path(node):
-                if p.tag == tag and p.parent is not None:
-                    node, link = p.parent, 0
-                    break
+            if open_[tag] > 0:
+                x = node
+                while x.tag != tag:
+                    x = x.parent
+                node, link = closed(x), 0
             continue
         if tag in ("html", "head", "body"):
             if tag == "body":
-                node = body = Node("body", root, False)
+                node = body = Node("body", root, 0)
+                nodes.append(body)
+                open_.clear()
             continue
         if tag in RAW:
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
@@ -133,27 +191,38 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, int]]]:
             continue
         if tag in CLOSES_P:
             link = 0
-            for p in path(node):
-                if p.tag == "p" and p.parent is not None:
-                    node = p.parent
-                    break
-                if p.tag in ("td", "th", "table", "button", "body", "html"):
-                    break
-        if tag in CLOSED_BY:
-            own, stop = CLOSED_BY[tag]
-            for p in path(node):
-                if p.tag in own and p.parent is not None:
-                    node = p.parent
-                    break
-                if p.tag in stop:
-                    break
-        new = Node(tag, node, is_dropped(tag, m[3], node))
+            if (x := node.near.get("p")) is not None:
+                node = closed(x)
+        if tag in CLOSED_BY and (x := node.near.get(SCOPE_OF.get(tag, tag))) is not None:
+            node = closed(x)
+        new = opened(tag, why_dropped(tag, m[3], node))
         if tag not in VOID and not m[3].endswith("/"):
             node = new
+        else:
+            open_[tag] -= 1
     text(at, len(page))
+    pardoned(nodes, pieces)
     return body, pieces
 
 
+def pardoned(nodes: list[Node], pieces: list[tuple[Node, str, int]]) -> None:
+    """A name alone doesn't drop a part that holds half of the page's text outside links and comments, or more."""
+    if not any(x.drop == NAMED for x in nodes):
+        return
+    held = dict.fromkeys(nodes, 0)
+    for node, text, link in pieces:
+        if not link:
+            held[node] += len(text.strip())
+    for x in reversed(nodes):
+        if x.drop in (SURE, READERS):
+            held[x] = 0
+        if x.parent is not None:
+            held[x.parent] += held[x]
+    for x in nodes:
+        if x.drop == NAMED and 2 * held[x] >= held[nodes[0]] > 0:
+            x.drop = 0
+
+
 def measured(body: Node, pieces: list[tuple[Node, str, int]]) -> list[Node]:
     """Nodes that stay, parents first, with their counts, densities and sums."""
     for node, text, link in pieces:

@@ -233,6 +233,69 @@ def test_html_of_a_long_list_or_table(outer, n, item):
     assert html_text.main_text(page).split("\n") == a + items
 
 
+TWO = ["This is the first plain paragraph of an article, long enough to be text of it.", "And the second paragraph, which says some more things about the matter."]
+STARTS = [
+    '<div style="overflow:hidden">', '<div data-hidden="false">', '<div title="role=form">', '<div data-id="share">', '<div class="post-content no-sidebar">', '<div class="layout with-sidebar">',
+    '<div class="side-by-side">', '<div id="social-science">', "<form>", '<article><section id="related-work">', '<div class="sidebar">', "<div class='a\"b'>",
+]
+
+
+@pytest.mark.parametrize("start", STARTS)
+def test_html_of_ordinary_names(start):
+    body = "".join(f"<p>{x}</p>" for x in TWO)
+    page = f"<html><body><nav><a href=x>Home</a></nav>{start}{body}{'</section></article>' if 'section' in start else '</' + start[1:5].strip('> ') + '>'}<footer>c</footer></body></html>"
+    assert html_text.main_text(page).split("\n") == TWO
+
+
+@pytest.mark.parametrize("part", ["<div class='comment-list'>{}</div>", "<div id=cookieConsent>{}</div>", "<div class='adSlot ad'>{}</div>", "<aside>{}</aside>", "<div role=dialog>{}</div>", "<div hidden>{}</div>", "<div class='site-footer x'>{}</div>"])
+def test_html_without_other_parts(part):
+    other = part.format("<p>Some words of another kind that are not the article.</p>")
+    page = "<body><article>" + "".join(f"<p>{x}</p>" for x in TWO) + f"{other}</article>{other}</body>"
+    assert html_text.main_text(page).split("\n") == TWO
+
+
+def unnamed(seed):
+    """A page without names or article: link lists and short bits around paragraphs."""
+    rng = random.Random(seed)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    text = [words(rng.randint(40, 90)) for _ in range(rng.randint(3, 9))]
+    links = lambda n: "<div>" + "".join(f"<ul><li><a href=/{i}>{words(2)}</a></li></ul>" for i in range(n)) + "</div>"
+    bits = lambda n: "<div>" + "".join(f"<div><span>{words(1)}</span></div>" for _ in range(n)) + "</div>"
+    inner = "<div>" + "".join(f"<p>{x}</p>" for x in text) + "</div>"
+    return f"<body><div>{links(rng.randint(5, 12))}<div>{inner}</div>{bits(rng.randint(3, 6))}{links(rng.randint(4, 15))}</div></body>", text
+
+
+def test_html_by_density_alone(monkeypatch):
+    pages = [unnamed(i) for i in range(40)]
+    assert [html_text.main_text(p).split("\n") for p, _ in pages] == [t for _, t in pages]
+    monkeypatch.setattr(html_text, "chosen", lambda nodes: {nodes[0]})  # all that no name drops
+    assert all(html_text.main_text(p).split("\n") != t for p, t in pages)
+
+
+def test_html_densities_by_definition():
+    """Counts of a small tree by hand, and densities and sums by the formula."""
+    import math
+
+    body, pieces = html_text.parse("<body><div><p>abcde fghij</p><p>xy <a href=q>link</a></p></div><ul><li><a href=r>menu</a></li></ul></body>")
+    nodes = html_text.measured(body, pieces)
+    got = {(x.tag, x.order): (x.chars, x.tags, x.link_chars, x.links) for x in nodes}
+    assert got == {("body", 0): (21, 7, 8, 2), ("div", 1): (17, 3, 4, 1), ("p", 2): (11, 0, 0, 0), ("p", 3): (6, 1, 4, 1), ("ul", 4): (4, 2, 4, 1), ("li", 5): (4, 1, 4, 1)}
+    for x in nodes:
+        c, t, lc, lt = x.chars, max(1, x.tags), max(1, x.link_chars), max(1, x.links)
+        base = math.log(c * lc / max(1, c - lc) + 8 * c / 21 + math.e)
+        assert x.density == pytest.approx(max(0.0, c / t * math.log(max(1.0, c * t / (lc * lt)) + 1) / math.log(base + 1)))
+        assert x.total == pytest.approx(sum(k.density for k in x.children) or x.density / 2)
+
+
+def test_html_in_linear_time():
+    import time
+
+    began = time.process_time()
+    for page in ("<div>" * 16000 + "deep" + "</div>" * 16000, "<ul><li>" * 16000 + "deep", "<foo>" * 16000 + "<p>a<div>b" * 2000):
+        assert html_text.main_text(page)
+    assert time.process_time() - began < 8
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>a b</article>", "old"), (2, None, None, None)], "page_id bigint, url string, html string, text string")
     assert sorted(map(tuple, html_text.extract(df).collect())) == [(1, "u", "a b"), (2, None, "")]
