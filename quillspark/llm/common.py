@@ -2,30 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import network
+from ..sources.files import scratch
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a local one only where that is unset, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = spark.sparkContext._jvm.System.getProperty("quillspark.shared")
-    if not named:
-        named = tempfile.mkdtemp(prefix="quillspark-")
-        spark.sparkContext._jvm.System.setProperty("quillspark.shared", named)
-    return named.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
+    """A new folder that all executors share, see scratch()."""
+    return f"{scratch(spark)}-{name}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -40,38 +34,24 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """Connected components of edges (a long, b long) by alternating large-star and small-star rounds.
-
-    Returns one row (node, root) per node on an edge between two different nodes; root is the smallest node that
-    can be reached. No edges give no rows. Each round is a few groupings of the edge table, written to the shared
-    folder, and all of it stays distributed; rounds grow with the logarithm of the longest path.
-    """
-    spark = edges.sparkSession
-    now = written(
-        edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
-    )
-
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    before = state(now)
-    if not before[0]:
-        return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    for _ in range(max_rounds):
-        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        now = written(small.where("u <> v").distinct(), "edges")
-        after = state(now)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return now.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(
-        now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
-    )
+def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(key, batches) of runs of the first column, which is sorted."""
+    key, held = None, []
+    for batch in batches:
+        col = batch.column(0).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(col[1:] != col[:-1]) + 1).tolist(), len(col)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b > a:
+                if held and col[a] != key:
+                    yield key, held
+                    held = []
+                key = int(col[a])
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield key, held
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of edges (a long, b long): one row per node on an edge between two different nodes; root is the smallest node that can be reached."""
+    found = network.components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return found.select("node", F.col("component").alias("root"))

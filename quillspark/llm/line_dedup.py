@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, shuffle_parts, table, written
+from .common import by_key, new_path, shuffle_parts, table, written
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -238,23 +238,6 @@ class LineIndex:
         return hit.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
 
 
-def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(key, batches) of runs of the first column, which is sorted."""
-    key, held = None, []
-    for batch in batches:
-        col = batch.column(0).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(col[1:] != col[:-1]) + 1).tolist(), len(col)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if b > a:
-                if held and col[a] != key:
-                    yield key, held
-                    held = []
-                key = int(col[a])
-                held.append(batch.slice(a, b - a))
-    if held:
-        yield key, held
-
-
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with text cut to the lines that stay, and n_lines and n_dropped."""
     drops = LineIndex(docs.sparkSession, min_chars=min_chars, min_docs=min_docs).insert(docs).drops()

@@ -12,7 +12,10 @@ documents. Blocks are then looked up only where their minimizer is held by two d
 that a smaller document of the same batch settles are not sent, so a passage that a third of all documents share puts
 one entry a batch in its shard.
 
-Words are compared by 64-bit hashes of their bytes and of their sequence.
+Equal blocks are told by 96 bits: a 64-bit hash of the block, and 32 bits of a second one, made from other hashes of its words.
+
+Entries are dealt to a few times as many shards as there are partitions, and each partition is sorted by shard, so a task
+holds one shard at a time.
 
 Defined results: a null text has no words; a row with a null doc_id is kept whole and is no reference; rows of one doc_id
 are one document and never remove words of each other; an empty table gives an empty result.
@@ -28,13 +31,14 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts, table
+from .common import by_key, shuffle_parts, table
 from .words import Words, parts
 
 BLOCK = 13
 SEED = 4
-PACKED = "shard int, known boolean, hashes binary, docs binary, places binary, ref_docs binary, ref_places binary"
-BLOBS = (np.uint64, np.int64, np.int32, np.int64, np.int32)
+SHARDS = 4  # a partition
+PACKED = "shard int, known boolean, hashes binary, checks binary, docs binary, places binary, ref_docs binary, ref_places binary"
+BLOBS = (np.uint64, np.uint32, np.int64, np.int32, np.int64, np.int32)
 
 
 def minimizers(w: Words, block: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,21 +51,25 @@ def minimizers(w: Words, block: int, seed: int) -> tuple[np.ndarray, np.ndarray,
     return at, at + least, g
 
 
-def runs(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first index, size) of each run of equal hashes."""
-    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
+def runs(hashes: np.ndarray, checks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(first index, size) of each run of equal hashes, and checks."""
+    new = np.ones(len(hashes), bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    if checks is not None:
+        new[1:] |= checks[1:] != checks[:-1]
+    first = np.flatnonzero(new)
     return first, np.diff(np.append(first, len(hashes)))
 
 
-def packed(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+def packed(hashes: np.ndarray, checks: np.ndarray, docs: np.ndarray, places: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
     """Rows for the shards. Of each hash only the two smallest documents of the batch go to the hash's shard; what the
     smallest settles for the others is known here, and goes to any shard, with the reference."""
-    order = np.lexsort((places, docs, hashes))
-    hashes, docs, places = hashes[order], docs[order], places[order]
+    order = np.lexsort((places, docs, checks, hashes))
+    hashes, checks, docs, places = hashes[order], checks[order], docs[order], places[order]
     new = np.ones(len(hashes), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (docs[1:] != docs[:-1])
-    hashes, docs, places = hashes[new], docs[new], places[new].astype(np.int32)  # the first place in each document
-    first, size = runs(hashes)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (checks[1:] != checks[:-1]) | (docs[1:] != docs[:-1])
+    hashes, checks, docs, places = hashes[new], checks[new], docs[new], places[new].astype(np.int32)  # the first place in each document
+    first, size = runs(hashes, checks)
     lead, rank = np.repeat(first, size), np.arange(len(hashes)) - np.repeat(first, size)
     rows = []
     for known, at in ((False, np.flatnonzero(rank < 2)), (True, np.flatnonzero(rank >= 2))):
@@ -71,22 +79,26 @@ def packed(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray, n: int) ->
         for a, m in zip(*runs(shard), strict=True):
             k = at[a : a + m]
             ref = lead[k] if known else k[:0]
-            rows.append((int(shard[a]), known, *(x.tobytes() for x in (hashes[k], docs[k], places[k], docs[ref], places[ref]))))
+            rows.append((int(shard[a]), known, *(x.tobytes() for x in (hashes[k], checks[k[: 0 if known else m]], docs[k], places[k], docs[ref], places[ref]))))
     if rows:
-        types = (pa.int32(), pa.bool_(), *[pa.binary()] * 5)
+        types = (pa.int32(), pa.bool_(), *[pa.binary()] * 6)
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], PACKED.replace(",", "").split()[::2])
 
 
-def unpacked(batches: Iterator[pa.RecordBatch]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """(hashes, docs, places) sorted by hash and document; and of what is known (hashes, docs, places, ref_docs, ref_places)."""
+def unpacked(batches: list[pa.RecordBatch]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of a shard (hashes, checks, docs, places) sorted by hash, check and document; and of what is known (hashes, docs, ref_docs, ref_places)."""
     got: dict[bool, list[list[np.ndarray]]] = {known: [[np.zeros(0, t)] for t in BLOBS] for known in (False, True)}
     for batch in batches:
-        for known, *blobs in zip(*(batch.column(i).to_pylist() for i in range(1, 7)), strict=True):
+        for known, *blobs in zip(*(batch.column(i).to_pylist() for i in range(1, 8)), strict=True):
             for held, blob, t in zip(got[known], blobs, BLOBS, strict=True):
                 held.append(np.frombuffer(blob, t))
     open_, settled = ([np.concatenate(x) for x in got[known]] for known in (False, True))
-    order = np.lexsort((open_[1], open_[0]))
-    return [x[order] for x in open_[:3]], settled
+    order = np.lexsort((open_[2], open_[1], open_[0]))
+    return [x[order] for x in open_[:4]], [settled[i] for i in (0, 2, 4, 5)]
+
+
+def to_shards(sent: DataFrame, n: int) -> DataFrame:
+    return sent.repartition(n, "shard").sortWithinPartitions("shard")
 
 
 def documents_of(batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes], np.ndarray]:
@@ -111,17 +123,18 @@ def shared_seeds(docs: DataFrame, block: int, seed: int) -> DataFrame:
                 h.append(g[place])
                 d.append(ids[a + w.doc[place]])
             h, d = np.concatenate(h), np.concatenate(d)
-            yield from packed(h, d, np.zeros(len(h), np.int64), n)
+            yield from packed(h, np.zeros(len(h), np.uint32), d, np.zeros(len(h), np.int64), n * SHARDS)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (hashes, docs, _), settled = unpacked(batches)
-        first, size = runs(hashes)
-        keep = np.repeat(docs[first] != docs[first + size - 1], size)
-        for h, d in ((hashes[keep], docs[keep]), settled[:2]):
-            for a in range(0, len(h), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(d[a : a + (1 << 18)]), pa.array(h[a : a + (1 << 18)].view(np.int64))], ["doc_id", "seed"])
-
-    sent = docs.mapInArrow(send, PACKED).repartition(n, "shard")
+        for _, own in by_key(batches):
+            (hashes, _, docs, _), settled = unpacked(own)
+            first, size = runs(hashes)
+            keep = np.repeat(docs[first] != docs[first + size - 1], size)
+            for h, d in ((hashes[keep], docs[keep]), settled[:2]):
+                for a in range(0, len(h), 1 << 18):
+                    yield pa.RecordBatch.from_arrays([pa.array(d[a : a + (1 << 18)]), pa.array(h[a : a + (1 << 18)].view(np.int64))], ["doc_id", "seed"])
+
+    sent = to_shards(docs.mapInArrow(send, PACKED), n)
     return sent.mapInArrow(meet, "doc_id bigint, seed bigint").groupBy("doc_id").agg(F.collect_list("seed").alias("seeds"))
 
 
@@ -133,7 +146,7 @@ def duplicates(docs: DataFrame, seeds: DataFrame, block: int, seed: int) -> Data
         for batch in batches:
             batch = batch.filter(batch.column(2).is_valid())
             ids, texts, _ = documents_of(batch)
-            h, d, p = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            h, c, d, p = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for a, b in parts(texts):
                 w = Words(texts[a:b])
                 start, place, g = minimizers(w, block, seed)
@@ -146,21 +159,23 @@ def duplicates(docs: DataFrame, seeds: DataFrame, block: int, seed: int) -> Data
                     keep[own] = np.isin(g[place[own]].view(np.int64), batch.column(2)[a + i].values.to_numpy(zero_copy_only=False))
                 at = start[keep]
                 h.append(w.grams(block)[at])
+                c.append((w.grams(block, check=True)[at] >> np.uint64(32)).astype(np.uint32))
                 d.append(ids[a + w.doc[at]])
                 p.append(at - w.first[w.doc[at]])
-            yield from packed(np.concatenate(h), np.concatenate(d), np.concatenate(p), n)
+            yield from packed(*map(np.concatenate, (h, c, d, p)), n * SHARDS)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (hashes, docs, places), settled = unpacked(batches)
-        lead = np.repeat(*runs(hashes))
-        late = np.flatnonzero(docs > docs[lead])
-        for h, d, ref, at in ((hashes[late], docs[late], docs[lead[late]], places[lead[late]]), [settled[i] for i in (0, 1, 3, 4)]):
-            for a in range(0, len(h), 1 << 17):
-                k = slice(a, a + (1 << 17))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (d[k], h[k].view(np.int64), ref[k], at[k].astype(np.int64))], ["doc_id", "block", "ref_doc", "ref_place"])
-
-    sent = docs.join(seeds, "doc_id", "left").select("doc_id", "text", "seeds").mapInArrow(send, PACKED).repartition(n, "shard")
-    met = sent.mapInArrow(meet, "doc_id bigint, block bigint, ref_doc bigint, ref_place bigint")
+        for _, own in by_key(batches):
+            (hashes, checks, docs, places), settled = unpacked(own)
+            lead = np.repeat(*runs(hashes, checks))
+            late = np.flatnonzero(docs > docs[lead])
+            for h, d, ref, at in ((hashes[late], docs[late], docs[lead[late]], places[lead[late]]), settled):
+                for a in range(0, len(h), 1 << 17):
+                    k = slice(a, a + (1 << 17))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (d[k], h[k].view(np.int64), ref[k], at[k])], ["doc_id", "block", "ref_doc", "ref_place"])
+
+    sent = docs.join(seeds, "doc_id", "left").select("doc_id", "text", "seeds").mapInArrow(send, PACKED)
+    met = to_shards(sent, n).mapInArrow(meet, "doc_id bigint, block bigint, ref_doc bigint, ref_place int")
     return met.groupBy("doc_id").agg(F.collect_list(F.struct("block", "ref_doc", "ref_place")).alias("found"))
 
 

@@ -15,17 +15,8 @@ ALNUM = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS = {_BASE: np.ones(1, np.uint64), _INVERSE: np.ones(1, np.uint64)}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    if len(_POWERS[base]) < n:
-        steps = np.full(max(n, 1 << 16), np.uint64(base))
-        steps[0] = 1
-        _POWERS[base] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS[base][:n]
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_AT_ONCE = 1 << 17
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -34,6 +25,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def factor(k: int) -> np.uint64:
+    """An odd number for the k-th of a row of hashes."""
+    return mix(np.array([k + 1], np.uint64) * _ODD)[0] | np.uint64(1)
+
+
 class Words:
     """Words of a list of UTF-8 texts. doc[i] is the text of word i, start and end its bytes in .data, hash its hash."""
 
@@ -54,24 +50,43 @@ class Words:
         self.first = np.append(first, len(self.start)).astype(np.int64)
         self.n = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(texts)), self.n)
-        self._hash = None
+        self._hash = self._check = None
 
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            total = np.zeros(len(self.raw) + 1, np.uint64)
-            np.cumsum(_powers(_BASE, len(self.raw)) * (self.raw.astype(np.uint64) + np.uint64(1)), out=total[1:])
-            self._hash = mix((total[self.end] - total[self.start]) * _powers(_INVERSE, len(self.raw) + 1)[self.start])
+            self._hash = self._sums(np.uint64(0))
         return self._hash
 
-    def grams(self, k: int) -> np.ndarray:
-        """Hash of the k words from each word on; runs that leave a text are meaningless, see inside()."""
-        h = self.hash
+    @property
+    def check(self) -> np.ndarray:
+        """A second hash of each word, of other values."""
+        if self._check is None:
+            self._check = self._sums(np.uint64(1) << np.uint64(60))
+        return self._check
+
+    def _sums(self, salt: np.uint64) -> np.ndarray:
+        """Each byte at each place of a word has a value of its own; a word's hash mixes their sum. So no arrangement of
+        letters is special, as it is to powers of a base."""
+        out = np.zeros(len(self.start), np.uint64)
+        for a in range(0, len(self.start), _AT_ONCE):
+            start, size = self.start[a : a + _AT_ONCE], self.end[a : a + _AT_ONCE] - self.start[a : a + _AT_ONCE]
+            last = np.cumsum(size)
+            place = np.arange(last[-1]) - np.repeat(last - size, size)
+            byte = self.raw[np.repeat(start, size) + place]
+            total = np.zeros(last[-1] + 1, np.uint64)
+            np.cumsum(mix(((place.astype(np.uint64) << np.uint64(8)) | byte | salt) * _ODD), out=total[1:])
+            out[a : a + _AT_ONCE] = mix(total[last] - total[last - size])
+        return out
+
+    def grams(self, k: int, check: bool = False) -> np.ndarray:
+        """Hash (or check) of the k words from each word on; runs that leave a text are meaningless, see inside()."""
+        h = self.check if check else self.hash
         out = np.zeros(len(h), np.uint64)
         if len(h) >= k:
             n = len(h) - k + 1
             for j in range(k):
-                out[:n] = out[:n] * np.uint64(_BASE) + h[j : j + n]
+                out[:n] += h[j : j + n] * factor(j)
             out[:n] = mix(out[:n])
         return out
 

@@ -126,6 +126,23 @@ def test_substrings(made):
             assert words[r.doc_id][x.start : x.start + x.n_words] == words[x.ref_doc][x.ref_start : x.ref_start + x.n_words]
 
 
+def test_substrings_of_words_that_powers_confuse(spark):
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = [(1, "one two three four five six seven eight nine ten eleven twelve " + word), (2, "one two three four five six seven eight nine ten eleven twelve " + other)]
+    got = {r.doc_id: r.n_removed for r in substrings.dedup_substrings(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == {1: 0, 2: 0}
+
+
+def test_substrings_of_null_and_repeated_ids(spark):
+    same = " ".join(f"w{i}" for i in range(20))
+    rows = [(None, same), (None, same), (3, same), (3, same + " tail"), (5, "head " + same), (6, None), (6, same)]
+    got = substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "n_words", "n_removed").collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in got) == [(0, 20, 0), (0, 20, 0), (3, 20, 0), (3, 21, 0), (5, 21, 20), (6, 0, 0), (6, 20, 20)]
+
+
 def test_mix(made):
     docs, _, _, df = made
     rows = mixing.mix(df).collect()
