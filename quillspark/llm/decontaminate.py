@@ -5,8 +5,11 @@ position may shift: a block that no pattern holds shifts by m - B + 1 words. Whe
 names the patterns that end in it; a second block at the front thins them, and the bytes of the words decide. All
 texts of a batch are searched side by side: texts are cut in lanes, and one numpy step moves every lane.
 
-Patterns are broadcast in blocks of at most `block_patterns` windows, so no broadcast grows with the benchmark; each
-block is searched in turn and the hits are united. Documents are never shuffled.
+Tables grow with the patterns, so that most blocks of a text still shift, and are built once, by the driver. Patterns are
+taken in blocks of at most `block_patterns` windows and `block_bytes` bytes, which bounds what is broadcast. Benchmarks of one block,
+the usual case, need one pass and no shuffle. With more, documents are written once with a row number, each block makes
+a pass of its own that keeps only rows with hits, its broadcast is taken back before the next, and the hits of a row are
+united: neither the driver nor a worker holds more than a block.
 
 Defined results: a null text, or one without words, has no words and no hits; an item without words, or with a null
 item_id, has no windows; items of one text each keep their own id; rows of one doc_id are reported one by one.
@@ -14,20 +17,20 @@ item_id, has no windows; items of one text each keep their own id; rows of one d
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import partial
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 from .words import ALNUM, Words, parts
 
 WINDOW = 10
 LANE = 512
-TABLE_BITS = 16
+BLOCK_BYTES = 64 << 20
 
 
 def item_windows(item_id: int, text: str | None, window: int) -> Iterator[tuple[bytes, int]]:
@@ -46,9 +49,10 @@ class Patterns:
         self.texts, self.items = texts, items
         grams = Words(texts).grams(self.block).reshape(len(texts), self.m)[:, : self.m - self.block + 1]
         far = self.m - self.block + 1
-        self.shift = np.full(1 << TABLE_BITS, far, np.uint8 if far < 256 else np.int64)
-        for j in range(far):
-            np.minimum.at(self.shift, (grams[:, j] >> np.uint64(64 - TABLE_BITS)).astype(np.int64), far - 1 - j)
+        self.bits = min(26, max(12, (4 * len(texts) * far).bit_length()))  # at most a quarter of the entries are taken
+        self.shift = np.full(1 << self.bits, far, np.uint8 if far < 256 else np.int64)
+        for j in range(far):  # later blocks shift less and come last
+            self.shift[(grams[:, j] >> np.uint64(64 - self.bits)).astype(np.int64)] = far - 1 - j
         order = np.argsort(grams[:, -1], kind="stable")
         self.order = order
         self.suffix = grams[order, -1]
@@ -67,7 +71,7 @@ class Patterns:
         if not starts:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         at, stop = np.concatenate(starts), np.concatenate(stops)
-        key = (grams >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        key = (grams >> np.uint64(64 - self.bits)).astype(np.int64)
         tail = self.m - self.block
         found = []
         while len(at):
@@ -102,60 +106,95 @@ def build(windows: dict[bytes, list[int]]) -> list[Patterns]:
     return [Patterns(texts, [windows[t] for t in texts]) for _, texts in sorted(by_length.items())]
 
 
-def search(texts: list[bytes], sources: list[Callable[[], list[Patterns]]]) -> list[tuple[int, int, list[int]]]:
-    """(n_words, n_hit, sorted item ids) of each text. Each source gives a block of patterns, held while it is used."""
-    ranges = list(parts(texts))
-    hits: list[np.ndarray] = []
+def search(texts: list[bytes], block: list[Patterns]) -> tuple[list[int], list[list[tuple[int, int]]], list[list[int]]]:
+    """Of each text its number of words, the (first word, words) of its hits and the sorted ids of items found."""
+    sizes: list[int] = []
+    spans: list[set[tuple[int, int]]] = [set() for _ in texts]
     items: list[set[int]] = [set() for _ in texts]
-    sizes: list[np.ndarray] = []
-    for source in sources:
-        block = source()
-        for k, (a, b) in enumerate(ranges):
-            w = Words(texts[a:b], ALNUM)
-            if len(hits) <= k:
-                hits.append(np.zeros(len(w.doc) + 1, np.int64))
-                sizes.append(w.first)
-            for patterns in block:
-                at, which = patterns.find(w)
-                np.add.at(hits[k], at, 1)
-                np.add.at(hits[k], at + patterns.m, -1)
-                for d, p in set(zip(w.doc[at].tolist(), which.tolist(), strict=True)):
-                    items[a + d].update(patterns.items[p])
-    out = []
-    for hit, first in zip(hits, sizes, strict=True):
-        covered = np.concatenate([[0], np.cumsum(np.cumsum(hit[:-1]) > 0)])
-        out += zip(np.diff(first).tolist(), (covered[first[1:]] - covered[first[:-1]]).tolist(), strict=True)
-    return [(n, h, sorted(i)) for (n, h), i in zip(out, items, strict=True)]
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_patterns: int = 500_000, carry: list[str] | None = None) -> DataFrame:
-    """docs (or its columns `carry`) with the columns n_words, n_hit (words inside a benchmark window) and hit_items (array of item_id)."""
-    spark = docs.sparkSession
-    blocks, held = [], {}
+    for a, b in parts(texts):
+        w = Words(texts[a:b], ALNUM)
+        sizes += w.n.tolist()
+        for patterns in block:
+            at, which = patterns.find(w)
+            doc = w.doc[at]
+            for d, start in zip(doc.tolist(), (at - w.first[doc]).tolist(), strict=True):
+                spans[a + d].add((start, patterns.m))
+            for d, p in set(zip(doc.tolist(), which.tolist(), strict=True)):
+                items[a + d].update(patterns.items[p])
+    return sizes, [sorted(x) for x in spans], [sorted(x) for x in items]
+
+
+def covered(spans: list[tuple[int, int]]) -> int:
+    """Words inside any of the spans, which are sorted."""
+    n = end = 0
+    for start, m in spans:
+        n += max(0, start + m - max(start, end))
+        end = max(end, start + m)
+    return n
+
+
+def blocks_of(benchmark: DataFrame, window: int, block_patterns: int, block_bytes: int) -> Iterator[list[Patterns]]:
+    held: dict[bytes, list[int]] = {}
+    size = 0
     for row in benchmark.where("item_id is not null").select("item_id", "text").toLocalIterator():
         for text, item in item_windows(row[0], row[1], window):
             held.setdefault(text, []).append(item)
-        if len(held) >= block_patterns:
-            blocks.append(spark.sparkContext.broadcast(held))
-            held = {}
-    if held or not blocks:
-        blocks.append(spark.sparkContext.broadcast(held))
+            size += len(text) + 100
+            if len(held) >= block_patterns or size >= block_bytes:
+                yield build(held)
+                held, size = {}, 0
+    yield build(held)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sources = [partial(lambda x: build(x.value), x) for x in blocks]
-        if len(sources) == 1:
-            sources = [lambda built=sources[0](): built]
-        for batch in batches:
-            rows = search([t or b"" for t in batch.column(0).to_pylist()], sources)
-            found = pa.array([{"n_words": n, "n_hit": h, "hit_items": i} for n, h, i in rows], schema)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *found.flatten()], [*batch.schema.names[1:], "n_words", "n_hit", "hit_items"])
 
-    schema = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("hit_items", pa.list_(pa.int64()))])
-    taken = {"n_words", "n_hit", "hit_items"}
-    own = [c for c in (docs.columns if carry is None else carry) if c.lower() not in taken]
+_FOUND = "n_words bigint, n_hit bigint, hit_items array<bigint>"
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_patterns: int = 500_000, carry: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs (or its columns `carry`) with the columns n_words, n_hit (words inside a benchmark window) and hit_items (array of item_id)."""
+    spark = docs.sparkSession
+    own = [c for c in (docs.columns if carry is None else carry) if c.lower() not in ("n_words", "n_hit", "hit_items")]
     df = docs.select(F.col("text").cast("binary").alias("__text"), *own)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[1:])
-    return df.mapInArrow(run, f"{ddl}, n_words bigint, n_hit bigint, hit_items array<bigint>")
+    out_schema = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("hit_items", pa.list_(pa.int64()))])
+    blocks = blocks_of(benchmark, window, block_patterns, block_bytes)
+    sent, more = spark.sparkContext.broadcast(next(blocks)), next(blocks, None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = zip(*search([t or b"" for t in batch.column(0).to_pylist()], sent.value), strict=True)
+            found = pa.array([{"n_words": n, "n_hit": covered(spans), "hit_items": items} for n, spans, items in got], out_schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *found.flatten()], [*batch.schema.names[1:], *out_schema.names])
+
+    if more is None:
+        return df.mapInArrow(run, f"{ddl}, {_FOUND}")
+
+    base = written(df.withColumn("__row", F.monotonically_increasing_id()), "texts")
+    hits = []
+    while sent is not None:
+
+        def hit(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                _, spans, items = search([t or b"" for t in batch.column(0).to_pylist()], sent.value)
+                some = [i for i, x in enumerate(spans) if x]
+                pairs = pa.list_(pa.struct([("a", pa.int64()), ("m", pa.int64())]))
+                rows = [batch.column(1).take(pa.array(some, pa.int64())), pa.array([[{"a": a, "m": m} for a, m in spans[i]] for i in some], pairs), pa.array([items[i] for i in some], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(rows, ["__row", "spans", "items"])
+
+        hits.append(written(base.select("__text", "__row").mapInArrow(hit, "__row bigint, spans array<struct<a: bigint, m: bigint>>, items array<bigint>"), "hits"))
+        sent.destroy()
+        sent = spark.sparkContext.broadcast(more) if more is not None else None
+        more = next(blocks, None) if more is not None else None
+    flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)  # noqa: E731  of one row: as many as it has hits
+    found = reduce(DataFrame.unionAll, hits).groupBy("__row").agg(flat("spans"), flat("items"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, _, _ = search([t or b"" for t in batch.column(0).to_pylist()], [])
+            spans = [covered([(x["a"], x["m"]) for x in row or []]) for row in batch.column(1).to_pylist()]
+            rows = [{"n_words": n, "n_hit": h, "hit_items": i or []} for n, h, i in zip(sizes, spans, batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[3:], *pa.array(rows, out_schema).flatten()], [*batch.schema.names[3:], *out_schema.names])
+
+    return base.join(found, "__row", "left").select("__text", "spans", "items", *own).mapInArrow(count, f"{ddl}, {_FOUND}")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
@@ -164,4 +203,3 @@ def op5(spark, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
     )
-
