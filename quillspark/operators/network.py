@@ -30,6 +30,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     now, at = kept_at(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = state(now)
+    if not before[0]:
+        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(most):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
