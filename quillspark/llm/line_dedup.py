@@ -1,23 +1,26 @@
 """Line dedup that can be undone: cuckoo filters by shard, backed by exact reference counts.
 
-The state is three tables in a folder. `postings` has a row for each (key digest, doc_id); `counts` has, for each digest,
-the exact number of documents and the largest doc_id that hold it; `filters` has, for each shard of digests, a cuckoo
-filter of the digests that enough documents hold to be dropped. Inserting documents adds postings, deleting documents takes
-theirs out, and both update counts of the digests they touch and put into or take out of the filters just the digests
-whose count crosses the threshold, which is what cuckoo filters allow and Bloom filters do not.
+The state is four tables in a folder, each kept as changes by version. `added` has a row for each (key digest, doc_id) that a
+version brought, and `gone` the doc_ids that it deleted. `counts` has, for each digest that a version touched, the exact number of
+documents and the largest doc_id that hold it; `filters` has, for each shard of digests that a version changed, a cuckoo
+filter of the digests that enough documents hold to be dropped. A change counts anew just the digests it touches, from the
+postings that hold them, and puts into or takes out of the filters just those whose count crosses the threshold, which is
+what cuckoo filters allow and Bloom filters do not. Earlier versions stay readable.
 
 A line's key is the line without [\\x20\\x09-\\x0D] at its ends and with A-Z lowered; its digest is two XXH64 of the key with
 different seeds, 128 bits. A filter answers at once for most lines that they stay; what it passes is settled by the
-exact counts. Filters go to all tasks only while their summed size is at most `broadcast_bytes`; beyond that the
-postings join the counts without them, with the same result.
+exact counts. Filters go to all tasks only while their summed size is at most `broadcast_bytes`; beyond that postings are
+dealt to the filters: by shard, a shard's in several parts, each with the shard's filter in front, so a task holds one filter.
 
 Defined results: a null or empty text is one empty line; rows of one doc_id are one document, but keep their own lines; a null
-doc_id counts as one document, and is never the largest; an empty table gives an empty result.
+doc_id counts as one document, and is never the largest; deleting what is not held, from an empty index too, changes nothing; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,7 @@ BROADCAST_BYTES = 16 << 20
 ENDS = "\x09\x0a\x0b\x0c\x0d\x20"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SALT = "second"
+SPREAD = 8  # parts of a shard where filters are not sent to all
 
 
 class CuckooFilter:
@@ -138,55 +142,95 @@ def shard_of(n: int) -> Column:
 
 
 class LineIndex:
-    """The state in `folder`: insert(), delete(), drops(). Each change writes a new version; the old one stays for undo."""
+    """The state in `folder`: insert(), delete(), drops(). Each change writes a version; `at` can be set back to an earlier one to read it."""
 
     def __init__(self, spark: SparkSession, folder: str | None = None, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shards: int | None = None):
         self.spark, self.folder = spark, folder or new_path(spark, "lines")
         self.min_chars, self.min_docs, self.shards = min_chars, min_docs, shards or shuffle_parts(spark)
         self.version = 0
-
-    def _at(self, name: str, version: int | None = None) -> str:
-        return f"{self.folder}/{self.version if version is None else version}/{name}"
-
-    def table(self, name: str) -> DataFrame | None:
-        return self.spark.read.parquet(self._at(name)) if self.version else None
+        self.inserted: list[int] = []
+        self.deleted: list[int] = []
+
+    def _path(self, name: str, version: int) -> str:
+        return f"{self.folder}/{name}/{version}"
+
+    def _read(self, name: str, version: int) -> DataFrame:
+        return self.spark.read.parquet(self._path(name, version))
+
+    def _latest(self, name: str, key: list[str]) -> DataFrame | None:
+        """The last change of each key."""
+        if not self.version:
+            return None
+        if self.version == 1:
+            return self._read(name, 1)
+        every = reduce(DataFrame.unionByName, (self._read(name, v).withColumn("version", F.lit(v)) for v in range(1, self.version + 1)))
+        rest = [c for c in every.columns if c not in (*key, "version")]
+        return every.groupBy(*key).agg(F.max_by(F.struct(*rest), "version").alias("last")).select(*key, "last.*")
+
+    def postings(self) -> DataFrame | None:
+        """(h1, h2, doc_id) of what was inserted and not deleted since; may repeat where a document was inserted twice."""
+        found = []
+        for v in (x for x in self.inserted if x <= self.version):
+            rows = self._read("added", v)
+            later = [self._read("gone", w) for w in self.deleted if v < w <= self.version]
+            if later:
+                gone = reduce(DataFrame.unionAll, later).distinct().withColumnRenamed("doc_id", "gone_id")
+                rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+            found.append(rows)
+        return reduce(DataFrame.unionAll, found) if found else None
+
+    def counts(self) -> DataFrame | None:
+        found = self._latest("counts", ["h1", "h2"])
+        return found if found is None or self.version == 1 else found.where("n_docs > 0")
+
+    def filters(self) -> DataFrame | None:
+        return self._latest("filters", ["shard"])
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        return self._change(added=postings(docs, self.min_chars))
+        old = self.counts()
+        postings(docs, self.min_chars).write.parquet(self._path("added", self.version + 1))
+        self.inserted.append(self.version + 1)
+        return self._changed(old, self._read("added", self.version + 1))
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Takes out all that rows with these doc_id (a table with that column) brought in."""
-        return self._change(gone=doc_ids.select("doc_id").distinct())
-
-    def _change(self, added: DataFrame | None = None, gone: DataFrame | None = None) -> LineIndex:
-        held, old, made = self.table("postings"), self.table("counts"), self.table("filters")
-        new = held
-        if gone is not None:
-            new = held.join(gone, held["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
-        if added is not None:
-            new = added if new is None else new.unionByName(added).distinct()
+        held, old = self.postings(), self.counts()
+        if held is None:
+            return self
+        doc_ids.select("doc_id").distinct().write.parquet(self._path("gone", self.version + 1))
+        self.deleted.append(self.version + 1)
+        gone = self._read("gone", self.version + 1).withColumnRenamed("doc_id", "gone_id")
+        return self._changed(old, held.join(gone, held["doc_id"].eqNullSafe(gone["gone_id"]), "left_semi"))
+
+    def _changed(self, old: DataFrame | None, rows: DataFrame) -> LineIndex:
+        """Counts and filters of the digests in `rows`, which a new version added or deleted."""
+        made = self.filters()
         self.version += 1
-        new.write.parquet(self._at("postings"))
-        counts(self.table("postings")).write.parquet(self._at("counts"))
-        over = self.table("counts").where(F.col("n_docs") >= self.min_docs).select("h1", "h2")
+        key = ["h1", "h2"]
         if old is None:
-            step = over.withColumn("change", F.lit(1))
+            counts(rows).write.parquet(self._path("counts", self.version))
+            step = self._read("counts", self.version).where(F.col("n_docs") >= self.min_docs).select(*key, F.lit(1).alias("change"))
         else:
-            was = old.where(F.col("n_docs") >= self.min_docs).select("h1", "h2")
-            step = over.join(was, ["h1", "h2"], "left_anti").withColumn("change", F.lit(1))
-            step = step.unionByName(was.join(over, ["h1", "h2"], "left_anti").withColumn("change", F.lit(-1)))
-        self._filters(step, made).write.parquet(self._at("filters"))
+            touched = written(rows.select(*key).distinct(), "touched")
+            now = counts(self.postings().join(touched, key, "left_semi"))
+            blank = touched.join(now, key, "left").select(*key, F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "last_doc")
+            blank.write.parquet(self._path("counts", self.version))
+            was = old.join(touched, key, "left_semi").select(*key, F.col("n_docs").alias("was"))
+            over, before = F.col("n_docs") >= self.min_docs, F.coalesce("was", F.lit(0)) >= self.min_docs
+            step = self._read("counts", self.version).join(was, key, "left").where(over != before).select(*key, F.when(over, 1).otherwise(-1).alias("change"))
+        self._filters(step, made).write.parquet(self._path("filters", self.version))
         return self
 
     def _filters(self, step: DataFrame, made: DataFrame | None) -> DataFrame:
-        """The filters after a change. A filter that runs full is made again from the exact counts of its shard."""
+        """The filters of the shards that change. A filter that runs full is made again from the exact counts of its shard."""
         n = self.shards
         rows = step.select(shard_of(n).alias("shard"), F.lit(0).alias("kind"), "h1", "h2", "change", F.lit(None).cast("binary").alias("filter"))
         if made is not None:
-            zero = F.lit(0)
+            zero, touched = F.lit(0), written(rows.select("shard").distinct(), "shards")
+            made = made.join(touched, "shard", "left_semi")
             rows = rows.unionByName(made.select("shard", F.lit(-1).alias("kind"), zero.cast("long").alias("h1"), zero.cast("long").alias("h2"), zero.alias("change"), "filter"))
-            all_over = self.table("counts").where(F.col("n_docs") >= self.min_docs)
-            rows = rows.unionByName(all_over.select(shard_of(n).alias("shard"), F.lit(1).alias("kind"), "h1", "h2", zero.alias("change"), F.lit(None).cast("binary").alias("filter")))
+            all_over = self.counts().where(F.col("n_docs") >= self.min_docs).withColumn("shard", shard_of(n)).join(touched, "shard", "left_semi")
+            rows = rows.unionByName(all_over.select("shard", F.lit(1).alias("kind"), "h1", "h2", zero.alias("change"), F.lit(None).cast("binary").alias("filter")))
         dealt = rows.repartition(n, "shard").sortWithinPartitions("shard", "kind")
 
         def build(shard: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -210,12 +254,11 @@ class LineIndex:
         return dealt.mapInArrow(run, "shard int, filter binary")
 
     def passed(self, found: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-        """Postings that the filters let through; all of them where the filters are too large to send to every task."""
-        filters = self.table("filters")
+        """Those of found (h1, h2, doc_id) that the filters let through."""
+        filters, n = self.filters(), self.shards
         if (filters.agg(F.sum(F.length("filter"))).first()[0] or 0) > broadcast_bytes:
-            return found
+            return self._passed_by_shard(found, filters)
         sent = self.spark.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in filters.collect()})
-        n = self.shards
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             made = {k: CuckooFilter.from_bytes(v) for k, v in sent.value.items()}
@@ -230,10 +273,36 @@ class LineIndex:
 
         return found.mapInArrow(run, "h1 bigint, h2 bigint, doc_id bigint")
 
-    def drops(self) -> DataFrame:
+    def _passed_by_shard(self, found: DataFrame, filters: DataFrame) -> DataFrame:
+        """The same with postings brought to their shard's filter. Each shard is dealt in parts by document, as one line may be in a third of all."""
+        slot = lambda shard, part: (shard * SPREAD + part).alias("slot")
+        rows = found.select(slot(shard_of(self.shards), F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).cast("int")), F.lit(1).alias("kind"), "h1", "h2", "doc_id", F.lit(None).cast("binary").alias("filter"))
+        zero = F.lit(0).cast("long")
+        copies = filters.select("filter", "shard", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"))
+        rows = rows.unionAll(copies.select(slot(F.col("shard"), F.col("part")), F.lit(0), zero, zero, zero, "filter"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, made = None, None
+            for batch in batches:
+                slots, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                cuts = [0, *(np.flatnonzero(slots[1:] != slots[:-1]) + 1).tolist(), len(slots)]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    if b > a and slots[a] != at:
+                        at, made = slots[a], None
+                    if b > a and kind[a] == 0:
+                        made = CuckooFilter.from_bytes(batch.column(5)[a].as_py())
+                        a += 1
+                    if b > a and made is not None:
+                        own = batch.slice(a, b - a)
+                        yield own.filter(pa.array(made.contains(own.column(2).to_numpy(), own.column(3).to_numpy()))).select(["h1", "h2", "doc_id"])
+
+        dealt = rows.repartition(self.shards * SPREAD, "slot").sortWithinPartitions("slot", "kind")
+        return dealt.mapInArrow(run, "h1 bigint, h2 bigint, doc_id bigint")
+
+    def drops(self, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
         """(doc_id, drops): the digests whose lines each document loses. Documents that lose none are left out."""
-        over = self.table("counts").where(F.col("n_docs") >= self.min_docs)
-        hit = self.passed(self.table("postings").select("h1", "h2", F.col("doc_id").cast("long"))).join(over, ["h1", "h2"])
+        over = self.counts().where(F.col("n_docs") >= self.min_docs)
+        hit = self.passed(self.postings().select("h1", "h2", F.col("doc_id").cast("long")), broadcast_bytes).join(over, ["h1", "h2"])
         hit = hit.where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
         return hit.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
 

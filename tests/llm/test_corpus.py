@@ -53,14 +53,37 @@ def test_lines_undone_by_deletion(spark, made):
     left = line_dedup.LineIndex(spark).insert(df.where("doc_id % 3 <> 0"))
     as_set = lambda x: {(r.doc_id, tuple(sorted(map(tuple, r.drops)))) for r in x.drops().collect()}
     assert as_set(index) == as_set(left)
-    assert {tuple(r) for r in index.table("counts").collect()} == {tuple(r) for r in left.table("counts").collect()}
+    assert {tuple(r) for r in index.counts().collect()} == {tuple(r) for r in left.counts().collect()}
 
 
-def test_lines_without_filters(spark, made):
+def test_lines_with_filters_dealt_by_shard(spark, made):
+    index = line_dedup.LineIndex(spark).insert(made[3])
+    found = index.postings()
+    few, dealt = (sorted(map(tuple, index.passed(found, broadcast_bytes=b).collect())) for b in (1 << 20, 0))
+    assert few == dealt and 0 < len(few) < found.count()
+
+
+def test_lines_deleted_from_nothing_and_put_back(spark, made):
     df = made[3]
-    index = line_dedup.LineIndex(spark).insert(df)
-    found = index.table("postings")
-    assert index.passed(found, broadcast_bytes=0).count() == found.count() > index.passed(found).count()
+    index = line_dedup.LineIndex(spark).delete(df.select("doc_id"))
+    assert index.version == 0
+    some, ids = df.where("doc_id < 80"), df.where("doc_id < 40").select("doc_id")
+    index.insert(some).delete(ids).insert(df.where("doc_id < 40")).insert(df.where("doc_id = 7"))
+    whole = line_dedup.LineIndex(spark).insert(some)
+    assert {tuple(r) for r in index.counts().collect()} == {tuple(r) for r in whole.counts().collect()}
+    touched = index._read("counts", 4).count()
+    assert touched <= 6  # one document's lines
+    index.version = 1
+    assert {tuple(r) for r in index.counts().collect()} == {tuple(r) for r in whole.counts().collect()}
+
+
+def test_lines_of_null_and_repeated_ids(spark):
+    line = "a line that is long enough to count"
+    rows = [(None, line), (None, line), (1, line), (1, f"{line}\nown"), (2, None)]
+    got = [(r.doc_id, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(None, 1, 0), (None, 1, 0), (1, 1, 0), (1, 2, 0), (2, 1, 0)], key=str)  # two documents hold it
+    got = [(r.doc_id, r.n_dropped) for r in line_dedup.dedup_lines(spark.createDataFrame([*rows, (3, line)], "doc_id bigint, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(None, 1), (None, 1), (1, 1), (1, 1), (2, 0), (3, 0)], key=str)
 
 
 def test_cuckoo_filter():
