@@ -2,19 +2,25 @@
 
 An ARC file starts with a filedesc record whose body names the version and the fields of the header lines that follow;
 each record is its header line, as many bytes as the line's last field declares, and a newline. Version 1 lines have five
-fields, version 2 lines ten. The converter reads lines by the file's own version, takes bodies by declared length only,
-and makes for each record a WARC record with a record id (a UUID from the URL, date and digest), an ISO timestamp, a type
-and SHA-1 digests. Of records with equal payloads of at least `min_bytes` bytes the one with the largest row number is a
-response; the others are revisits that refer to it and carry its HTTP headers, with the payload's length, but no payload.
+fields, version 2 lines ten. The converter reads lines by the file's own version, from the fields of a fixed form (address, date,
+length), so URLs and content types may hold spaces; it takes bodies by declared length only, and makes of each record a WARC record with
+a record id (a UUID from the row or place, URL, date and digest), an ISO timestamp, a type and SHA-1 digests; of the filedesc record it makes
+the warcinfo record. Records that are not HTTP, such as dns, become resources. Of records with equal payloads of at least `min_bytes`
+bytes one is a response; the others are revisits that name its id, URL and date and carry their own HTTP headers, with the payload's
+length, but no payload.
 
-Archives are written, gzipped, by Spark's own text writer into the folder that all executors share, some `segment_bytes` to a file,
-and read by its binary reader; nothing is written by tasks themselves. Copies are found by digest: only
-(digest, row) pairs are grouped, and a digest of a third of all rows is counted before the shuffle.
+`convert_arc` reads a folder of ARC files, plain or gzipped. What follows a broken header line or ends too early comes back as a row
+with an error, beside the sound records of the file. `convert` packs a table of pages as ARC first.
+
+WARC records are gzip members of their own. Spark's text writer puts some `segment_bytes` of them in a file, ended by a zero
+byte, which gzip readers skip, in the folder that all executors share, and its binary reader reads them; nothing is written by
+tasks themselves. Copies are found by digest: only (digest, place) pairs are grouped, and a digest of a third of all rows is
+counted before the shuffle.
 
 Defined results: a null payload is empty; empty and small payloads are always responses; a null or odd URL is
 percent-encoded or replaced by urn:row:N; rows of one page_id are separate records; if they are copies and the id is the
 largest, all rows of that id are responses. A null page_id never is the largest; a group of copies without an id refers to nothing
-and is all responses. An empty table gives an empty result.
+and is all responses. Other columns are not read. An empty table or folder gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +30,7 @@ import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -31,17 +38,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, table
+from .common import new_path, table, written
 
 MIN_BYTES = 1000
-SEGMENT_BYTES = 8 << 20
+SEGMENT_BYTES = 64 << 20
 DATE = "20240101000000"
 #: Fields of a header line in each version of the format.
 FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
+#: The same lines by the form of their fields.
+LINES = {
+    1: re.compile(r"(.*) ([0-9a-fA-F.:]+) (\d{4,17}) (.*) (\d+)"),
+    2: re.compile(r"(.*) ([0-9a-fA-F.:]+) (\d{4,17}) (.*?) (\S+) (\S+) (\S+) (\S+) (\S+) (\d+)"),
+}
 ROW, REFERS = "X-Row", "X-Refers-To-Row"
+SOFTWARE = "quillspark"
 
 
 def arc_record(version: int, url: str, body: bytes, offset: int, name: str, date: str = DATE) -> bytes:
@@ -64,7 +77,7 @@ def arc_file(rows: list[tuple[int | None, str | None, bytes]], version: int, nam
     out = [arc_start(version, name)]
     offset = len(out[0])
     for row, url, payload in rows:
-        url = quote(url, safe="%/:=&?~#+!$,;'@()*[]") if url and url.strip() else f"urn:row:{row}"
+        url = page_url(row, url)
         mark = f"{ROW}: {row}\r\n" if row is not None else ""
         body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n{mark}\r\n".encode() + payload
         out.append(arc_record(version, url, body, offset, name))
@@ -72,54 +85,105 @@ def arc_file(rows: list[tuple[int | None, str | None, bytes]], version: int, nam
     return b"".join(out)
 
 
-def read_arc(data: bytes) -> Iterator[dict]:
-    """Header fields and body of each record after the first, which says how to read the others."""
-    at, fields = 0, FIELDS[1].split()
-    first = True
+def arc_records(data: bytes) -> Iterator[dict]:
+    """Offset, header fields and body of each record, the filedesc record included. What can't be read is a last record with an error and the bytes."""
+    at, version = 0, None
+
+    def broken(why: str) -> dict:
+        return {"offset": at, "error": why, "body": data[at:]}
+
     while at < len(data):
         if data[at : at + 1] in b"\r\n":
             at += 1
             continue
-        end = data.index(b"\n", at)
-        got = data[at:end].decode("utf-8", "replace").rstrip("\r").split(" ")
-        length = int(got[-1])
+        end = data.find(b"\n", at)
+        line = data[at : end if end >= 0 else len(data)].decode("utf-8", "replace").rstrip("\r")
+        # the first line may be of either version; its body tells
+        got = LINES[version].fullmatch(line) if version else LINES[2].fullmatch(line) or LINES[1].fullmatch(line)
+        if end < 0 or not got:
+            yield broken("no header line of the file's version")
+            return
+        length = int(got[got.lastindex])
         body = data[end + 1 : end + 1 + length]
         if len(body) < length:
-            raise ValueError("the ARC file ends inside a record")
+            yield broken("the file ends inside a record")
+            return
+        if version is None:
+            named = body.split(b" ", 1)[0]
+            if not named.isdigit() or int(named) not in FIELDS:
+                yield broken("the first record names no known version")
+                return
+            version = int(named)
+            got = LINES[1].fullmatch(line) if version == 1 else got
+        fields = dict(zip(FIELDS[version].split(), got.groups(), strict=False))
+        yield fields | {"offset": at, "version": version, "body": body, "error": None}
         at = end + 1 + length
-        if first:
-            version = int(body.split(b" ", 1)[0])
-            fields = FIELDS[version].split()
-            first = False
-            continue
-        if len(got) != len(fields):
-            raise ValueError(f"a header line has {len(got)} fields, not {len(fields)}")
-        yield dict(zip(fields, got, strict=True)) | {"body": body}
+
+
+def read_arc(data: bytes) -> Iterator[dict]:
+    """The records after the first; a file with a fault is an error."""
+    for i, x in enumerate(arc_records(data)):
+        if x["error"]:
+            raise ValueError(x["error"])
+        if i:
+            yield x
 
 
 def sha1(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def warc_record(arc: dict, refers: int | None) -> bytes:
-    """The WARC record for an ARC record; refers is the row of the response that a revisit refers to."""
+def iso(date: str) -> str:
+    d = date[:14] + "20000101000000"[len(date[:14]) :]
+    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
+
+
+def record_id(place: object, url: str, date: str, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ' '.join((str(place), url, date, digest)))}>"
+
+
+def written_record(kind: str, place: object, url: str, date: str, block: bytes, lines: list[str]) -> bytes:
+    """A WARC record as a gzip member."""
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Date: {iso(date)}", *([f"WARC-Target-URI: {url}"] if kind != "warcinfo" else []), *lines]
+    head += [f"WARC-Block-Digest: {sha1(block)}", f"Content-Length: {len(block)}"]
+    return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 6, mtime=0)
+
+
+def warc_info(name: str, version: int, date: str = DATE) -> bytes:
+    """Of a filedesc record, or of the start of a file."""
+    block = f"software: {SOFTWARE}\r\nformat: WARC File Format 1.1\r\ndescription: converted from ARC version {version}\r\n".encode()
+    return written_record("warcinfo", name, "", date, block, [f"WARC-Record-ID: {record_id(name, 'warcinfo', date, '')}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields"])
+
+
+def warc_record(arc: dict, place: object, refers: dict | None = None) -> bytes:
+    """The WARC record for an ARC record; refers has the place, row, url and date of the response that a revisit refers to."""
+    url, date = arc["URL"], arc["Archive-date"]
+    lines = [f"WARC-IP-Address: {arc['IP-address']}"]
+    if not arc["body"].startswith(b"HTTP/"):
+        digest = sha1(arc["body"])
+        return written_record("resource", place, url, date, arc["body"], [f"WARC-Record-ID: {record_id(place, url, date, digest)}", *lines, f"WARC-Payload-Digest: {digest}", f"Content-Type: {arc['Content-type']}"])
     head, _, payload = arc["body"].partition(b"\r\n\r\n")
-    d, digest = arc["Archive-date"], sha1(payload)
-    lines = [
-        "WARC/1.1",
-        f"WARC-Type: {'response' if refers is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ' '.join((arc['URL'], d, digest, str(len(head)), head.decode('latin-1'))))}>",
-        f"WARC-Date: {d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z",
-        f"WARC-Target-URI: {arc['URL']}",
-        f"WARC-IP-Address: {arc['IP-address']}",
-        f"WARC-Payload-Digest: {digest}",
-        "Content-Type: application/http; msgtype=response",
-    ]
-    block = head + b"\r\n\r\n" + (payload if refers is None else b"")
+    digest = sha1(payload)
+    lines = [f"WARC-Record-ID: {record_id(place, url, date, digest)}", *lines, f"WARC-Payload-Digest: {digest}", "Content-Type: application/http; msgtype=response"]
     if refers is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"{REFERS}: {refers}"]
-    lines += [f"WARC-Block-Digest: {sha1(block)}", f"Content-Length: {len(block)}"]
-    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+        lines += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers['place'], refers['url'], refers['date'], digest)}",
+            f"WARC-Refers-To-Target-URI: {refers['url']}", f"WARC-Refers-To-Date: {iso(refers['date'])}", *([f"{REFERS}: {refers['row']}"] if refers.get("row") is not None else []),
+        ]
+    return written_record("response" if refers is None else "revisit", place, url, date, head + b"\r\n\r\n" + (payload if refers is None else b""), lines)
+
+
+def members(data: bytes) -> Iterator[bytes]:
+    """What each gzip member holds, one at a time; a plain file is one member."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    while data := data.lstrip(b"\0"):
+        one = zlib.decompressobj(31)
+        yield one.decompress(data)
+        if not one.eof:
+            raise ValueError("the gzip member is not whole")
+        data = one.unused_data
 
 
 HEADER = re.compile(rb"^([^:\r\n]+):[ \t]*([^\r\n]*)", re.M)
@@ -143,48 +207,113 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], dict[str, str], byt
         at = end + 4 + length
 
 
+def page_url(row: int | None, url: str | None) -> str:
+    return quote(url, safe="%/:=&?~#+!$,;'@()*[]") if url and url.strip() else f"urn:row:{row}"
+
+
 def references(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """(page_id, digest, refers): the copies that become revisits."""
+    """(page_id, digest, refers, refers_url): the copies that become revisits."""
     payload = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n")).where(F.col("n") >= min_bytes).drop("n")
-    copies = rows.groupBy("digest").agg(F.max("page_id").alias("refers"), F.min("page_id").alias("low")).where("low < refers").drop("low")
-    return rows.join(copies, "digest").where("page_id < refers").select("page_id", "digest", "refers").distinct()
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n")).where(F.col("n") >= min_bytes).drop("n")
+    copies = rows.where("page_id is not null").groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("last"), F.min("page_id").alias("low")).where("low < last.page_id")
+    copies = copies.select("digest", F.col("last.page_id").alias("refers"), F.col("last.url").alias("refers_url"))
+    return rows.drop("url").join(copies, "digest").where("page_id < refers").distinct()
+
+
+def save(segments: DataFrame, name: str) -> str:
+    """Rows (records: a file's gzip members) as files in a new shared folder; returns the folder."""
+    folder = new_path(segments.sparkSession, name)
+    segments.select(F.col("records").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(folder)
+    return folder
 
 
 def convert(pages: DataFrame, min_bytes: int = MIN_BYTES, segment_bytes: int = SEGMENT_BYTES) -> str:
-    """Pages as ARC files, by turns of both versions, converted to WARC files in a new shared folder; returns the folder."""
+    """Pages as ARC files, by turns of both versions, converted to WARC files in a new shared folder; returns the folder. Of copies the
+    one with the largest page_id is the response."""
     refs = references(pages, min_bytes).withColumnsRenamed({"page_id": "r_page", "digest": "r_digest"})
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.cast("binary").alias("payload"), F.sha1(payload).alias("digest"))
     rows = rows.join(refs, (F.col("page_id") == F.col("r_page")) & (F.col("digest") == F.col("r_digest")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, turn = [], 0, 0
+        held, size, turn, some = [], 0, 0, False
+        for batch in batches:
+            for row, url, payload, refers, refers_url in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if not held:
+                    held.append(warc_info("pages.arc", 1 + turn % 2))
+                arc = next(read_arc(arc_file([(row, url, payload)], 1 + turn % 2, "pages.arc")))
+                to = {"place": refers, "row": refers, "url": page_url(refers, refers_url), "date": DATE} if refers is not None else None
+                held.append(warc_record(arc, row if row is not None else (arc["body"][:200], arc["offset"]), to))
+                size, some = size + len(payload), True
+                if size >= segment_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["records"])
+                    held, size, turn, some = [], 0, turn + 1, False
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["records"])
+
+    return save(rows.select("page_id", "url", "payload", "refers", "refers_url").mapInArrow(run, "records binary"), "warc")
+
+
+_ARC = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("version", pa.int32()), *[(c, pa.string()) for c in ("url", "ip", "date", "kind")], ("body", pa.binary()), ("digest", pa.string()), ("n_payload", pa.int64()), ("error", pa.string())])
+
+
+def read_arcs(spark, folder: str) -> DataFrame:
+    """(file, offset, version, url, ip, date, kind, body, digest, n_payload, error): the records of a folder of ARC files, plain or gzipped; rows with an error hold what can't be read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                try:
+                    found = arc_records(b"".join(members(content)))
+                except (ValueError, zlib.error) as fault:
+                    found = iter([{"offset": 0, "error": str(fault), "body": content}])
+                rows, size = [], 0
+                for x in found:
+                    payload = x["body"].partition(b"\r\n\r\n")[2] if x["body"].startswith(b"HTTP/") else x["body"]
+                    rows.append((name, x["offset"], x.get("version"), x.get("URL"), x.get("IP-address"), x.get("Archive-date"), x.get("Content-type"), x["body"], hashlib.sha1(payload).hexdigest(), len(payload), x["error"]))
+                    size += len(x["body"])
+                    if size >= 1 << 24:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARC.types, strict=True)], schema=_ARC)
+                        rows, size = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARC.types, strict=True)], schema=_ARC)
 
-        def segment() -> pa.RecordBatch:
-            arc = arc_file([x[:3] for x in held], 1 + turn % 2, "pages.arc")
-            records = [warc_record(x, refers) for x, (*_, refers) in zip(read_arc(arc), held, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([b"".join(records)[:-4]], pa.binary())], ["records"])
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "content")
+    return files.mapInArrow(run, "file string, offset bigint, version int, url string, ip string, date string, kind string, body binary, digest string, n_payload bigint, error string")
 
+
+def convert_arc(spark, folder: str, min_bytes: int = MIN_BYTES, segment_bytes: int = SEGMENT_BYTES) -> tuple[str, DataFrame]:
+    """A folder of ARC files as WARC files in a new shared folder: (the folder, rows with an error). Of copies the first by date, file and
+    offset is the response."""
+    found = written(read_arcs(spark, folder), "arcs")
+    sound = found.where("error is null")
+    first = sound.where((F.col("n_payload") >= min_bytes) & F.col("body").startswith(F.lit(b"HTTP/"))).groupBy("digest").agg(F.min(F.struct("date", "file", "offset", "url")).alias("r"))
+    refs = first.select(F.col("digest").alias("r_digest"), F.col("r.date").alias("r_date"), F.col("r.file").alias("r_file"), F.col("r.offset").alias("r_offset"), F.col("r.url").alias("r_url"))
+    rows = sound.join(refs, F.col("digest") == F.col("r_digest"), "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                held.append(row)
-                size += len(row[2])
+            for x in batch.to_pylist():
+                arc = {"URL": x["url"], "IP-address": x["ip"], "Archive-date": x["date"], "Content-type": x["kind"], "body": x["body"]}
+                if x["url"].startswith("filedesc:"):
+                    held.append(warc_info(x["url"].removeprefix("filedesc://"), x["version"], x["date"]))
+                else:
+                    own = x["r_digest"] is None or (x["r_file"], x["r_offset"]) == (x["file"], x["offset"])
+                    to = None if own else {"place": (x["r_file"], x["r_offset"]), "url": x["r_url"], "date": x["r_date"]}
+                    held.append(warc_record(arc, (x["file"], x["offset"]), to))
+                size += len(x["body"])
                 if size >= segment_bytes:
-                    yield segment()
-                    held, size, turn = [], 0, turn + 1
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["records"])
+                    held, size = [], 0
         if held:
-            yield segment()
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["records"])
 
-    folder = new_path(pages.sparkSession, "warc")
-    segments = rows.select("page_id", "url", "payload", "refers").mapInArrow(run, "records binary").select(F.col("records").cast("string").alias("value"))
-    # a record ends with two line ends; the writer puts in the last ones of each file
-    segments.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", 1).option("compression", "gzip").text(folder)
-    return folder
+    return save(rows.drop("error", "digest", "n_payload").mapInArrow(run, "records binary"), "warc"), found.where("error is not null")
 
 
 def read_archives(spark, folder: str) -> DataFrame:
-    """(row, url, record_type, record_id, payload_bytes, payload_digest, refers_to) of every record in a folder of WARC files."""
+    """(row, url, record_type, record_id, payload_bytes, payload_digest, refers_to) of every response and revisit in a folder of WARC files."""
     schema = pa.schema(
         [("row", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("record_id", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64())]
     )
@@ -193,8 +322,10 @@ def read_archives(spark, folder: str) -> DataFrame:
         for batch in batches:
             for data in batch.column(0):
                 rows = []
-                for warc, http, payload in read_warc(gzip.decompress(data.as_py())):
-                    n = int(http["Content-Length"])
+                for warc, http, payload in (x for member in members(data.as_py()) for x in read_warc(member)):
+                    if warc["WARC-Type"] not in ("response", "revisit"):
+                        continue
+                    n = int(http.get("Content-Length", len(payload)))
                     digest = base64.b32decode(warc["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
                     if warc["WARC-Type"] == "response" and (len(payload) != n or hashlib.sha1(payload).hexdigest() != digest):
                         raise ValueError(f"the payload of {warc['WARC-Record-ID']} is not whole")

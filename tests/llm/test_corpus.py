@@ -234,6 +234,47 @@ def test_arc_by_declared_length(version):
         list(warc.read_arc(data[:-3] if version == 1 else data[: len(data) - 3]))
 
 
+def test_folder_of_arc_files(spark, tmp_path):
+    import gzip
+
+    http = lambda body: b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % len(body) + body
+    same, latin = b"s" * 1500, "na\u00efve".encode("latin-1")
+    one = warc.arc_start(1, "one.arc", "20010203040506")
+    one += b"http://x/a b?c d 1.2.3.4 20010203040506 text/html; charset=x %d\n" % len(http(same)) + http(same) + b"\n"
+    one += b"dns:x 1.2.3.4 20010203040507 text/dns 5\nabc\n1\n"
+    two = warc.arc_start(2, "two.arc") + warc.arc_record(2, "http://y/", http(same), 0, "two.arc", "20020101000000") + warc.arc_record(2, "http://z/", http(latin), 0, "two.arc")
+    (tmp_path / "one.arc").write_bytes(one)
+    (tmp_path / "two.arc.gz").write_bytes(gzip.compress(two[:200]) + gzip.compress(two[200:]))
+    (tmp_path / "cut.arc").write_bytes(one[:-3])
+    (tmp_path / "junk.arc").write_bytes(b"no archive at all")
+    folder, faults = warc.convert_arc(spark, str(tmp_path))
+    assert {(r.file.rsplit("/", 1)[1], r.error) for r in faults.collect()} == {("cut.arc", "the file ends inside a record"), ("junk.arc", "no header line of the file's version")}
+    records = []
+    for part in spark.read.format("binaryFile").load(folder).collect():
+        for member in warc.members(bytes(part.content)):
+            records += warc.read_warc(member)
+    kinds = sorted((h["WARC-Type"], h.get("WARC-Target-URI")) for h, _, _ in records)
+    url = "http://x/a b?c d"
+    assert kinds == sorted([("warcinfo", None)] * 3 + [("response", url), ("revisit", url), ("revisit", "http://y/"), ("response", "http://z/"), ("resource", "dns:x")])
+    first = next(h for h, _, _ in records if h["WARC-Type"] == "response" and h["WARC-Target-URI"] == url)
+    for h, _, payload in records:
+        if h["WARC-Type"] == "revisit":
+            assert payload == b"" and h["WARC-Refers-To"] == first["WARC-Record-ID"] and h["WARC-Refers-To-Target-URI"] == url and h["WARC-Refers-To-Date"] == "2001-02-03T04:05:06Z"
+        if h.get("WARC-Target-URI") == "http://z/":
+            assert payload == latin
+    got = warc.read_archives(spark, folder).collect()
+    assert sorted((r.url, r.record_type, r.payload_bytes) for r in got) == sorted([(url, "response", 1500), (url, "revisit", 1500), ("http://y/", "revisit", 1500), ("http://z/", "response", 5)])
+
+
+def test_archives_of_null_and_repeated_ids(spark):
+    page, other = "p" * 1200, "q" * 1200
+    rows = [(None, "http://a", page, 1), (4, "http://a", page, 1), (4, "http://b", page, 2), (2, "http://c", page, 3), (None, None, other, 4), (None, None, other, 5), (1, None, None, 6)]
+    got = warc.read_archives(spark, warc.convert(spark.createDataFrame(rows, "page_id bigint, url string, html string, record_type int"))).collect()
+    assert sorted(((r.row, r.record_type, r.refers_to, r.payload_bytes) for r in got), key=str) == sorted(
+        [(None, "response", None, 1200)] * 3 + [(4, "response", None, 1200)] * 2 + [(2, "revisit", 4, 1200), (1, "response", None, 0)], key=str
+    )
+
+
 PAGES = {
     "<html><body><nav><ul><li><a href=x>Menu</a></ul></nav><div class='ad'>Buy this now, it is very good and cheap.</div><article><h1>T &amp; U</h1><p><b>One <i>two</i>\n three.<br><p>Four</article><footer>&copy; c</footer>": "T & U\nOne two three.\nFour",
     "<div id=top><a href=a>Home</a><a href=b>News</a></div><div class=content><p>First para with enough words, to be sure.</p><p>Second para, also long enough to be text.</p></div><div class='comments'><p>I think this is great and so long a comment.</p></div>": "First para with enough words, to be sure.\nSecond para, also long enough to be text.",
