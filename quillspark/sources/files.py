@@ -15,7 +15,7 @@ from .tables import table
 def scratch(spark: SparkSession) -> str:
     """A new folder that executors share, under spark.checkpoint.dir, which goes when the driver's JVM ends. Where the setting is missing, a local
     folder will do only if all tasks run in this machine; on a cluster that is an error, as each executor would write to its own disk."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     jvm = spark.sparkContext._jvm
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
