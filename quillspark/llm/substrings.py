@@ -61,6 +61,15 @@ def runs(hashes: np.ndarray, checks: np.ndarray | None = None) -> tuple[np.ndarr
     return first, np.diff(np.append(first, len(hashes)))
 
 
+def to_blob(x: np.ndarray) -> bytes:
+    """First bytes of all numbers, then second bytes and so on: high bytes are alike and compress well in a shuffle."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def from_blob(blob: bytes, dtype: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+
+
 def packed(hashes: np.ndarray, checks: np.ndarray, docs: np.ndarray, places: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
     """Rows for the shards. Of each hash only the two smallest documents of the batch go to the hash's shard; what the
     smallest settles for the others is known here, and goes to any shard, with the reference."""
@@ -79,7 +88,7 @@ def packed(hashes: np.ndarray, checks: np.ndarray, docs: np.ndarray, places: np.
         for a, m in zip(*runs(shard), strict=True):
             k = at[a : a + m]
             ref = lead[k] if known else k[:0]
-            rows.append((int(shard[a]), known, *(x.tobytes() for x in (hashes[k], checks[k[: 0 if known else m]], docs[k], places[k], docs[ref], places[ref]))))
+            rows.append((int(shard[a]), known, *(to_blob(x) for x in (hashes[k], checks[k[: 0 if known else m]], docs[k], places[k], docs[ref], places[ref]))))
     if rows:
         types = (pa.int32(), pa.bool_(), *[pa.binary()] * 6)
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], PACKED.replace(",", "").split()[::2])
@@ -91,7 +100,7 @@ def unpacked(batches: list[pa.RecordBatch]) -> tuple[list[np.ndarray], list[np.n
     for batch in batches:
         for known, *blobs in zip(*(batch.column(i).to_pylist() for i in range(1, 8)), strict=True):
             for held, blob, t in zip(got[known], blobs, BLOBS, strict=True):
-                held.append(np.frombuffer(blob, t))
+                held.append(from_blob(blob, t))
     open_, settled = ([np.concatenate(x) for x in got[known]] for known in (False, True))
     order = np.lexsort((open_[2], open_[1], open_[0]))
     return [x[order] for x in open_[:4]], [settled[i] for i in (0, 2, 4, 5)]
