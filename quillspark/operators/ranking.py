@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..plans.named import named
 from ..sources.tables import table
-from .retrieval import bm25, nearest, query_tokens
+from .retrieval import bm25, nearest
 
 _NEAR = """n as (select q.vec_id as query_id, q.label as wanted, r.vec_id, r.label, round(list_cosine_similarity(q.embedding::double[], r.embedding::double[]), 6) as cosine from embeddings q, embeddings r where q.vec_id % 20 = 0 and q.vec_id <> r.vec_id),
     k as (select * from (select *, row_number() over (partition by query_id order by cosine desc, vec_id) as rank from n) where rank <= {k})"""
@@ -145,8 +145,7 @@ def retrieve_keyword(spark, folder):
 def retrieve_diagnostics(spark, folder):
     """How good and how varied the ten best of each item are."""
     docs = table(spark, folder, "documents")
-    top = bm25(docs, query_tokens(table(spark, folder, "benchmark"))).withColumn("score", F.round("score", 6))
-    top = top.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))).where("r <= 10")
+    top = bm25(docs, table(spark, folder, "benchmark"), 10)
     out = top.join(docs.select("doc_id", "source"), "doc_id").groupBy("item_id").agg(F.max("score").alias("best"), F.round(F.avg("score"), 4).alias("mean"), F.count("*").alias("n"), F.countDistinct("source").alias("families"))
     return out.withColumn("diversity", F.round(F.col("families") / F.col("n"), 3))
 

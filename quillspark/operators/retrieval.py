@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,24 +18,82 @@ from .network import kept
 K1, B = 1.5, 0.75
 
 
-def query_tokens(items: DataFrame) -> DataFrame:
-    """(item_id, token, times): all tokens of an item; a token that repeats counts as often."""
-    one = items.select("item_id", F.explode(C.tokens(F.col("text"))).alias("token"))
-    return one.groupBy("item_id", "token").agg(F.count("*").alias("times"))
+def query_blocks(items: DataFrame, size: int = 2000) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of at most `size` items: their ids, their distinct tokens, and (token, item, times) sorted by token."""
 
+    def block(rows: list) -> tuple:
+        terms, code = np.unique(np.array([t for r in rows for t in r["t"]], object).astype(str), return_inverse=True)
+        pairs, times = np.unique(code.reshape(-1) * np.int64(len(rows)) + np.repeat(np.arange(len(rows)), [len(r["t"]) for r in rows]), return_counts=True)
+        return np.array([r["item_id"] for r in rows], np.int64), pa.array(terms, pa.string()), pairs // len(rows), pairs % len(rows), times
 
-def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(item_id, doc_id, score). Only tokens that a query holds are counted. The weights of the queries' tokens are written first; then
-    texts are dealt by document, so that counts and sums of a document stay in its task and only its scores travel."""
-    sized = lambda d: d.select("doc_id", C.tokens(F.col("text")).alias("t")).withColumn("len", F.size("t"))
-    whole = sized(docs).agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    df = docs.select(F.explode(F.array_distinct(C.tokens(F.col("text")))).alias("token")).join(queries.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = kept(queries.join(df, "token").join(F.broadcast(whole)).select("item_id", "token", "mean", (idf * F.col("times")).alias("w")))  # whole: one row
-    held = sized(docs.select("doc_id", "text").repartition("doc_id")).select("doc_id", "len", F.explode("t").alias("token")).join(weights.select("token").distinct(), "token", "left_semi")
-    hit = held.groupBy("doc_id", "len", "token").agg(F.count("*").alias("tf")).join(weights, "token")
-    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    return hit.groupBy("item_id", "doc_id").agg(F.sum(part).alias("score"))
+    held = []
+    for row in items.where("item_id is not null").select("item_id", F.coalesce(C.tokens(F.col("text")), F.array()).alias("t")).toLocalIterator():
+        held.append(row)
+        if len(held) == size:
+            yield block(held)
+            held = []
+    if held:
+        yield block(held)
+
+
+def bm25(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """(item_id, doc_id, score): the k best documents of each of items (item_id, text), by all tokens of the item; a token that repeats counts as often.
+
+    Items, a stated set of questions, go out in blocks. A block takes two scans: one counts documents by token, the other scores a task's
+    documents against the block, a matrix at a time, and keeps k an item, so a token that is everywhere costs no shuffle."""
+    spark, out = docs.sparkSession, None
+    held = docs.where("doc_id is not null").select("doc_id", C.tokens(F.col("text")).alias("t"))
+
+    def found(tokens: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Length of each document, and (document, term) of each token that is a term."""
+        size = np.asarray(tokens.value_lengths().fill_null(0))
+        term = np.asarray(pc.index_in(tokens.flatten(), value_set=terms).fill_null(-1))
+        some = np.flatnonzero(term >= 0)
+        return size, np.repeat(np.arange(len(size)), size)[some], term[some].astype(np.int64)
+
+    for ids, terms, term_at, item_at, times in query_blocks(items):
+        if not len(terms):
+            continue
+
+        def count(batches: Iterator[pa.RecordBatch], terms=terms) -> Iterator[pa.RecordBatch]:
+            n, whole = np.zeros(len(terms), np.int64), np.zeros(3, np.int64)
+            for batch in batches:
+                size, doc, term = found(batch.column(0), terms)
+                n += np.bincount(np.unique(doc * len(terms) + term) % len(terms), minlength=len(terms))
+                whole += len(size), len(size) - batch.column(0).null_count, size.sum()
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2, -3])), pa.array(np.append(n[at], whole))], ["term", "n"])
+
+        seen = {r["term"]: r["n"] for r in held.select("t").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # at most a row a term
+        n, mean = seen.get(-1, 0), seen.get(-3, 0) / max(1, seen.get(-2, 0))
+        df = np.array([seen.get(i, 0) for i in range(len(terms))], np.float64)
+        sent = spark.sparkContext.broadcast((ids, terms, np.append(np.searchsorted(term_at, np.arange(len(terms))), len(term_at)), item_at, np.log(1 + (n - df + 0.5) / (df + 0.5))[term_at] * times, mean))
+
+        def score(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, terms, first, item_at, weight, mean = sent.value
+            best, who = np.full((k, len(ids)), -np.inf), np.zeros((k, len(ids)), np.int64)
+            for batch in batches:
+                for a in range(0, len(batch), 1024):
+                    part = batch.slice(a, 1024)
+                    size, doc, term = found(part.column(1), terms)
+                    pairs, tf = np.unique(doc * len(terms) + term, return_counts=True)
+                    doc, term = pairs // len(terms), pairs % len(terms)
+                    value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean))
+                    many = first[term + 1] - first[term]
+                    at = np.repeat(first[term] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                    dense = np.bincount(np.repeat(doc, many) * len(ids) + item_at[at], np.repeat(value, many) * weight[at], len(part) * len(ids)).reshape(len(part), len(ids))
+                    every = np.concatenate([best, np.where(dense > 0, np.round(dense, 6), -np.inf)])
+                    name = np.concatenate([who, np.repeat(np.asarray(part.column(0))[:, None], len(ids), 1)])
+                    top = np.lexsort((name, -every), axis=0)[:k]
+                    best, who = np.take_along_axis(every, top, 0), np.take_along_axis(name, top, 0)
+            x, y = np.nonzero(best > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[y]), pa.array(who[x, y]), pa.array(best[x, y])], ["item_id", "doc_id", "score"])
+
+        got = held.select(F.col("doc_id").cast("long"), "t").mapInArrow(score, "item_id bigint, doc_id bigint, score double")
+        out = got if out is None else out.unionAll(got)
+    if out is None:
+        return spark.createDataFrame([], "item_id bigint, doc_id bigint, score double, rank int")
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k)
 
 
 _BM25 = """q0 as (select item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) as token from benchmark), q as (select item_id, token, count(*) as times from q0 group by all),
@@ -46,30 +105,38 @@ _BM25 = """q0 as (select item_id, unnest(regexp_extract_all(lower(text), '[a-z0-
 @named("retrieve_bm25", f"""with {_BM25} select item_id, doc_id, rank::int as rank, round(score, 6) as score from (select *, row_number() over (partition by item_id order by round(score, 6) desc, doc_id) as rank from score) where rank <= 10""")
 def retrieve_bm25(spark, folder):
     """Ten best documents for each benchmark item, by corpus-wide BM25."""
-    scored = bm25(table(spark, folder, "documents"), query_tokens(table(spark, folder, "benchmark"))).withColumn("score", F.round("score", 6))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))).where("rank <= 10").select("item_id", "doc_id", "rank", "score")
+    return bm25(table(spark, folder, "documents"), table(spark, folder, "benchmark"), 10).select("item_id", "doc_id", "rank", "score")
 
 
 @named(
     "retrieve_hybrid",
     f"""with {_BM25}, pool as (select * from (select item_id, doc_id, round(score, 6) as score, row_number() over (partition by item_id order by round(score, 6) desc, doc_id) as pos from score) where pos <= 60),
-    norm as (select *, min(score) over (partition by item_id) as lo, max(score) over (partition by item_id) as hi from pool),
-    boosted as (select item_id, doc_id, source, least(1, greatest(0, case when hi - lo <= 1e-9 then 0.5 else (score - lo) / (hi - lo) end
-        + case when quality = 1 then 0.06 when quality = 0 then -0.02 else 0 end + case when toxic = 1 then -0.03 else 0 end)) as final from norm join documents using (doc_id) left join labels using (doc_id)),
-    ranked as (select *, row_number() over (partition by item_id order by round(final, 6) desc, doc_id) as r from boosted), fam as (select *, row_number() over (partition by item_id, source order by r) as f from ranked)
-    select item_id, doc_id, round(final, 6) as score, rank::int as rank from (select *, row_number() over (partition by item_id order by f > 2, r) as rank from fam) where rank <= 12""",
+    m as (select item_id, i, avg(x) as x from (select item_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from pool join embeddings on vec_id = doc_id where pos <= 5) group by all), v as (select item_id, list(x order by i) as q from m group by item_id),
+    near as (select item_id, doc_id, greatest(0, round(list_cosine_similarity(embedding::double[], q), 6)) as near from pool join embeddings on vec_id = doc_id join v using (item_id)),
+    norm as (select pool.*, coalesce(near, 0) as near, min(score) over (partition by item_id) as lo, max(score) over (partition by item_id) as hi from pool left join near using (item_id, doc_id)),
+    boosted as (select item_id, doc_id, source, round(least(1, greatest(0, 0.65 * near + 0.35 * case when hi - lo <= 1e-9 then 0.5 else (score - lo) / (hi - lo) end
+        + case when quality = 1 then 0.06 when quality = 0 then -0.02 else 0 end + case when toxic = 1 then -0.03 else 0 end)), 6) as final from norm join documents using (doc_id) left join labels using (doc_id)),
+    ranked as (select *, row_number() over (partition by item_id order by final desc, doc_id) as r from boosted), fam as (select *, row_number() over (partition by item_id, source order by r) as f from ranked)
+    select item_id, doc_id, final as score, rank::int as rank from (select *, row_number() over (partition by item_id order by f > 2, r) as rank from fam) where rank <= 12""",
 )
-def retrieve_hybrid(spark, folder):
-    """Lexical pool of 60, min-max normalised, boosts by tier and stage, at most two of a family before the rest, top 12."""
-    scored = bm25(table(spark, folder, "documents"), query_tokens(table(spark, folder, "benchmark"))).withColumn("score", F.round("score", 6))
+def retrieve_hybrid(spark, folder, vectors: float = 0.65, words: float = 0.35):
+    """Vectors and words in one score (VEC8, VEC13): a lexical pool of 60, min-max normalised; the cosine to the mean vector of the item's five best
+    documents, as items have no vectors of their own; boosts by tier and stage; at most two of a family before the rest; top 12. Pools are 60 an item,
+    so all that follows the search is small."""
     item = Window.partitionBy("item_id")
-    pool = scored.withColumn("pos", F.row_number().over(item.orderBy(F.desc("score"), "doc_id"))).where("pos <= 60")
+    pool = kept(bm25(table(spark, folder, "documents"), table(spark, folder, "benchmark"), 60))
+    rows = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    seen = kept(pool.select("item_id", "doc_id", "rank").join(rows, "doc_id"))
+    mean = seen.where("rank <= 5").select("item_id", F.posexplode("embedding").alias("i", "x")).groupBy("item_id", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    query = mean.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("p")).select("item_id", F.col("p.x").alias("q"))
+    near = seen.join(query, "item_id").select("item_id", "doc_id", F.greatest(F.lit(0.0), F.round(C.cosine(F.col("embedding"), F.col("q")), 6)).alias("near"))
     lo, hi = F.min("score").over(item), F.max("score").over(item)
-    pool = pool.withColumn("norm", F.when(hi - lo <= 1e-9, 0.5).otherwise((F.col("score") - lo) / (hi - lo)))
+    pool = pool.withColumn("norm", F.when(hi - lo <= 1e-9, 0.5).otherwise((F.col("score") - lo) / (hi - lo))).join(near, ["item_id", "doc_id"], "left")
     docs, labels = table(spark, folder, "documents").select("doc_id", "source"), table(spark, folder, "labels")
     tier = F.when(F.col("quality") == 1, 0.06).when(F.col("quality") == 0, -0.02).otherwise(0.0)
     stage = F.when(F.col("toxic") == 1, -0.03).otherwise(0.0)
-    pool = pool.join(docs, "doc_id").join(labels, "doc_id", "left").withColumn("score", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("norm") + tier + stage)), 6))
+    score = vectors * F.coalesce("near", F.lit(0.0)) + words * F.col("norm") + tier + stage
+    pool = pool.drop("score", "rank").join(docs, "doc_id").join(labels, "doc_id", "left").withColumn("score", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 6))
     pool = pool.withColumn("r", F.row_number().over(item.orderBy(F.desc("score"), "doc_id")))
     pool = pool.withColumn("f", F.row_number().over(Window.partitionBy("item_id", "source").orderBy("r")))
     return pool.withColumn("rank", F.row_number().over(item.orderBy(F.col("f") > 2, "r"))).where("rank <= 12").select("item_id", "doc_id", "score", "rank")
@@ -89,10 +156,11 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, block: int = 5000) -> D
                     continue
                 x /= np.maximum(1e-12, np.linalg.norm(x, axis=1, keepdims=True))
                 own = batch.column(0).to_numpy()
-                near = q @ x.T
-                top = np.argsort(-near, axis=1, kind="stable")[:, : k + 1]
-                at = np.repeat(np.arange(len(q)), top.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(own[top.ravel()]), pa.array(near[at, top.ravel()])], ["query_id", "vec_id", "cosine"])
+                for a in range(0, len(q), 512):  # all that ties with the last one kept, by the digits ranks go by, is kept too
+                    near = np.round(q[a : a + 512] @ x.T, 6)
+                    least = np.partition(near, -(k + 1), axis=1)[:, -(k + 1)] if near.shape[1] > k + 1 else np.full(len(near), -np.inf)
+                    at, top = np.nonzero(near >= least[:, None])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a + at]), pa.array(own[top]), pa.array(near[at, top])], ["query_id", "vec_id", "cosine"])
 
         return rows.select("vec_id", "embedding").mapInArrow(run, "query_id bigint, vec_id bigint, cosine double")
 

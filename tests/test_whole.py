@@ -11,7 +11,7 @@ import pytest
 from quillspark import registry
 from quillspark.operators.graph import page_rank
 from quillspark.operators.network import components
-from quillspark.operators.retrieval import bm25, query_tokens
+from quillspark.operators.retrieval import bm25
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -19,7 +19,7 @@ FOLDER = "/root/testdata/sf0.001"
 def whole_sql(name):
     """Rows of the query's SQL."""
     con = duckdb.connect()
-    for t in ("benchmark", "documents", "labels", "lineitem"):
+    for t in ("benchmark", "documents", "embeddings", "labels", "lineitem"):
         con.execute(f"create view {t} as select * from read_parquet('{FOLDER}/{t}.parquet')")
     found = con.execute(registry.oracle_sql()[name])
     return [c[0] for c in found.description], found.fetchall()
@@ -42,9 +42,9 @@ def test_bm25_takes_all_words_of_an_item(spark):
                     part = math.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * t.count(q) * 2.5 / (t.count(q) + 1.5 * (0.25 + 0.75 * len(t) / mean))
                     want[i, d] = want.get((i, d), 0) + part
     rows = lambda x, key: spark.createDataFrame(list(x.items()), f"{key} bigint, text string")
-    got = {(r.item_id, r.doc_id): r.score for r in bm25(rows(docs, "doc_id"), query_tokens(rows(items, "item_id"))).collect()}
+    got = {(r.item_id, r.doc_id): r.score for r in bm25(rows(docs, "doc_id"), rows(items, "item_id"), 4).collect()}
     assert got.keys() == want.keys() and (7, 2) in got
-    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
 
 @pytest.mark.parametrize("name", ["retrieve_bm25", "retrieve_hybrid", "retrieve_diagnostics"])
