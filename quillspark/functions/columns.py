@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACES = r"[ \t\n\r\f\x0B]+"
@@ -147,3 +147,10 @@ def cosine(a: Column, b: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+
+
+def frequencies(rows: DataFrame, name: str) -> DataFrame:
+    """(name, n, n_docs) of rows with arrays t: how often each value occurs, and in how many rows."""
+    mark = lambda x, n, docs: F.struct(x.alias(name), F.lit(n).cast("long").alias("n"), F.lit(docs).cast("long").alias("docs"))
+    every = F.concat(F.transform("t", lambda x: mark(x, 1, 0)), F.transform(F.array_distinct("t"), lambda x: mark(x, 0, 1)))
+    return rows.select(F.explode(every).alias("x")).groupBy(f"x.{name}").agg(F.sum("x.n").alias("n"), F.sum("x.docs").alias("n_docs"))

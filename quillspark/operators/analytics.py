@@ -77,7 +77,7 @@ def agg_weeks(spark, folder):
 @named("agg_rank_stats", """with s as (select event_type, list_sort(list(value)) as v from events group by event_type) select event_type, len(v) as n, round(list_sum(v) / len(v), 6) as mean, v[len(v) // 2 + 1] as median, v[1] as least, v[-1] as most,
     case when len(v) > 20 then v[floor(len(v) * 0.95)::int + 1] end as p95 from s""")
 def agg_rank_stats(spark, folder):
-    """Median and 95th percentile by rank. Ranks come from counts of distinct values by type, so no type's rows meet in one task as a list."""
+    """Median and 95th percentile by rank. Ranks come from counts of distinct values; those of a type are ordered in one task, streamed, not held as a list."""
     e = table(spark, folder, "events").groupBy("event_type", "value").agg(F.count("*").alias("c"))
     w = Window.partitionBy("event_type")
     upto = F.sum("c").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))

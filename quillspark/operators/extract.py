@@ -12,14 +12,14 @@ from ..sources.tables import chunks, table
 from .ranking import retrieve_keyword
 from .text import _SQL_WORDS
 
-#: Kinds of unsafe input and what shows them.
+#: Kinds of unsafe input and what shows them.
 THREATS = {
     "sql": r"(?i)union\s+select|drop\s+table|;\s*--|or\s+1\s*=\s*1",
     "script": r"(?i)<script|javascript:|on(error|load|click)\s*=",
     "path": r"[.][.]/|%2e%2e",
 }
 
-#: Attempts to steer a model, and their weights; 5 together is unsafe.
+#: Attempts to steer a model, and their weights; 5 together is unsafe.
 STEERING = [(r"(?i)ignore (all |the )?(previous|above)", 5), (r"(?i)you are now", 3), (r"(?i)system prompt", 4), (r"(?i)act as", 2), (r"(?i)jailbreak|developer mode", 5)]
 
 
@@ -84,10 +84,9 @@ def chunk_filter(spark, folder):
 @named("text_bigrams", """with t as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]{2,}') as t from documents), p as (select doc_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) as bigram from t)
     select bigram, count(*) as n, count(distinct doc_id) as n_docs from p group by bigram having count(distinct doc_id) >= 3""")
 def text_bigrams(spark, folder):
-    """Word pairs of three documents or more; counted by document first, so a frequent pair meets its shuffle as few rows."""
+    """Word pairs of three documents or more, in one shuffle."""
     pairs = C.once(C.tokens(F.col("text")), lambda t: F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.size(t)), lambda a, b: F.concat_ws(" ", a, b)))
-    each = table(spark, folder, "documents").select("doc_id", F.explode(pairs).alias("bigram")).groupBy("doc_id", "bigram").agg(F.count("*").alias("n"))
-    return each.groupBy("bigram").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs")).where("n_docs >= 3")
+    return C.frequencies(table(spark, folder, "documents").select(pairs.alias("t")), "bigram").where("n_docs >= 3")
 
 
 @named("text_detail", r"""with d as (select doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w, greatest(len(regexp_extract_all(text, '[.!?]+')), 1) as s from documents)
