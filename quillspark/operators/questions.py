@@ -362,3 +362,52 @@ def text_restored(spark, folder):
     index = w.groupBy("item_id", "w").agg(F.sort_array(F.collect_list("i")).alias("places"))
     placed = index.select("item_id", "w", F.explode("places").alias("i")).groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("i", "w"))).alias("p"))
     return placed.select("item_id", F.md5(F.array_join("p.w", " ")).alias("text_md5"))
+
+
+#: Greetings that need no search, starts of simple questions, words of hard ones.
+GREETINGS = (
+    "hello", "hi ", "hey ", "hey!", "hi!", "thanks", "thank you", "help", "who are you", "what can you do", "how do you work", "good morning", "good afternoon", "good evening", "goodbye", "bye",
+    "hi there", "hey there", "what's up", "sup",
+)
+SIMPLE = ("what is", "define", "when was", "who", "list", "name", "how many", "yes or no", "true or false", "which year")
+HARD = (
+    "compare", "contrast", "synthesize", "analyze", "evaluate", "critique", "causal", "counterfactual", "mechanism", "endogeneity", "instrument", "regression discontinuity", "difference-in-differences",
+    "deep dive", "methodological", "literature review", "theoretical framework", "explain how", "explain why", "what are the implications",
+)
+
+
+@named("query_kind", f"""with q as (select conv_id, turn, lower(trim(text)) as q from conversations where text is not null), n as (select *, len(regexp_split_to_array(q, ' +')) as n, list_sum(list_transform({_sql_list(HARD)}, lambda v: contains(q, v)::int)) as hard from q)
+    select conv_id, turn, n <= 3 and {_sql_any('q', GREETINGS)} as skipped, case when n < 8 and list_sum(list_transform({_sql_list(SIMPLE)}, lambda v: starts_with(q, v)::int)) > 0 then 'simple' when hard >= 2 or hard >= 1 and n > 20 or len(q) - len(replace(q, '?', '')) > 1 then 'complex' else 'standard' end as kind from n""")
+def query_kind(spark, folder):
+    """Whether a question needs no search, and how hard it is (FLT7, QRY11)."""
+    q = table(spark, folder, "conversations").where("text is not null").select("conv_id", "turn", F.lower(F.trim("text")).alias("q"))
+    n, hard, text = F.size(F.split("q", " +")), _how_many(F.col("q"), HARD), F.col("q")
+    simple = (n < 8) & reduce(lambda a, b: a | b, (text.startswith(v) for v in SIMPLE))
+    complex_ = (hard >= 2) | (hard >= 1) & (n > 20) | (F.length("q") - F.length(F.replace("q", F.lit("?"), F.lit(""))) > 1)
+    return q.select("conv_id", "turn", ((n <= 3) & _any(text, GREETINGS)).alias("skipped"), F.when(simple, "simple").when(complex_, "complex").otherwise("standard").alias("kind"))
+
+
+@named("text_similar_parts", r"""with w as (select doc_id, unnest(string_split(text, chr(10))) as p, generate_subscripts(string_split(text, chr(10)), 1) as k from documents), s as (select doc_id, k, list_distinct(regexp_extract_all(lower(p), '[a-z]{4,}')) as s from w),
+    n as (select doc_id, k, s, lag(s) over (partition by doc_id order by k) as b from s) select doc_id, k::int as k, round(len(list_intersect(s, b)) / greatest(1, len(list_distinct(list_concat(s, b)))), 4)::double as likeness from n where b is not null""")
+def text_similar_parts(spark, folder):
+    """Likeness of each line to the one before by the words of both (DUP8), within the row."""
+    lines = F.split("text", "\n")
+    sets = F.transform(lines, lambda p: F.array_distinct(F.regexp_extract_all(F.lower(p), F.lit("[a-z]{4,}"), F.lit(0))))
+    like = lambda s: F.transform(s, lambda x, i: F.when(i > 0, F.round(F.size(F.array_intersect(x, F.get(s, i - 1))) / F.greatest(F.lit(1), F.size(F.array_union(x, F.get(s, i - 1)))), 4)))
+    rows = table(spark, folder, "documents").where("text is not null").select("doc_id", F.posexplode(C.once(sets, like)).alias("k", "likeness"))
+    return rows.where("likeness is not null").select("doc_id", (F.col("k") + 1).alias("k"), "likeness")
+
+
+@named("graph_confounders", """with up as (select 's' || s_suppkey as node, 'n' || s_nationkey as above from supplier union all select 'c' || c_custkey, 'n' || c_nationkey from customer union all select 'n' || n_nationkey, 'r' || n_regionkey from nation),
+    a as (select node, above from up union all select u.node, v.above from up u join up v on v.node = u.above), t as (select distinct 's' || l_suppkey as cause, 'c' || o_custkey as effect from lineitem join orders on l_orderkey = o_orderkey)
+    select cause, effect, count(b.above) as confounders from t left join a on a.node = t.cause left join a b on b.node = t.effect and b.above = a.above group by cause, effect""")
+def graph_confounders(spark, folder):
+    """Ancestors that cause and effect share (GRF14): suppliers and customers of an order, under nations and regions. Nodes have few ancestors, so pairs stay about as many as links."""
+    name = lambda prefix, column: F.concat(F.lit(prefix), F.col(column))
+    up = table(spark, folder, "supplier").select(name("s", "s_suppkey").alias("node"), name("n", "s_nationkey").alias("above"))
+    up = up.unionAll(table(spark, folder, "customer").select(name("c", "c_custkey"), name("n", "c_nationkey"))).unionAll(table(spark, folder, "nation").select(name("n", "n_nationkey"), name("r", "n_regionkey")))
+    above = up.unionAll(up.alias("u").join(up.alias("v"), F.col("u.above") == F.col("v.node")).select("u.node", "v.above")).groupBy("node").agg(F.collect_set("above").alias("above"))
+    line, order = table(spark, folder, "lineitem"), table(spark, folder, "orders")
+    pairs = line.join(order, F.col("l_orderkey") == F.col("o_orderkey")).select(name("s", "l_suppkey").alias("cause"), name("c", "o_custkey").alias("effect")).distinct()
+    one, two = above.select(F.col("node").alias("cause"), F.col("above").alias("x")), above.select(F.col("node").alias("effect"), F.col("above").alias("y"))
+    return pairs.join(one, "cause", "left").join(two, "effect", "left").select("cause", "effect", F.coalesce(F.size(F.array_intersect("x", "y")), F.lit(0)).cast("long").alias("confounders"))
