@@ -136,10 +136,11 @@ def density(text: Column) -> Column:
     return F.when(F.length(t) < 20, F.lit(0.0)).otherwise(F.round(letters * 0.3 + distinct * 0.3 + sentences * 0.2 + cited * 0.2, 3))
 
 
-def languages(text: Column) -> list[tuple[str, Column]]:
-    """(language, how many of its words are among the first 200)."""
-    first = F.array_distinct(F.slice(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), 1, 200))
-    return [(k, F.size(F.array_intersect(first, F.array(*map(F.lit, v.split()))))) for k, v in LANGUAGE_WORDS.items()]
+def languages(text: Column, first: int | None = None) -> list[tuple[str, Column]]:
+    """(language, how many of its words the text holds, or its first so many words)."""
+    every = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    held = F.array_distinct(every if first is None else F.slice(every, 1, first))
+    return [(k, F.size(F.array_intersect(held, F.array(*map(F.lit, v.split()))))) for k, v in LANGUAGE_WORDS.items()]
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -41,14 +41,14 @@ def text_token_estimate(spark, folder):
 
 @named(
     "text_language",
-    "with w as (select doc_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')[1:200]) as w from documents), s as (select doc_id, "
+    "with w as (select doc_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) as w from documents), s as (select doc_id, "
     + ", ".join(f"len(list_intersect(w, string_split('{v}', ' '))) as {k}" for k, v in C.LANGUAGE_WORDS.items())
     + " from w) select doc_id, case when greatest(en, es, fr, de, pt) <= 3 then 'unknown' "
     + " ".join(f"when {k} = greatest(en, es, fr, de, pt) then '{k}'" for k in C.LANGUAGE_WORDS)
     + " end as language, round(greatest(en, es, fr, de, pt) / 15, 3) as confidence from s",
 )
 def text_language(spark, folder):
-    """Share of a language's frequent words that are among the first 200 words; over 0.2, or unknown. Ties go to the first."""
+    """Share of a language's frequent words that the whole text holds; over 0.2, or unknown. Ties go to the first. C.languages takes a number of first words, too."""
     found = C.languages(F.col("text"))
     s = table(spark, folder, "documents").select("doc_id", *[n.alias(k) for k, n in found])
     best = F.greatest(*[k for k, _ in found])

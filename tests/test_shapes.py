@@ -3,10 +3,12 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import columns as C
 from quillspark.operators.network import nearest
+from quillspark.operators.similarity import bit_links, simhash_links, title_links
 from quillspark.sources.files import read_bibtex
 
 POINTS = "label string, id long, x double, y double, z double"
@@ -50,3 +52,37 @@ def test_bibtex_with_braces_quotes_and_junk(spark, tmp_path):
     (tmp_path / "a.bib").write_text('@Article{k1,\n  title = {A {B} c},\n  Year = 1999,\n  note = "q, r"\n}\n@comment no entry\n@book{k2,\n author={X and Y}}\n')
     got = {r["key"]: (r["kind"], r["fields"]) for r in read_bibtex(spark, str(tmp_path)).collect()}
     assert got == {"k1": ("article", {"title": "A {B} c", "year": "1999", "note": "q, r"}), "k2": ("book", {"author": "X and Y"})}
+
+
+@pytest.mark.parametrize("bucket", [1000, 3])
+@pytest.mark.parametrize("distance", [0, 3, 5])
+def test_bit_links_by_all_pairs(spark, bucket, distance):
+    rng = random.Random(distance)
+    found = {0, (1 << 64) - 1}
+    for _ in range(12):
+        base = rng.getrandbits(64)
+        found |= {base ^ sum(1 << i for i in rng.sample(range(64), rng.randrange(7))) for _ in range(12)}
+        found |= {base ^ sum(1 << i for i in rng.sample(range(32), 5)) for _ in range(3)}
+    signed = [x - (1 << 64) if x >> 63 else x for x in sorted(found)]
+    ids = {x: i for i, x in enumerate(signed)}
+    want = {}
+    for a in signed:
+        near = [ids[b] for b in signed if a != b and ((a ^ b) & (1 << 64) - 1).bit_count() <= distance]
+        if near:
+            want[a] = (len(near), min(near))
+    got = bit_links(spark.createDataFrame([(x, i) for x, i in ids.items()], "f long, id long"), distance, bucket)
+    assert {r.f: (r.n_links, r.first) for r in got.collect()} == want
+
+
+def test_simhash_of_null_empty_and_repeated_texts(spark):
+    docs = spark.createDataFrame([(3, "a b c d"), (1, "A b  c d"), (2, None), (5, " \n"), (4, "")], "id long, body string")
+    got = {r.id: (r.fingerprint, r.class_id, r.n_links, r.kept) for r in simhash_links(docs, "id", "body").collect()}
+    assert got[1][0] == got[3][0] and got[3][1:] == (1, 0, False) and got[1][1:] == (1, 0, True)
+    assert got[2] == ("0" * 16, 2, 0, True) and got[4][1:] == (2, 0, False) and got[5][1:] == (2, 0, False)
+    assert simhash_links(docs.limit(0), "id", "body").count() == 0
+
+
+def test_title_links_of_repeats_and_empty_titles(spark):
+    titles = spark.createDataFrame([(1, "The red fox"), (2, "red fox, the"), (3, "red fox the end"), (4, "fox"), (5, "fox fox fox"), (6, "?!"), (7, None)], "id long, t string")
+    got = {r.id: (r.class_id, r.n_links) for r in title_links(titles, "id", "t").collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 1), 4: (4, 0), 5: (5, 0)}
