@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import columns as C
 from quillspark.operators.network import nearest
+from quillspark.operators.sentences import claims, notebook_blocks, read_markdown, read_mbox, write_mbox
 from quillspark.operators.similarity import bit_links, simhash_links, title_links
 from quillspark.sources.files import read_bibtex
 
@@ -86,3 +87,31 @@ def test_title_links_of_repeats_and_empty_titles(spark):
     titles = spark.createDataFrame([(1, "The red fox"), (2, "red fox, the"), (3, "red fox the end"), (4, "fox"), (5, "fox fox fox"), (6, "?!"), (7, None)], "id long, t string")
     got = {r.id: (r.class_id, r.n_links) for r in title_links(titles, "id", "t").collect()}
     assert got == {1: (1, 1), 2: (1, 1), 3: (3, 1), 4: (4, 0), 5: (5, 0)}
+
+
+def test_markdown_files(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "one.md").write_text("before\n# First\n x  y\n\n  ##\nz\n#Last\n")
+    (tmp_path / "two.md").write_text("# Only")
+    (tmp_path / "no.txt").write_text("# Not\nread")
+    got = [(r.path.rsplit("/", 1)[1], r.block, r.heading, r.body) for r in read_markdown(spark, str(tmp_path)).orderBy("path", "block").collect()]
+    assert got == [("one.md", 0, "Document", "before"), ("one.md", 1, "First", "x y"), ("one.md", 2, "Section", "z")]
+
+
+def test_notebooks_of_broken_empty_and_other_cells(spark):
+    books = [(1, None), (2, "{broken"), (3, '{"cells": []}'), (4, '{"cells": [{"cell_type": "raw", "source": ["r"]}, {"cell_type": "markdown", "source": ["# T\\n", "t"]}, {"cell_type": "code", "source": ["1 + 1"]}]}')]
+    got = [tuple(r) for r in notebook_blocks(spark.createDataFrame(books, "id long, book string"), "book").collect()]
+    assert got == [(4, 2, "# T", "# T t"), (4, 3, "Code cell 3", "1 + 1")]
+
+
+def test_mail_with_lines_that_start_with_from(spark, tmp_path):
+    mail = [("a", "s", "From me\n>From you\n\nbye"), ("b", "", None), ("c", "Subject: x", "x\n\nSubject: y")]
+    write_mbox(spark.createDataFrame(mail, "sender string, subject string, body string").repartition(2), str(tmp_path / "mail"))
+    got = sorted(tuple(r) for r in read_mbox(spark, str(tmp_path / "mail")).collect())
+    assert got == [(a, s, b or "") for a, s, b in mail]
+
+
+def test_claims_with_doubt_years_and_empty_causes(spark):
+    texts = [(1, "Rising rent leads to fewer births (1999). This causes a lot of grief. Short causes it."), (2, "High taxes may trigger a long strike"), (3, None), (4, "")]
+    got = sorted((r.id, *r.c) for r in spark.createDataFrame(texts, "id long, t string").select("id", F.explode(claims(F.col("t"))).alias("c")).collect())
+    assert got == [(1, "Rising rent", "fewer births", "leads_to", 0.977), (2, "High taxes may", "a long strike", "triggers", 0.595)]
