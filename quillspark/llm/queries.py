@@ -6,6 +6,7 @@ from .decontaminate import op5
 from .html_text import op1
 from .line_dedup import op2
 from .mixing import op7
+from .prefix_trie import op11
 from .quality import op9
 from .simhash import op6
 from .substrings import op8
@@ -24,8 +25,12 @@ QUERIES = {
     "op8_substring_dedup": op8,
     "op9_quality": op9,
     "op10_vector_dedup": op10,
+    "op11_prefix_trie": op11,
 }
 
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({}, ''), lambda c: ord(c)::bigint)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
 _KEY = "translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce({}, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
@@ -76,4 +81,22 @@ ORACLE_SQL = {
         root as (select a as vec_id, min(b) as component_id from reach group by a),
         n as (select a as vec_id, count(*) as n_links from links group by a)
         select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component_id as kept from embeddings left join root using (vec_id) left join n using (vec_id)""",
+    "op11_prefix_trie": f"""
+        with raw as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+        t as (select conv_id, role, text, row_number() over (partition by conv_id order by turn nulls first, sha256(strlen(role) || ':' || role || text)) as i from raw),
+        info as (select conv_id, count(*) as n, conv_id - conv_id % 5 as base, {_CRC32.format('conv_id::varchar')} % 9 as h from t group by conv_id),
+        seq as (select c.conv_id, i as d, role, text from info c join t on t.conv_id = c.base where i <= h
+            union all select c.conv_id, i - c.h + least(c.h, coalesce(b.n, 0)), role, text from info c join t on t.conv_id = c.conv_id left join info b on b.conv_id = c.base where i > c.h),
+        lists as (select conv_id, coalesce(list({{'role': role, 'text': text}} order by d) filter (d is not null), []) as turns from info left join seq using (conv_id) group by conv_id),
+        cut as (select conv_id, turns, unnest(range(0, len(turns) + 1)) as depth from lists),
+        keys as (select conv_id, depth, depth = len(turns) as ends, case when depth > 0 then strlen(turns[depth].text) else 0 end as size,
+            array_to_string(list_transform(turns[1:depth], lambda x: strlen(x.role) || ':' || strlen(x.text) || ':' || x.role || x.text), '') as key from cut),
+        nodes as (select key, depth, min(conv_id) as conv_id, count(*) as n_convs, min(size) as size, string_agg(conv_id::varchar, ',' order by conv_id) filter (ends) as ids from keys group by key, depth),
+        up as (select n.conv_id, n.depth, p.key, p.depth as top_depth from nodes n join keys p on p.conv_id = n.conv_id and p.depth <= n.depth),
+        kids as (select key, top_depth as depth, count(*) as n_children from up where top_depth = depth - 1 group by all),
+        above as (select u.conv_id, u.depth, p.conv_id as parent_conv_id from up u join nodes p on p.key = u.key and p.depth = u.top_depth where u.top_depth = u.depth - 1),
+        every as (select n.*, coalesce(n_children, 0) as n_children from nodes n left join kids using (key, depth)),
+        below as (select u.key, u.top_depth as depth, count(*) filter (e.n_children = 0) as n_leaves, sum((e.n_convs - 1) * e.size)::bigint as saved_tokens from up u join every e on e.conv_id = u.conv_id and e.depth = u.depth group by all)
+        select e.conv_id, e.depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) as ends_sha256
+        from every e join below using (key, depth) left join above a on a.conv_id = e.conv_id and a.depth = e.depth""",
 }
