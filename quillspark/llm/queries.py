@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .decontaminate import op5
+from .divergence import op12
 from .html_text import op1
+from .language import op13
 from .line_dedup import op2
 from .mixing import op7
 from .prefix_trie import op11
@@ -26,6 +28,8 @@ QUERIES = {
     "op9_quality": op9,
     "op10_vector_dedup": op10,
     "op11_prefix_trie": op11,
+    "op12_divergence": op12,
+    "op13_language": op13,
 }
 
 _CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({}, ''), lambda c: ord(c)::bigint)),
@@ -99,4 +103,21 @@ ORACLE_SQL = {
         below as (select u.key, u.top_depth as depth, count(*) filter (e.n_children = 0) as n_leaves, sum((e.n_convs - 1) * e.size)::bigint as saved_tokens from up u join every e on e.conv_id = u.conv_id and e.depth = u.depth group by all)
         select e.conv_id, e.depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) as ends_sha256
         from every e join below using (key, depth) left join above a on a.conv_id = e.conv_id and a.depth = e.depth""",
+    "op12_divergence": """
+        with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w from documents),
+        t as (select r, lang, source, unnest(w) as term from d),
+        kept as (select lang, term from t group by lang, term having count(distinct r) >= 3),
+        v as (select lang, count(*) as v from kept group by lang),
+        c as (select lang, source, term, count(*) as c from t semi join kept using (lang, term) group by all),
+        n as (select g.lang, g.source, coalesce(sum(c), 0)::bigint as n from (select distinct lang, source from d) g left join c using (lang, source) group by all),
+        p as (select n.lang, n.source, k.term, coalesce(c.c, 0) as c, 1 + (1000000000::hugeint * (coalesce(c.c, 0) + 1)) // (n.n + v.v) as p
+            from n join v using (lang) join kept k using (lang) left join c on c.lang = n.lang and c.source = n.source and c.term = k.term),
+        whole as (select lang, sum(n)::bigint as n from n group by lang),
+        q as (select lang, term, 1 + (1000000000::hugeint * (sum(c)::bigint + 1)) // (any_value(w.n) + any_value(v)) as q from c join whole w using (lang) join v using (lang) group by lang, term),
+        far as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+        pair as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value from n a join n b on a.lang = b.lang and a.source <> b.source left join far f on f.lang = a.lang and f.source = a.source and f.item = b.source),
+        term as (select lang, source, 'term' as part, term as item, ((p - q) * (p - q) // q)::bigint as value from p join q using (lang, term) where c > 0 and p > q),
+        every as (select * from pair union all select * from term)
+        select lang, source, part, item, value, rank::int as rank from (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from every) where part = 'pair' or rank <= 200""",
 }
