@@ -233,8 +233,9 @@ def slot_row(lang: str, shard: int, source: str, slot: np.ndarray, n: np.ndarray
     return lang, shard, source, int(n.sum()), slot.astype(np.int32).tobytes(), n.astype(np.int64).tobytes()
 
 
-def recounted(docs: DataFrame, shards: DataFrame) -> DataFrame:
-    """The second pass with broadcast shards: COUNTED rows of kind SLOTS, in a shard's own slots."""
+def recounted(docs: DataFrame, shards: DataFrame, held: int = HELD_BYTES) -> DataFrame:
+    """The second pass with broadcast shards: COUNTED rows of kind SLOTS, in a shard's own slots. A task's dense slots take at most `held` bytes
+    (or one group's): before they would take more they leave the task."""
     got: dict[str, list] = {}
     for r in shards.orderBy("lang", "shard").select("lang", "n", "a", "b").collect():  # at most BROADCAST_BYTES, see divergence()
         got.setdefault(r["lang"], []).append((r["n"], bytes(r["a"]), bytes(r["b"])))
@@ -265,7 +266,7 @@ def recounted(docs: DataFrame, shards: DataFrame) -> DataFrame:
                         slots[lang] = known[lang].slots(terms)
                     if groups[i] not in dense:
                         size = len(known[lang].keys)
-                        if (sum(map(len, dense.values())) + size) * 8 > HELD_BYTES:
+                        if (sum(map(len, dense.values())) + size) * 8 > held:
                             yield emptied()
                         dense[groups[i]] = np.zeros(size, np.int64)
                     at = slots[lang][code[cut[i] : cut[i + 1]]]
@@ -397,16 +398,16 @@ def compared(rows: DataFrame, top: int) -> DataFrame:
     return streamed(rows, run, "lang string, source string, part string, item string, value long")
 
 
-def divergence(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
+def divergence(docs: DataFrame, least: int = LEAST, top: int = TOP, broadcast: int = BROADCAST_BYTES, keys: int = SHARD_KEYS, held: int = HELD_BYTES) -> DataFrame:
     """(lang, source, part, item, value, rank): for each source of a language how far each other source's terms are from its own (part `pair`), and
-    which terms it has more of than its language, the first `top` of them (part `term`)."""
+    which terms it has more of than its language, the first `top` of them (part `term`). Rows do not depend on the other settings."""
     docs = documents(docs)
     groups = written(docs.select("lang", "source").distinct(), "groups")
     most = groups.groupBy("lang").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
     kept = written(kept_terms(docs, least), "kept")
-    shards = written(sharded(kept, groups.select("lang").distinct(), int(min(SHARD_KEYS, max(16, CELLS // most)))), "shards")
+    shards = written(sharded(kept, groups.select("lang").distinct(), int(min(keys, max(16, CELLS // most)))), "shards")
     size = shards.agg(F.sum(F.octet_length("a") + F.octet_length("b"))).first()[0] or 0
-    slots = written(recounted(docs, shards) if size <= BROADCAST_BYTES else dealt(docs, shards), "slots")
+    slots = written(recounted(docs, shards, held) if size <= broadcast else dealt(docs, shards), "slots")
     sums = groups.join(slots.groupBy("lang", "source").agg(F.sum("n").alias("n")), ["lang", "source"], "left")
     totals = sums.join(shards.select("lang", "shard"), "lang").select(
         "lang", "shard", F.lit(GROUP).alias("kind"), "source", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.lit(0).cast("long").alias("v"), F.lit(b"").alias("a"), F.lit(b"").alias("b")

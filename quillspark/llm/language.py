@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 from .labelled import held_out
 from .words import parts
 
@@ -111,13 +111,17 @@ def train(langs: list[str], texts: list[bytes], y: np.ndarray, steps: int = STEP
 
 
 def sample(docs: DataFrame, per_lang: int = PER_LANG) -> list:
-    """Rows (lang, piece) to learn from: PICKS pieces of each of at most `per_lang` texts a language, the first by a hash of their id and text."""
+    """Rows (lang, piece) to learn from: PICKS pieces of each of at most `per_lang` texts a language, the first by a hash of their id and text.
+
+    Hashes over a bound, which a language's number of texts sets, go before texts are ranked, so a language of most texts is not one task's."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), MOD, REST)).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    n_langs = known.select("lang").distinct().count()
-    most = max(1, min(per_lang, MOST // max(1, n_langs)))
+    sizes = written(known.groupBy("lang").agg(F.count("*").alias("n")), "langs")
+    most = max(1, min(per_lang, MOST // max(1, sizes.count())))
     span = F.greatest(F.length("text") - LENGTH // 2, F.lit(1))
     pieces = [F.substring(F.col("text"), (F.pmod(F.xxhash64(F.lit(k), F.col("doc_id"), F.col("text")), span) + 1).cast("int"), F.lit(LENGTH)) for k in range(PICKS)]
-    rows = known.select("lang", F.xxhash64("doc_id", "text").alias("at"), F.array(*pieces).alias("pieces"))
+    rows = known.select("lang", F.xxhash64("doc_id", "text").alias("at"), F.array(*pieces).alias("pieces")).join(sizes, "lang")
+    share = (F.col("at").cast("double") + float(1 << 63)) / float(1 << 64)
+    rows = rows.where(share * F.col("n") <= 1.5 * most + 100)
     rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("at", "pieces"))).where(F.col("rn") <= most)
     return sorted(rows.select("lang", F.explode("pieces").alias("piece")).where(F.col("piece") != "").collect())
 

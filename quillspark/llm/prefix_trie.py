@@ -202,8 +202,9 @@ def tour(tree: DataFrame) -> DataFrame:
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Places of the few arcs that are left: (id, place)."""
-    got = pa.Table.from_batches(list(batches))
-    if got.num_rows:
+    some = [b for b in batches if b.num_rows]
+    if some:
+        got = pa.Table.from_batches(some)
         ids, prev, to, gap = (got.column(c).to_numpy() for c in ("id", "prev", "next", "gap"))
         order = np.argsort(ids)
         follow = np.where(to >= 0, order[np.searchsorted(ids[order], to).clip(0, len(ids) - 1)], -1).tolist()
