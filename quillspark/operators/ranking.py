@@ -7,10 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import columns as C
 from ..plans.named import named
 from ..sources.tables import table
-from .retrieval import bm25, nearest
+from .neighbours import nearest, nearest_within
+from .retrieval import bm25
 
 _NEAR = """n as (select q.vec_id as query_id, q.label as wanted, r.vec_id, r.label, round(list_cosine_similarity(q.embedding::double[], r.embedding::double[]), 6) as cosine from embeddings q, embeddings r where q.vec_id % 20 = 0 and q.vec_id <> r.vec_id),
     k as (select * from (select *, row_number() over (partition by query_id order by cosine desc, vec_id) as rank from n) where rank <= {k})"""
@@ -58,16 +58,15 @@ def retrieve_mean_query(spark, folder):
     n as (select query_id, r.vec_id, round(list_cosine_similarity(q, r.embedding::double[]), 6) as cosine from s join embeddings r on r.label = s.label where s.r <= 2 and query_id <> r.vec_id)
     select query_id, vec_id, cosine from (select *, row_number() over (partition by query_id order by cosine desc, vec_id) as r from n) where r <= 5""")
 def retrieve_narrowed(spark, folder):
-    """Sections first: the two labels whose centroids are nearest, then the five nearest vectors within these. A row meets the
-    queries that chose its label, a stated set; AQE splits a label that holds much of the table."""
+    """Sections first: the two labels whose centroids are nearest, then the five nearest vectors within these. A label's rows and queries meet
+    as parts and blocks, so no row is joined with a query and no label is one task's."""
     rows = table(spark, folder, "embeddings")
     e = rows.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     centre = e.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("p")).select((-1 - F.col("label")).cast("long").alias("vec_id"), F.col("p.x").alias("embedding"))
     asked = rows.where("vec_id % 20 = 0").select("vec_id", "embedding")
     near = nearest(centre, asked, 2).select("query_id", (-1 - F.col("vec_id")).cast("int").alias("label"))
-    asked = near.join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
-    both = asked.join(rows, "label").where("query_id <> vec_id").select("query_id", "vec_id", F.round(C.cosine(F.col("q"), F.col("embedding")), 6).alias("cosine"))
-    return both.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))).where("r <= 5").drop("r")
+    asked = near.join(asked.withColumnRenamed("vec_id", "query_id"), "query_id").select(F.col("label").alias("team"), F.col("query_id").alias("vec_id"), "embedding")
+    return nearest_within(rows.select(F.col("label").alias("team"), "vec_id", "embedding"), asked, 5).select("query_id", "vec_id", "cosine")
 
 
 def diversified(pool: DataFrame, k: int, weight: float) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..plans.named import named
 from ..sources.tables import chunks, table
+from .neighbours import nearest
 from .network import kept
 
 K1, B = 1.5, 0.75
@@ -142,47 +143,6 @@ def retrieve_hybrid(spark, folder, vectors: float = 0.65, words: float = 0.35):
     return pool.withColumn("rank", F.row_number().over(item.orderBy(F.col("f") > 2, "r"))).where("rank <= 12").select("item_id", "doc_id", "score", "rank")
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, block: int = 5000) -> DataFrame:
-    """(query_id, vec_id, cosine): the k nearest of rows for each query, exactly. Queries go out in blocks of bounded size, each
-    task keeps k a query, and the union of these is ranked."""
-    spark, out, held = rows.sparkSession, None, []
-
-    def search(sent) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            for batch in batches:
-                x = np.array(batch.column(1).to_pylist(), np.float64)
-                if not len(x):
-                    continue
-                x /= np.maximum(1e-12, np.linalg.norm(x, axis=1, keepdims=True))
-                own = batch.column(0).to_numpy()
-                for a in range(0, len(q), 512):  # all that ties with the last one kept, by the digits ranks go by, is kept too
-                    near = np.round(q[a : a + 512] @ x.T, 6)
-                    least = np.partition(near, -(k + 1), axis=1)[:, -(k + 1)] if near.shape[1] > k + 1 else np.full(len(near), -np.inf)
-                    at, top = np.nonzero(near >= least[:, None])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a + at]), pa.array(own[top]), pa.array(near[at, top])], ["query_id", "vec_id", "cosine"])
-
-        return rows.select("vec_id", "embedding").mapInArrow(run, "query_id bigint, vec_id bigint, cosine double")
-
-    def flush() -> None:
-        nonlocal out, held
-        ids, q = np.array([r[0] for r in held]), np.array([r[1] for r in held], np.float64)
-        q /= np.maximum(1e-12, np.linalg.norm(q, axis=1, keepdims=True))
-        found = search(spark.sparkContext.broadcast((ids, q)))
-        out, held = found if out is None else out.unionAll(found), []
-
-    for row in queries.select("vec_id", "embedding").toLocalIterator():
-        held.append(row)
-        if len(held) == block:
-            flush()
-    if held:
-        flush()
-    if out is None:
-        return spark.createDataFrame([], "query_id bigint, vec_id bigint, cosine double, rank int")
-    out = out.where("query_id <> vec_id").withColumn("cosine", F.round("cosine", 6))
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))).where(F.col("rank") <= k)
-
-
 @named(
     "retrieve_nearest",
     """with n as (select q.vec_id as query_id, r.vec_id, round(list_cosine_similarity(q.embedding::double[], r.embedding::double[]), 6) as cosine from embeddings q, embeddings r where q.vec_id % 20 = 0 and q.vec_id <> r.vec_id)

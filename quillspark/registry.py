@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from .operators import analytics, curation, extract, graph, inference, network, questions, ranking, retrieval, sentences, similarity, telemetry, text  # noqa: F401  each adds its queries
+from .operators import analytics, causal, curation, extract, graph, inference, neighbours, network, postings, questions, ranking, regression, retrieval, sentences, sets, similarity, telemetry, text, walks  # noqa: F401  each adds its queries
 from .plans.named import QUERIES, SQL
 from .sources import files  # noqa: F401
 from .streaming import live  # noqa: F401
