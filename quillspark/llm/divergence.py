@@ -193,7 +193,7 @@ def shard_of(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def sharded(kept: DataFrame, langs: DataFrame, keys: int) -> DataFrame:
-    """COUNTED rows of kind SHARD: n terms of v of the language, a the terms by slot, b the levels. Every language has a shard at least.
+    """COUNTED rows of kind SHARD: n terms of v of the language, a the terms by slot, b the levels. Every language has a shard at least, and all its shards are there.
 
     Only languages of more than `keys` terms, at most one for each `keys` kept terms, have several shards; their number goes with each term."""
     sizes = written(kept.groupBy("lang").agg(F.count("*").alias("v")), "sizes")
@@ -213,10 +213,11 @@ def sharded(kept: DataFrame, langs: DataFrame, keys: int) -> DataFrame:
         return pa.table({"lang": group.column("lang")[:1], "shard": group.column("shard")[:1], "n": pa.array([len(terms)], pa.int64()), "a": pa.array([blob], pa.binary()), "b": pa.array([levels], pa.binary())})
 
     some = kept.mapInArrow(deal, "lang string, term binary, shard int").groupBy("lang", "shard").applyInArrow(build, "lang string, shard int, n long, a binary, b binary")
+    v = F.coalesce("v", F.lit(0)).cast("long")
+    wanted = langs.join(sizes, "lang", "left").select("lang", v.alias("v"), F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(v / keys).cast("int"), F.lit(1)) - 1)).alias("shard"))
+    every = wanted.join(some, ["lang", "shard"], "left")  # a shard may have no terms
     empty = F.lit(np.zeros(1, np.int64).tobytes())
-    none = langs.join(sizes, "lang", "left_anti").select("lang", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("n"), F.lit(b"").alias("a"), empty.alias("b"))
-    every = some.unionByName(none).join(sizes, "lang", "left")
-    return every.select("lang", "shard", F.lit(SHARD).alias("kind"), F.lit("").alias("source"), "n", F.coalesce("v", F.lit(0)).cast("long").alias("v"), "a", "b")
+    return every.select("lang", "shard", F.lit(SHARD).alias("kind"), F.lit("").alias("source"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), "v", F.coalesce("a", F.lit(b"")).alias("a"), F.coalesce("b", empty).alias("b"))
 
 
 def rows_of(kind: int, rows: list[tuple]) -> pa.RecordBatch:

@@ -74,7 +74,7 @@ def forked(conversations: DataFrame, every: int = FORK, heads: int = HEADS) -> D
     h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % heads
     info = pieces.groupBy("conv_id").agg(F.sum("n").alias("n_own")).select("conv_id", "n_own", (F.col("conv_id") - F.col("conv_id") % every).alias("base"), h.alias("h"))
     base = info.select(F.col("conv_id").alias("base"), F.col("n_own").alias("n_base"))
-    info = info.join(base, "base", "left").withColumn("taken", F.coalesce(F.least("h", "n_base"), F.lit(0)))
+    info = info.join(base, "base", "left").withColumn("taken", F.least("h", F.coalesce("n_base", F.lit(0))))
     info = written(info.select("conv_id", "base", "h", "taken", (F.col("taken") + F.greatest(F.col("n_own") - F.col("h"), F.lit(0))).alias("length")), "forks")
     place = F.col("at") - F.col("first") + F.col("before") + 1
     tails = cut.join(pieces.join(info, "conv_id"), ["conv_id", "part"]).where(place > F.col("h"))
