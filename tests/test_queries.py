@@ -26,11 +26,15 @@ def plain(x):
     return tuple(map(plain, x)) if isinstance(x, list) else x
 
 
+#: Queries whose rows SQL cannot give, with tests of their own in test_wide.py.
+WITHOUT_SQL = {"graph_clusters", "retrieve_approximate"}
+
+
 def test_each_query_has_sql():
-    assert set(registry.queries()) == set(registry.oracle_sql())
+    assert set(registry.queries()) - WITHOUT_SQL == set(registry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query(spark, duck, name):
     got = registry.queries()[name](spark, FOLDER)
     want = duck.execute(registry.oracle_sql()[name])
