@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..plans.named import named
 from ..sources.tables import table
+from .network import kept
+from .quantiles import at_places
 
 
 def grouped(name: str, source: str, keys: dict, aggs: dict, sql: str, having: str | None = None):
@@ -77,14 +79,14 @@ def agg_weeks(spark, folder):
 @named("agg_rank_stats", """with s as (select event_type, list_sort(list(value)) as v from events group by event_type) select event_type, len(v) as n, round(list_sum(v) / len(v), 6) as mean, v[len(v) // 2 + 1] as median, v[1] as least, v[-1] as most,
     case when len(v) > 20 then v[floor(len(v) * 0.95)::int + 1] end as p95 from s""")
 def agg_rank_stats(spark, folder):
-    """Median and 95th percentile by rank. Ranks come from counts of distinct values; those of a type are ordered in one task, streamed, not held as a list."""
-    e = table(spark, folder, "events").groupBy("event_type", "value").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("event_type")
-    upto = F.sum("c").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    e = e.withColumn("n", F.sum("c").over(w)).withColumn("hi", upto)
-    at = lambda i: F.min(F.when(F.col("hi") > i, F.col("value")))
-    s = e.groupBy("event_type", "n").agg(F.round(F.sum(F.col("c") * F.col("value")) / F.first("n"), 6).alias("mean"), at(F.floor(F.col("n") / 2)).alias("median"), F.min("value").alias("least"), F.max("value").alias("most"), at(F.floor(F.col("n") * 0.95)).alias("p95"))
-    return s.select("event_type", "n", "mean", "median", "least", "most", F.when(F.col("n") > 20, F.col("p95")).alias("p95"))
+    """Median and 95th percentile by rank, from counts by intervals, so a type of most events is not one task's."""
+    e = table(spark, folder, "events").select("event_type", "value")
+    s = kept(e.groupBy("event_type").agg(F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most")))
+    rank = {"median": F.floor(F.col("n") / 2), "p95": F.floor(F.col("n") * 0.95)}
+    want = s.select("event_type", F.explode(F.array(*rank.values())).alias("place"))
+    found = s.select("event_type", "n").join(at_places(e, "event_type", "value", want), "event_type")
+    found = found.groupBy("event_type").agg(*[F.max(F.when(F.col("place") == at, F.col("value"))).alias(name) for name, at in rank.items()])
+    return s.join(found, "event_type").select("event_type", "n", "mean", "median", "least", "most", F.when(F.col("n") > 20, F.col("p95")).alias("p95"))
 
 
 @named("agg_balance", """with c as (select o_orderpriority as topic, count(*) as n from orders group by 1) select topic, n, row_number() over (order by n desc, topic)::int as top, row_number() over (order by n, topic)::int as bottom, n < 0.5 * avg(n) over () as under from c""")

@@ -97,14 +97,17 @@ def text_detail(spark, folder):
     return d.select("doc_id", F.col("s").cast("long").alias("sentences"), F.round(F.size("w") / F.col("s"), 3).alias("words_a_sentence"), F.round(F.size(F.array_distinct("w")) / n, 3).alias("variety"), F.round(F.size(F.filter("w", lambda x: F.length(x) > 6)) / n, 3).alias("long_words"))
 
 
-@named("agg_snapshot", """with h as (select source, doc_id // 1000 as block, doc_id, sha256(text) as h from documents), b as (select source, block, count(*) as n, sha256(string_agg(h, '' order by doc_id)) as h from h group by all)
-    select source, sum(n)::bigint as n, sha256(string_agg(h, '' order by block)) as snapshot from b group by source""")
+@named("agg_snapshot", """with h0 as (select source, doc_id as k, 1 as n, sha256(text) as h from documents), h1 as (select source, k // 1000 as k, sum(n) as n, sha256(string_agg(h, '' order by k)) as h from h0 group by 1, 2),
+    h2 as (select source, k // 1000 as k, sum(n) as n, sha256(string_agg(h, '' order by k)) as h from h1 group by 1, 2), h3 as (select source, k // 1000 as k, sum(n) as n, sha256(string_agg(h, '' order by k)) as h from h2 group by 1, 2)
+    select source, sum(n)::bigint as n, sha256(string_agg(h, '' order by k)) as snapshot from h3 group by source""")
 def agg_snapshot(spark, folder):
-    """A hash of each source's documents in order: of blocks of ids, then of the blocks, so no list grows with a source's texts."""
-    joined = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(c, "h"))), lambda r: r["h"]), ""), 256)
-    h = table(spark, folder, "documents").select("source", "doc_id", F.floor(F.col("doc_id") / 1000).alias("block"), F.sha2("text", 256).alias("h"))
-    b = h.groupBy("source", "block").agg(F.count("*").alias("n"), joined("doc_id").alias("h"))
-    return b.groupBy("source").agg(F.sum("n").alias("n"), joined("block").alias("snapshot"))
+    """A hash of each source's documents in order: of a thousand ids, of a thousand such blocks, and of a thousand of these, so that a list has a
+    thousand hashes at most up to 10^12 ids."""
+    joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda r: r["h"]), ""), 256).alias("h")
+    h = table(spark, folder, "documents").select("source", F.col("doc_id").alias("k"), F.lit(1).cast("long").alias("n"), F.sha2("text", 256).alias("h"))
+    for _ in range(3):
+        h = h.groupBy("source", F.expr("k div 1000").alias("block")).agg(F.sum("n").alias("n"), joined).withColumnRenamed("block", "k")
+    return h.groupBy("source").agg(F.sum("n").alias("n"), joined.alias("snapshot"))
 
 
 @named("sink_bibtex", """select p_partkey, '@misc{' || lower(replace(p_brand, '#', '')) || '_' || p_partkey || ', title={' || p_name || '}, note={' || p_type || '}, pages={' || p_size || '}}' as entry from part""")

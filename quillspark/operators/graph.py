@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.named import named
-from ..sources.files import removed
+from ..sources.files import removed, scratch
 from ..sources.tables import table
 from .network import kept, kept_at
 
@@ -41,24 +43,35 @@ def graph_rank(spark, folder, rounds: int = 50, damping: float = 0.85):
     return page_rank(both, rounds, damping).select("id", F.round("v", 10).alias("rank"))
 
 
-def page_rank(link: DataFrame, rounds: int = 50, damping: float = 0.85, tolerance: float = 1e-12) -> DataFrame:
-    """(id, v): ranks over (src, dst) without redistribution of dangling weight; links of a node to itself don't count. Each round is written,
-    so plans stay short. Stops after so many rounds, or when no rank moved by more than the tolerance times itself."""
+def page_rank(link: DataFrame, rounds: int = 50, damping: float = 0.85, tolerance: float = 1e-12, deal: int = 100_000, every: int = 5) -> DataFrame:
+    """(id, v): ranks over (src, dst) without redistribution of dangling weight; links of a node to itself don't count.
+
+    Links are dealt to buckets by their source once, a source of more than about `deal` of them in several deals, so a round shuffles ranks and what
+    they hand on, summed by target first, and no links. Each round is written, so plans stay short. Stops after so many rounds, or when of the last
+    `every` no rank moved by more than the tolerance times itself."""
+    spark = link.sparkSession
     link = kept(link.where("src <> dst").distinct())
-    edges = kept(link.join(link.groupBy("src").agg((F.lit(1.0) / F.count("*")).alias("w")), "src"))
-    nodes = kept(link.select(F.col("src").alias("id")).union(link.select("dst")).distinct())
+    out = link.groupBy("src").agg(F.count("*").alias("n")).select("src", (F.lit(1.0) / F.col("n")).alias("w"), F.ceil(F.col("n") / deal).cast("int").alias("deals"))
+    dealt = link.join(out, "src").select("src", F.pmod(F.xxhash64("dst"), F.col("deals")).cast("int").alias("deal"), "dst", "w")
+    buckets, name, at = int(spark.conf.get("spark.sql.shuffle.partitions")), f"links_{uuid.uuid4().hex}", scratch(spark)
+    dealt.repartition(buckets, "src", "deal").write.option("path", at).bucketBy(buckets, "src", "deal").sortBy("src", "deal").saveAsTable(name)
+    edges = spark.table(name)
+    nodes = link.select(F.col("src").alias("id")).union(link.select("dst")).distinct().join(out.select(F.col("src").alias("id"), "deals"), "id", "left")
+    nodes = kept(nodes.fillna(0, ["deals"]))
     n = nodes.count()
-    rank, at = kept_at(nodes.select("id", F.lit(1.0 / max(1, n)).alias("v")))
-    for _ in range(rounds):
-        into = edges.join(rank, edges.src == rank.id).groupBy("dst").agg(F.sum(F.col("v") * F.col("w")).alias("got"))
-        old = rank.withColumnRenamed("v", "old")
-        new = old.join(into, old.id == into.dst, "left").select("id", "old", (F.lit((1 - damping) / max(1, n)) + damping * F.coalesce("got", F.lit(0.0))).alias("v"))
-        new, new_at = kept_at(new)
-        removed(link.sparkSession, at)
-        rank, at = new.select("id", "v"), new_at
-        if new.where(F.abs(F.col("v") - F.col("old")) > tolerance * F.col("v")).isEmpty():
+    rank, at = kept_at(nodes.select("id", "deals", F.lit(1.0 / max(1, n)).alias("v")))
+    for turn in range(rounds):
+        given = rank.where("deals > 0").select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), "v")
+        got = edges.join(given, ["src", "deal"]).select(F.col("dst").alias("id"), (F.col("v") * F.col("w")).alias("got"), F.lit(0).alias("deals"))
+        got = got.unionByName(rank.select("id", F.lit(0.0).alias("got"), "deals")).groupBy("id").agg(F.sum("got").alias("got"), F.max("deals").alias("deals"))
+        new, new_at = kept_at(got.select("id", "deals", (F.lit((1 - damping) / max(1, n)) + damping * F.col("got")).alias("v")))
+        still = turn % every == every - 1 and new.join(rank.select("id", F.col("v").alias("old")), "id").where(F.abs(F.col("v") - F.col("old")) > tolerance * F.col("v")).isEmpty()
+        removed(spark, at)
+        rank, at = new, new_at
+        if still:
             break
-    return rank
+    spark.sql(f"drop table {name}")
+    return rank.select("id", "v")
 
 
 @named("graph_two_hops", """with e as (select l_suppkey as a, l_partkey as b from lineitem group by all having avg(l_discount) > 0.06), f as (select a as s, b as t from e union select b + 1000000000, a from e where false)

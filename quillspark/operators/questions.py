@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..plans.named import named
 from ..sources.tables import table
+from .quantiles import quantiles
 from .ranking import _NEAR, _near
 
 #: What a question holds if it asks for details, or for an overview; the weights of vectors, words and variety for each and for others.
@@ -173,18 +174,18 @@ def text_markers(spark, folder, most: int = 6):
     return table(spark, folder, "documents").where("text is not null").select("doc_id", F.array_join(F.slice(once, 1, most), "|").alias("markers"), t.rlike(r"[A-Za-z][A-Za-z0-9_]{0,20}\s*=\s*[^.;\n]{3,80}").alias("equation"))
 
 
-@named("text_debate", f"select doc_id, list_sum(list_transform({_sql_list(DEBATE)}, lambda v: contains(lower(text), v)::int))::int as signals, substr(text, 1, 200) as preview from documents where {_sql_any('lower(text)', DEBATE)} or doc_id % 2 = 1 and contains(lower(text), 'no')")
+@named("text_debate", f"select doc_id, list_sum(list_transform({_sql_list(DEBATE)}, lambda v: contains(lower(text), v)::int))::int as signals, substr(text, 1, 200) as preview from documents where {_sql_any('lower(text)', DEBATE)}")
 def text_debate(spark, folder):
-    """Texts with markers of disagreement, how many, and how they begin (TXT3); for odd ids a plain "no" will do."""
+    """Texts with markers of disagreement, how many, and how they begin (TXT3)."""
     low = F.lower("text")
-    return table(spark, folder, "documents").where(_any(low, DEBATE) | (F.col("doc_id") % 2 == 1) & low.contains("no")).select("doc_id", _how_many(low, DEBATE).alias("signals"), F.substring("text", 1, 200).alias("preview"))
+    return table(spark, folder, "documents").where(_any(low, DEBATE)).select("doc_id", _how_many(low, DEBATE).alias("signals"), F.substring("text", 1, 200).alias("preview"))
 
 
-@named("text_consensus", f"""with d as (select source, {' + '.join(f"len(regexp_extract_all(lower(text), '{p}'))" for p in DISAGREE)} + len(regexp_extract_all(text, '!')) as n from documents where text <> ''), g as (select source, count(*) as texts, sum(n)::bigint as signals from d group by source)
+@named("text_consensus", f"""with d as (select source, {' + '.join(f"len(regexp_extract_all(lower(text), '{p}'))" for p in DISAGREE)} as n from documents where text <> ''), g as (select source, count(*) as texts, sum(n)::bigint as signals from d group by source)
     select source, texts, signals, case when texts < 2 or signals = 0 then 'unanimous' when signals / texts < 1.5 then 'majority' when signals / texts < 3 then 'split' else 'contested' end as level, greatest(0, least(100, trunc(round(100 - signals / texts * 20, 6))))::int as score from g""")
 def text_consensus(spark, folder):
-    """Agreement among a source's texts by signs of disagreement a text (QRY14); exclamation marks count as signs too, as the texts argue little."""
-    n = sum((F.regexp_count(F.lower("text"), F.lit(p)) for p in DISAGREE), F.regexp_count(F.col("text"), F.lit("!")))
+    """Agreement among a source's texts by signs of disagreement a text (QRY14)."""
+    n = sum((F.regexp_count(F.lower("text"), F.lit(p)) for p in DISAGREE), F.lit(0))
     g = table(spark, folder, "documents").where("text <> ''").groupBy("source").agg(F.count("*").alias("texts"), F.sum(n.cast("long")).alias("signals"))
     ratio = F.col("signals") / F.col("texts")
     level = F.when((F.col("texts") < 2) | (F.col("signals") == 0), "unanimous").when(ratio < 1.5, "majority").when(ratio < 3, "split").otherwise("contested")
@@ -286,7 +287,9 @@ def retrieve_sufficient(spark, folder):
 def eval_gate(spark, folder):
     """Aggregates of a group against its gates, the first that fails named (STA26); shares of filled orders stand for precision, prices for latencies."""
     o, c = table(spark, folder, "orders"), table(spark, folder, "customer")
-    s = o.join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_mktsegment").alias("segment")).agg(F.avg((F.col("o_orderstatus") == "F").cast("int")).alias("a"), F.percentile("o_totalprice", F.lit(0.95)).alias("b"), F.count("*").alias("n"))
+    rows = o.join(c, o.o_custkey == c.c_custkey).select(F.col("c_mktsegment").alias("segment"), "o_orderstatus", "o_totalprice")
+    s = rows.groupBy("segment").agg(F.avg((F.col("o_orderstatus") == "F").cast("int")).alias("a"), F.count("*").alias("n"))
+    s = s.join(quantiles(rows, "segment", "o_totalprice", {"b": 0.95}), "segment", "left")
     return s.select("segment", F.round("a", 4).alias("precision"), F.round("b", 2).alias("p95"), "n", F.when(F.col("a") < 0.3, "precision").when(F.col("b") > 450000, "latency").otherwise("pass").alias("verdict"))
 
 
@@ -319,12 +322,17 @@ def train_queue(spark, folder):
     top as (select * from (select *, row_number() over (partition by o_custkey order by n desc, p_brand) as r from k) where r = 1), s as (select t.o_custkey, p_partkey, 2 * n + p_size % 3 + 1 as score from top t join part p on p.p_brand = t.p_brand left join b on b.o_custkey = t.o_custkey and b.l_partkey = p_partkey where b.l_partkey is null)
     select o_custkey, p_partkey, score from (select *, row_number() over (partition by o_custkey order by score desc, p_partkey) as r from s) where r <= 3""")
 def score_recommended(spark, folder):
-    """Three parts a customer has not bought, of the brand bought most (STA18): counts, an anti join, a top three. Parts of a brand are bounded by the catalogue."""
+    """Three parts a customer has not bought, of the brand bought most (STA18). What a
+    customer's score adds to a part's is the same for all parts of the brand, so parts are ranked once a brand, and a customer who bought n of it needs the first n + 3."""
     line, order, part = (table(spark, folder, t) for t in ("lineitem", "orders", "part"))
     b = line.join(order, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_partkey").distinct()
     k = b.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("o_custkey", "p_brand").agg(F.count("*").alias("n"))
     top = k.groupBy("o_custkey").agg(F.min(F.struct((-F.col("n")).alias("n"), "p_brand")).alias("t")).select("o_custkey", (-F.col("t.n")).alias("n"), "t.p_brand")
-    s = top.join(part.select("p_brand", "p_partkey", "p_size"), "p_brand").join(b.withColumnRenamed("l_partkey", "p_partkey"), ["o_custkey", "p_partkey"], "left_anti")
+    most = (top.agg(F.max("n")).first()[0] or 0) + 3
+    order = F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc(F.col("p_size") % 3), "p_partkey"))
+    first = part.select("p_brand", "p_partkey", "p_size", order.alias("place")).where(F.col("place") <= most)
+    s = top.select("o_custkey", "n", "p_brand", F.explode(F.sequence(F.lit(1), (F.col("n") + 3).cast("int"))).alias("place")).join(first, ["p_brand", "place"])
+    s = s.join(b.withColumnRenamed("l_partkey", "p_partkey"), ["o_custkey", "p_partkey"], "left_anti")
     s = s.select("o_custkey", "p_partkey", (2 * F.col("n") + F.col("p_size") % 3 + 1).alias("score"))
     return s.withColumn("r", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("score"), "p_partkey"))).where("r <= 3").drop("r")
 

@@ -12,13 +12,23 @@ from ..sources.tables import table
 from .questions import _how_many, _sql_list, text_citations
 from .ranking import _NEAR, _near
 
-#: What links cause and effect in a sentence, its name and how sure it is; words of doubt; causes that name nothing.
-LINKS = (
+_SIDE, _BEFORE = r"([A-Za-z0-9_][A-Za-z0-9_ \t\n\r\f]{2,40})", r"(?:^|[^A-Za-z0-9_])"
+_MOVE = r"(?:increase|decrease|change)\s+in\s+"
+#: Forms of claims, their names and how sure they are, two sides each; words of doubt; causes that name nothing.
+LINKS = tuple((_BEFORE + _SIDE + link + _SIDE, name, sure) for link, name, sure in (
     (r"\s+(?:causes?|caus(?:ed|ing))\s+", "causes", 0.9), (r"\s+(?:leads?\s+to|led\s+to)\s+", "leads_to", 0.85), (r"\s+(?:results?\s+in|resulted\s+in)\s+", "results_in", 0.85),
     (r"\s+(?:produces?|produced)\s+", "produces", 0.8), (r"\s+(?:triggers?|triggered)\s+", "triggers", 0.85), (r"\s+(?:drives?|drove)\s+", "drives", 0.8),
     (r"\s+(?:is\s+associated\s+with|correlates?\s+with)\s+", "association", 0.5), (r"\s+(?:shapes?|shaped|influences?|influenced)\s+", "influences", 0.7),
     (r"\s+(?:enables?|enabled|constrains?|constrained)\s+", "enables_constrains", 0.75),
+    (r"\s+(?:mediates?|mediated)\s+(?:the\s+)?(?:effect|relationship|link)\s+(?:between|of)\s+", "mediator", 0.85),
+    (r"\s+(?:moderates?|moderated)\s+(?:the\s+)?(?:effect|relationship)\s+(?:of|between)\s+", "moderator", 0.8),
+)) + (
+    (_MOVE + _SIDE + r"\s+(?:leads?\s+to|causes?|results?\s+in)\s+(?:an?\s+)?" + _MOVE + _SIDE, "mechanism", 0.9),
+    (r"without\s+" + _SIDE + r",?\s+" + _SIDE + r"\s+would", "counterfactual", 0.9),
+    (r"if\s+" + _SIDE + r"\s+(?:were|was|had\s+been)\s+(?:not\s+)?(?:[A-Za-z0-9_]+),?\s+" + _SIDE, "counterfactual", 0.85),
 )
+#: One of these is in every claim; sentences without are left out before the forms, which are dear, are tried.
+_CLUES = r"(?i)caus|leads?\s+to|led\s+to|results?\s+in|resulted\s+in|produce|trigger|drive|drove|associated\s+with|correlates?\s+with|shape|influence|enable|constrain|mediate|moderate|without\s.*would|if\s.*\s(?:were|was|had\s+been)\s"
 DOUBT = ("may", "might", "could", "possibly", "suggests")
 NO_CAUSE = ("this", "that", "it", "they", "which")
 #: What tells the tone of a text, by tone, in order of preference on ties.
@@ -40,21 +50,20 @@ METHODS = (
     "maximum likelihood",
 )
 
-_SIDE, _BEFORE = r"([A-Za-z0-9_][A-Za-z0-9_ \t]{2,40})", r"(?:^|[^A-Za-z0-9_])"
-_CLAIMING = "text || '. Growth in ' || source || case when doc_id % 3 = 0 then ' may lead to change of ' when doc_id % 3 = 1 then ' leads to change of ' else ' shapes the course of ' end || lang || case when doc_id % 2 = 0 then ' (2001).' else '.' end"
+_CLAIMING = """text || '. Growth in ' || source || case doc_id % 6 when 0 then ' may lead to change of ' when 1 then ' LEADS' || chr(10) || 'to change of ' when 2 then ' shapes the course of ' when 3 then ' mediates the effect of '
+    when 4 then ' would end. Without help from ' || source || ', growth of the state would stop. A change in ' || source || ' causes an increase in ' else ' would end. If rent in ' || source || ' had been not lower, births of ' end || lang || case when doc_id % 2 = 0 then ' (2001).' else '.' end"""
 
 
 def claims(text: Column) -> Column:
     """Array of (cause, effect, link, confidence): what a text's sentences of 20 characters or more say to follow from what, less sure by 0.3 of it with words of doubt, surer by 0.15 of it with a year cited.
-    Sentences without any link are left out first, as the patterns with both sides are dear."""
-    sentences = F.filter(F.transform(F.split(text, "[.!?]+"), lambda s: F.btrim(s, F.lit(" \t\n\r\f\x0b"))), lambda s: (F.length(s) >= 20) & s.rlike("|".join(link for link, _, _ in LINKS)))
+    Case doesn't matter, and a claim may go over the end of a line."""
+    sentences = F.filter(F.transform(F.split(text, "[.!?]+"), lambda s: F.btrim(s, F.lit(" \t\n\r\f\x0b"))), lambda s: (F.length(s) >= 20) & s.rlike(_CLUES.replace(".*", r"[\s\S]*")))
 
     def of(s: Column) -> Column:
         doubt, cited = _how_many(F.lower(s), DOUBT) > 0, s.rlike(r"\d{4}\)")
 
         def one(link: str, name: str, sure: float) -> Column:
-            pattern = F.lit(_BEFORE + _SIDE + link + _SIDE)
-            side = lambda i: F.transform(F.regexp_extract_all(s, pattern, F.lit(i)), lambda x: F.substring(F.btrim(x, F.lit(" \t")), 1, 60))
+            side = lambda i: F.transform(F.regexp_extract_all(s, F.lit("(?i)" + link), F.lit(i)), lambda x: F.substring(F.btrim(x, F.lit(" \t\n\r\f\x0b")), 1, 60))
             level = F.when(doubt, sure * 0.7).otherwise(sure)
             level = F.round(F.when(cited, F.least(level * 1.15, F.lit(1.0))).otherwise(level), 3)
             return F.zip_with(side(1), side(2), lambda a, b: F.struct(a.alias("cause"), b.alias("effect"), F.lit(name).alias("link"), level.alias("confidence")))
@@ -66,18 +75,16 @@ def claims(text: Column) -> Column:
 
 
 _ONE_CLAIM = " union all ".join(
-    f"select doc_id, s, unnest(list_zip(regexp_extract_all(s, '{_BEFORE}{_SIDE}{link}{_SIDE}', 1), regexp_extract_all(s, '{_BEFORE}{_SIDE}{link}{_SIDE}', 2))) as z, '{name}' as link, {sure}::double as sure from s" for link, name, sure in LINKS
+    f"select doc_id, s, unnest(list_zip(regexp_extract_all(s, '(?i){link}', 1), regexp_extract_all(s, '(?i){link}', 2))) as z, '{name}' as link, {sure}::double as sure from s" for link, name, sure in LINKS
 )
 
 
 @named("text_claims", rf"""with t as (select doc_id, unnest(regexp_split_to_array({_CLAIMING}, '[.!?]+')) as s from documents), s as (select doc_id, trim(s, chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)) as s from t where len(trim(s, chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))) >= 20),
-    c as ({_ONE_CLAIM}), n as (select doc_id, link, substr(trim(z[1], chr(32) || chr(9)), 1, 60) as cause, substr(trim(z[2], chr(32) || chr(9)), 1, 60) as effect, sure * case when list_sum(list_transform({_sql_list(DOUBT)}, lambda v: contains(lower(s), v)::int)) > 0 then 0.7::double else 1 end as sure, regexp_matches(s, '\d{{4}}\)') as cited from c)
+    c as ({_ONE_CLAIM}), n as (select doc_id, link, substr(trim(z[1], chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)), 1, 60) as cause, substr(trim(z[2], chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)), 1, 60) as effect, sure * case when list_sum(list_transform({_sql_list(DOUBT)}, lambda v: contains(lower(s), v)::int)) > 0 then 0.7::double else 1 end as sure, regexp_matches(s, '\d{{4}}\)') as cited from c)
     select doc_id, cause, effect, link, round(case when cited then least(sure * 1.15::double, 1) else sure end, 3) as confidence from n where len(cause) >= 3 and len(effect) >= 3 and lower(cause) not in {NO_CAUSE}""")
 def text_claims(spark, folder):
-    """What texts say to follow from what (TXT11), within the row. A sentence that claims is put at the end of each text."""
-    verb = F.when(F.col("doc_id") % 3 == 0, " may lead to change of ").when(F.col("doc_id") % 3 == 1, " leads to change of ").otherwise(" shapes the course of ")
-    t = F.concat("text", F.lit(". Growth in "), "source", verb, "lang", F.when(F.col("doc_id") % 2 == 0, " (2001).").otherwise("."))
-    return table(spark, folder, "documents").select("doc_id", F.explode(claims(t)).alias("c")).select("doc_id", "c.*")
+    """What texts say to follow from what (TXT11), within the row. Sentences that claim are put at the end of each text."""
+    return table(spark, folder, "documents").select("doc_id", F.explode(claims(F.expr(_CLAIMING.replace("chr(10)", "char(10)")))).alias("c")).select("doc_id", "c.*")
 
 
 @named("agg_claims", f"""with c as ({SQL["text_claims"]}) select cause, effect, count(*) as n, round(avg(confidence), 4) as confidence, count(distinct link) as links, round(count(*) * avg(confidence), 3) as weight from c group by cause, effect""")

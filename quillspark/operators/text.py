@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -149,6 +150,29 @@ def chunk_levels(spark, folder):
     return out
 
 
+@named(
+    "chunk_tree",
+    f"""with d as (select doc_id, {_SQL_WORDS.format('text')} as w from documents),
+    l as (select doc_id, 'paragraph' as level, w, unnest(range(0, len(w), 220)) as a, 250 as size, 20 as least, 220 as step from d union all select doc_id, 'section', w, unnest(range(0, len(w), 740)), 800, 50, 740 from d),
+    c as (select doc_id, level, a // step as chunk, w[a + 1:a + size] as t, a // 740 as section from l where least(size, len(w) - a) >= least union all select doc_id, 'document', 0, w[1:300], null from d where len(w) > 100)
+    select doc_id, level, chunk, case level when 'document' then null when 'section' then 0 else section end as parent, len(t) as words, md5(array_to_string(t, ' ')) as text_md5 from c""",
+)
+def chunk_tree(spark, folder):
+    """The chunks of three levels themselves (CHK3): paragraphs of 250 words, sections of 800, and a document's first 300, each with its text and the section, or the
+    document, that it begins in."""
+    w = C.words(F.col("text"))
+    d = table(spark, folder, "documents").select("doc_id", "text", F.size(w).alias("n"))
+
+    def level(name: str, size: int, step: int, least: int, parent) -> DataFrame:
+        cut = d.select("doc_id", F.posexplode(C.windows_of_words(F.col("text"), size, size - step)).alias("chunk", "t"))
+        n = F.size(F.split("t", " "))
+        return cut.where(n >= least).select("doc_id", F.lit(name).alias("level"), F.col("chunk").cast("long").alias("chunk"), parent.cast("long").alias("parent"), n.cast("long").alias("words"), F.md5("t").alias("text_md5"))
+
+    head = F.array_join(F.slice(w, 1, 300), " ")
+    whole = d.where("n > 100").select("doc_id", F.lit("document").alias("level"), F.lit(0).cast("long").alias("chunk"), F.lit(None).cast("long").alias("parent"), F.least(F.col("n"), F.lit(300)).cast("long").alias("words"), F.md5(head).alias("text_md5"))
+    return level("paragraph", 250, 220, 20, F.floor(F.col("chunk") * 220 / 740)).unionAll(level("section", 800, 740, 50, F.lit(0))).unionAll(whole)
+
+
 @named("text_repetition", """with s as (select doc_id, unnest(regexp_split_to_array(lower(text), '[.!?\\n]+')) as s from documents), t as (select doc_id, trim(s) as s from s where len(trim(s)) >= 30)
     select doc_id, md5(s) as sentence_md5, count(*) as n from t group by doc_id, s having count(*) >= 3""")
 def text_repetition(spark, folder):
