@@ -6,8 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..operators import network
 from ..sources.files import scratch
@@ -30,6 +31,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def carried(docs: DataFrame, own: list[str], *columns: Column) -> DataFrame:
+    """The columns, and docs' columns `own` in a struct named own: so no name of theirs meets one of an operator's."""
+    return docs.select(*columns, F.struct(*([F.col(f"`{c}`") for c in own] or [F.lit(True)])).alias("own"))
+
+
+def with_own(df: DataFrame, schema: str) -> StructType:
+    """The schema of df's column own and those of the given one."""
+    return StructType([df.schema["own"], *_parse_datatype_string(schema).fields])
+
+
+def unpacked(df: DataFrame, own: list[str], *columns: str) -> DataFrame:
+    """The columns of own, and the others named."""
+    return df.select(*[F.col("own").getField(c).alias(c) for c in own], *columns)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

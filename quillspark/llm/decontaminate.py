@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import carried, table, unpacked, with_own, written
 from .words import ALNUM, Words, parts
 
 WINDOW = 10
@@ -153,8 +153,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     """docs (or its columns `carry`) with the columns n_words, n_hit (words inside a benchmark window) and hit_items (array of item_id)."""
     spark = docs.sparkSession
     own = [c for c in (docs.columns if carry is None else carry) if c.lower() not in ("n_words", "n_hit", "hit_items")]
-    df = docs.select(F.col("text").cast("binary").alias("__text"), *own)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[1:])
+    df = carried(docs, own, F.col("text").cast("binary").alias("text"))
+    ends = ("n_words", "n_hit", "hit_items")
     out_schema = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("hit_items", pa.list_(pa.int64()))])
     blocks = blocks_of(benchmark, window, block_patterns, block_bytes)
     sent, more = spark.sparkContext.broadcast(next(blocks)), next(blocks, None)
@@ -166,9 +166,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *found.flatten()], [*batch.schema.names[1:], *out_schema.names])
 
     if more is None:
-        return df.mapInArrow(run, f"{ddl}, {_FOUND}")
+        return unpacked(df.mapInArrow(run, with_own(df, _FOUND)), own, *ends)
 
-    base = written(df.withColumn("__row", F.monotonically_increasing_id()), "texts")
+    base = written(df.withColumn("row", F.monotonically_increasing_id()), "texts")
     hits = []
     while sent is not None:
 
@@ -178,14 +178,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                 some = [i for i, x in enumerate(spans) if x]
                 pairs = pa.list_(pa.struct([("a", pa.int64()), ("m", pa.int64())]))
                 rows = [batch.column(1).take(pa.array(some, pa.int64())), pa.array([[{"a": a, "m": m} for a, m in spans[i]] for i in some], pairs), pa.array([items[i] for i in some], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(rows, ["__row", "spans", "items"])
+                yield pa.RecordBatch.from_arrays(rows, ["row", "spans", "items"])
 
-        hits.append(written(base.select("__text", "__row").mapInArrow(hit, "__row bigint, spans array<struct<a: bigint, m: bigint>>, items array<bigint>"), "hits"))
+        hits.append(written(base.select("text", "row").mapInArrow(hit, "row bigint, spans array<struct<a: bigint, m: bigint>>, items array<bigint>"), "hits"))
         sent.destroy()
         sent = spark.sparkContext.broadcast(more) if more is not None else None
         more = next(blocks, None) if more is not None else None
     flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)  # noqa: E731  of one row: as many as it has hits
-    found = reduce(DataFrame.unionAll, hits).groupBy("__row").agg(flat("spans"), flat("items"))
+    found = reduce(DataFrame.unionAll, hits).groupBy("row").agg(flat("spans"), flat("items"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,7 +194,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
             rows = [{"n_words": n, "n_hit": h, "hit_items": i or []} for n, h, i in zip(sizes, spans, batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[3:], *pa.array(rows, out_schema).flatten()], [*batch.schema.names[3:], *out_schema.names])
 
-    return base.join(found, "__row", "left").select("__text", "spans", "items", *own).mapInArrow(count, f"{ddl}, {_FOUND}")
+    whole = base.join(found, "row", "left").select("text", "spans", "items", "own")
+    return unpacked(whole.mapInArrow(count, with_own(whole, _FOUND)), own, *ends)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -31,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import carried, table, unpacked, with_own
 
 #: Elements by what the parser does with them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg annotation annotation-xml".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label".split()
+    "math mfrac mi mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics"
+    " a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
@@ -45,7 +46,7 @@ CLOSES_P = frozenset(
 #: An element closed by the start of another of its kind, and where the search for it stops.
 CLOSED_BY = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Elements and roles that are not the article.
-DROPPED = frozenset("nav footer aside script style noscript template iframe svg math button select textarea input object embed head title menu dialog".split())
+DROPPED = frozenset("nav footer aside script style noscript template iframe svg button select textarea input object embed head title menu dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 #: Names in class or id of such parts. A name of several parts counts by its first or last part, or as a pair.
 ALONE = frozenset(
@@ -59,6 +60,7 @@ COMMENTS = frozenset("comment comments commentlist replies respond disqus".split
 PLAIN = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr newsletter breadcrumb breadcrumbs".split())
 DENIED = frozenset("no non not with without has have".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
+LINK = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 PARTS = re.compile(r"[-_]+")
@@ -126,14 +128,17 @@ def path(node: Node | None) -> Iterator[Node]:
 
 def parse(page: str) -> tuple[Node, list[tuple[Node, str, int]]]:
     """The tree, and its pieces of text (node, text, in a link) in page order; a piece of a styled part has the block's node. A tag
-    costs no walk up the tree, but for elements that it closes."""
+    costs no walk up the tree, but for elements that it closes. A body tag after text was seen opens nothing. A link goes on through blocks if its end
+    tag comes before another link, else it ends where a block begins or ends."""
     root = Node("html", None, 0)
     body, node, pieces, link, at, styled = root, root, [], 0, 0, []
-    nodes, open_ = [root], Counter()
+    nodes, open_, whole, begun = [root], Counter(), False, False
 
     def text(a: int, b: int) -> None:
+        nonlocal begun
         if b > a:
             pieces.append((node, page[a:b], link))
+            begun = begun or not page[a:b].isspace()
 
     def closed(upto: Node) -> Node:
         """The parent of an open element, once that and all in it are closed."""
@@ -170,32 +175,35 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, int]]]:
                 elif end and styled and styled[-1].tag == tag and styled[-1] is node:
                     node = closed(styled.pop())
                 elif tag == "a":
-                    link = 0 if end else 1
+                    link, whole = 0 if end else 1, not end and (to := LINK.search(page, at)) is not None and to[1] == "/"
             continue
         if end:
             if open_[tag] > 0:
                 x = node
                 while x.tag != tag:
                     x = x.parent
-                node, link = closed(x), 0
+                node, link = closed(x), link * whole
             continue
         if tag in ("html", "head", "body"):
-            if tag == "body":
+            if tag == "body" and body is root and not begun:
                 node = body = Node("body", root, 0)
                 nodes.append(body)
                 open_.clear()
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
+            foreign = tag in ("svg", "annotation", "annotation-xml")  # these may close themselves, and without an end tag hide nothing
+            if not (foreign and m[3].endswith("/")):
+                close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                at = close.end() if close else at if foreign else len(page)
             continue
         if tag in CLOSES_P:
-            link = 0
+            link *= whole
             if (x := node.near.get("p")) is not None:
                 node = closed(x)
         if tag in CLOSED_BY and (x := node.near.get(SCOPE_OF.get(tag, tag))) is not None:
             node = closed(x)
         new = opened(tag, why_dropped(tag, m[3], node))
+        new.links += link
         if tag not in VOID and not m[3].endswith("/"):
             node = new
         else:
@@ -318,9 +326,8 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string())], [*batch.schema.names[1:], "text"])
 
     own = [c for c in pages.columns if c.lower() not in ("html", "text")]
-    df = pages.select("html", *own)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[1:])
-    return df.mapInArrow(run, f"{ddl}, text string")
+    df = carried(pages, own, F.col("html"))
+    return unpacked(df.mapInArrow(run, with_own(df, "text string")), own, "text")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -26,5 +26,6 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, rest: int,
     known = known.groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("most")).where("y = most")
     first = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     ids = reduce(DataFrame.unionAll, first).select(F.col("doc_id").alias("known_id"), F.col("y").cast("int").alias("y"))
+    docs = docs.select("doc_id", "text")
     found = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("known_id")).select("known_id", F.struct("text").alias("row"), "y")
     return found.groupBy("known_id", "y").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.text", "y")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_key, new_path, shuffle_parts, table, written
+from .common import by_key, carried, new_path, shuffle_parts, table, written
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -310,14 +310,13 @@ class LineIndex:
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with text cut to the lines that stay, and n_lines and n_dropped."""
     drops = LineIndex(docs.sparkSession, min_chars=min_chars, min_docs=min_docs).insert(docs).drops()
-    drops = drops.withColumnRenamed("doc_id", "__doc")
     own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
-    both = docs.select(*own).join(drops, docs["doc_id"].eqNullSafe(drops["__doc"]), "left")
+    both = carried(docs, own, F.col("doc_id").alias("doc"), F.col("text")).join(drops, F.col("doc").eqNullSafe(F.col("doc_id")), "left")
     lines = lines_of(F.col("text"))
     stay = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("drops"), digest_of(x, min_chars)), F.lit(False)))
-    both = both.withColumn("__stay", F.when(F.col("drops").isNull(), lines).otherwise(stay)).withColumn("n_lines", F.size(lines).cast("long"))
-    both = both.withColumn("n_dropped", F.col("n_lines") - F.size("__stay"))
-    return both.select(*[F.array_join("__stay", "\n").alias(c) if c == "text" else F.col(c) for c in own], "n_lines", "n_dropped")
+    both = both.withColumn("stay", F.when(F.col("drops").isNull(), lines).otherwise(stay)).withColumn("n_lines", F.size(lines).cast("long"))
+    both = both.withColumn("n_dropped", F.col("n_lines") - F.size("stay"))
+    return both.select(*[F.array_join("stay", "\n").alias(c) if c == "text" else F.col("own").getField(c).alias(c) for c in own], "n_lines", "n_dropped")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import carried, table, unpacked, with_own
 from .labelled import held_out, sample
 from .words import Words, parts
 
@@ -132,9 +132,8 @@ def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, car
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score), pa.array((score >= CUT).astype(np.int32))], [*batch.schema.names[1:], "score", "predicted"])
 
     own = [c for c in (docs.columns if carry is None else carry) if c.lower() not in ("score", "predicted")]
-    df = docs.select(F.col("text").cast("binary").alias("__text"), *own)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[1:])
-    return df.mapInArrow(run, f"{ddl}, score double, predicted int")
+    df = carried(docs, own, F.col("text").cast("binary").alias("text"))
+    return unpacked(df.mapInArrow(run, with_own(df, "score double, predicted int")), own, "score", "predicted")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -133,30 +133,41 @@ def linked(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, distance: int, smal
 
 
 def links(groups: DataFrame, distance: int = DISTANCE, tile: int = TILE) -> DataFrame:
-    """(a, b): links between the reps of fingerprints at most `distance` bits apart, enough to connect all of them."""
+    """(a, b): links between the reps of fingerprints at most `distance` bits apart, enough to connect all of them. Of two such one is at home at an
+    anchor that the other visits, so an anchor with visitors only is left out, and one with more than `tile` rows is cut in tiles of homes against all."""
     if distance > 3:
         raise ValueError("the anchors cover at most 3 differing bits")
     n = shuffle_parts(groups.sparkSession)
     sent = replicated(groups)
-    crowded = written(sent.where("home").groupBy("anchor").count().where(F.col("count") > tile), "crowded")
+    home = F.col("home").cast("long")
+    crowded = written(sent.groupBy("anchor").agg(F.sum(home).alias("homes"), F.count("*").alias("n")).where((F.col("n") > tile) & (F.col("homes") > 0)), "crowded")
     if crowded.isEmpty():
         sent = sent.withColumn("part", F.lit(0))
     else:
-        sent = sent.join(crowded, "anchor", "left").withColumn("tiles", F.ceil(F.coalesce("count", F.lit(1)) / tile).cast("int"))
-        own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-        every = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-        sent = sent.withColumn("own", own).withColumn("other", every).withColumn("part", F.least("own", "other") * F.col("tiles") + F.greatest("own", "other"))
-    dealt = sent.select("anchor", "part", "fp", "rep").repartition(n, "anchor", "part").sortWithinPartitions("anchor", "part")
+        tiles = lambda c: F.ceil(2 * F.col(c) / tile).cast("int").alias(f"{c}_tiles")
+        both = sent.join(crowded.select("anchor", tiles("homes"), tiles("n")), "anchor", "left")
+        own = lambda c: F.pmod(F.xxhash64("fp"), F.col(c)).cast("int")
+        every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        hot = both.where("n_tiles is not null")
+        left = hot.where("home").withColumn("other", every("n_tiles")).withColumn("part", own("homes_tiles") * F.col("n_tiles") + F.col("other"))
+        right = hot.withColumn("other", every("homes_tiles")).withColumn("part", F.col("other") * F.col("n_tiles") + own("n_tiles"))
+        cool = both.where("n_tiles is null").withColumn("part", F.lit(0))
+        columns = ["anchor", "part", "fp", "rep", "home"]
+        sent = cool.select(*columns).unionAll(left.select(*columns)).unionAll(right.select(*columns))
+    dealt = sent.select("anchor", "part", "fp", "rep", "home").repartition(n, "anchor", "part").sortWithinPartitions("anchor", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
-        def out(keys, part, fp, rep):
-            a, b = linked(keys * np.int64(1_000_003) + part, fp, rep, distance)
+        def out(keys, part, fp, rep, home):
+            key = keys * np.int64(1_000_003) + part
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            some = np.repeat(np.logical_or.reduceat(home, starts), np.diff(np.append(starts, len(key))))  # two that are both only visitors meet where one is at home
+            a, b = linked(key[some], fp[some], rep[some], distance)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
-            new = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            new = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             if not len(new[0]):
                 continue
             held.append(new)
@@ -167,10 +178,10 @@ def links(groups: DataFrame, distance: int = DISTANCE, tile: int = TILE) -> Data
             cut = last[-1] + 1 if len(last) else 0
             held = [tuple(x[cut:] for x in rows)]
             if cut:
-                yield out(rows[0][:cut], rows[1][:cut], rows[2][:cut].view(np.uint64), rows[3][:cut])
+                yield out(rows[0][:cut], rows[1][:cut], rows[2][:cut].view(np.uint64), rows[3][:cut], rows[4][:cut])
         if held:
             rows = [np.concatenate(x) for x in zip(*held, strict=True)]
-            yield out(rows[0], rows[1], rows[2].view(np.uint64), rows[3])
+            yield out(rows[0], rows[1], rows[2].view(np.uint64), rows[3], rows[4])
 
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 

@@ -31,7 +31,7 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -85,39 +85,90 @@ def arc_file(rows: list[tuple[int | None, str | None, bytes]], version: int, nam
     return b"".join(out)
 
 
-def arc_records(data: bytes) -> Iterator[dict]:
-    """Offset, header fields and body of each record, the filedesc record included. What can't be read is a last record with an error and the bytes."""
-    at, version = 0, None
+class Reader:
+    """Bytes that come in pieces, read in order: what was read is let go, at a cost in proportion to the bytes."""
+
+    def __init__(self, pieces: bytes | Iterable[bytes]):
+        self.pieces = iter([pieces] if isinstance(pieces, bytes) else pieces)
+        self.held, self.at, self.before = bytearray(), 0, 0
+
+    @property
+    def offset(self) -> int:
+        return self.before + self.at
+
+    def more(self) -> bool:
+        piece = next(self.pieces, None)
+        if piece is None:
+            return False
+        if self.at > len(self.held) // 2:
+            del self.held[: self.at]
+            self.before, self.at = self.before + self.at, 0
+        self.held += piece
+        return True
+
+    def peek(self) -> bytes:
+        while self.at >= len(self.held):
+            if not self.more():
+                return b""
+        return bytes(self.held[self.at : self.at + 1])
+
+    def line(self) -> bytes | None:
+        """The next line without its end; None if there is none. Nothing is read yet."""
+        seen = 0
+        while (end := self.held.find(b"\n", self.at + seen)) < 0:
+            seen = len(self.held) - self.at
+            if not self.more():
+                return None
+        return bytes(self.held[self.at : end])
+
+    def has(self, n: int) -> bool:
+        while len(self.held) - self.at < n:
+            if not self.more():
+                return False
+        return True
+
+    def take(self, n: int) -> bytes:
+        self.at += n
+        return bytes(self.held[self.at - n : self.at])
+
+    def rest(self) -> bytes:
+        while self.more():
+            pass
+        return self.take(len(self.held) - self.at)
+
+
+def arc_records(data: bytes | Iterable[bytes]) -> Iterator[dict]:
+    """Offset, header fields and body of each record, the filedesc record included, as the pieces of a file come. What can't be read is a last record with an error and the bytes."""
+    read, version = Reader(data), None
 
     def broken(why: str) -> dict:
-        return {"offset": at, "error": why, "body": data[at:]}
+        return {"offset": read.offset, "error": why, "body": read.rest()}
 
-    while at < len(data):
-        if data[at : at + 1] in b"\r\n":
-            at += 1
+    while first := read.peek():
+        if first in b"\r\n":
+            read.take(1)
             continue
-        end = data.find(b"\n", at)
-        line = data[at : end if end >= 0 else len(data)].decode("utf-8", "replace").rstrip("\r")
+        raw = read.line()
+        line = (raw or b"").decode("utf-8", "replace").rstrip("\r")
         # the first line may be of either version; its body tells
         got = LINES[version].fullmatch(line) if version else LINES[2].fullmatch(line) or LINES[1].fullmatch(line)
-        if end < 0 or not got:
+        if raw is None or not got:
             yield broken("no header line of the file's version")
             return
-        length = int(got[got.lastindex])
-        body = data[end + 1 : end + 1 + length]
-        if len(body) < length:
+        at, length, head = read.offset, int(got[got.lastindex]), len(raw) + 1
+        if not read.has(head + length):
             yield broken("the file ends inside a record")
             return
+        body = read.take(head + length)[head:]
         if version is None:
             named = body.split(b" ", 1)[0]
             if not named.isdigit() or int(named) not in FIELDS:
-                yield broken("the first record names no known version")
+                yield {"offset": at, "error": "the first record names no known version", "body": raw + b"\n" + body + read.rest()}
                 return
             version = int(named)
             got = LINES[1].fullmatch(line) if version == 1 else got
         fields = dict(zip(FIELDS[version].split(), got.groups(), strict=False))
         yield fields | {"offset": at, "version": version, "body": body, "error": None}
-        at = end + 1 + length
 
 
 def read_arc(data: bytes) -> Iterator[dict]:
@@ -173,17 +224,36 @@ def warc_record(arc: dict, place: object, refers: dict | None = None) -> bytes:
     return written_record("response" if refers is None else "revisit", place, url, date, head + b"\r\n\r\n" + (payload if refers is None else b""), lines)
 
 
+class Fault(ValueError):
+    """A gzip member that can't be unpacked, and the packed bytes from its start."""
+
+    def __init__(self, why: str, rest: bytes):
+        super().__init__(why)
+        self.rest = rest
+
+
 def members(data: bytes) -> Iterator[bytes]:
-    """What each gzip member holds, one at a time; a plain file is one member."""
+    """What each gzip member holds, one at a time; a plain file is one member. Packed bytes are handed on in slices that grow from a few KB, so what is left of
+    a slice after a member ends is no more than the member and the time is linear in the file."""
     if data[:2] != b"\x1f\x8b":
         yield data
         return
-    while data := data.lstrip(b"\0"):
-        one = zlib.decompressobj(31)
-        yield one.decompress(data)
+    view, at = memoryview(data), 0
+    while at < len(data):
+        if data[at] == 0:  # zero bytes between members
+            at += 1
+            continue
+        one, start, size, out = zlib.decompressobj(31), at, 1 << 11, []
+        try:
+            while not one.eof and at < len(data):
+                out.append(one.decompress(view[at : at + size]))
+                at, size = min(len(data), at + size), min(2 * size, 1 << 20)
+        except zlib.error as fault:
+            raise Fault(str(fault), bytes(view[start:])) from fault
         if not one.eof:
-            raise ValueError("the gzip member is not whole")
-        data = one.unused_data
+            raise Fault("the gzip member is not whole", bytes(view[start:]))
+        at -= len(one.unused_data)
+        yield b"".join(out)
 
 
 HEADER = re.compile(rb"^([^:\r\n]+):[ \t]*([^\r\n]*)", re.M)
@@ -257,18 +327,35 @@ def convert(pages: DataFrame, min_bytes: int = MIN_BYTES, segment_bytes: int = S
 _ARC = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("version", pa.int32()), *[(c, pa.string()) for c in ("url", "ip", "date", "kind")], ("body", pa.binary()), ("digest", pa.string()), ("n_payload", pa.int64()), ("error", pa.string())])
 
 
+def sound_records(content: bytes) -> Iterator[dict]:
+    """The records of a file, plain or gzipped, up to a member that can't be unpacked, which is a last record with an error and its packed bytes."""
+    fault = []
+
+    def pieces() -> Iterator[bytes]:
+        try:
+            yield from members(content)
+        except Fault as found:
+            fault.append(found)
+
+    end = 0
+    for x in arc_records(pieces()):
+        if fault and x["error"]:
+            end = x["offset"]
+            break
+        yield x
+        end = x["offset"]
+    if fault:
+        yield {"offset": end, "error": str(fault[0]), "body": fault[0].rest}
+
+
 def read_arcs(spark, folder: str) -> DataFrame:
     """(file, offset, version, url, ip, date, kind, body, digest, n_payload, error): the records of a folder of ARC files, plain or gzipped; rows with an error hold what can't be read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
-                try:
-                    found = arc_records(b"".join(members(content)))
-                except (ValueError, zlib.error) as fault:
-                    found = iter([{"offset": 0, "error": str(fault), "body": content}])
                 rows, size = [], 0
-                for x in found:
+                for x in sound_records(content):
                     payload = x["body"].partition(b"\r\n\r\n")[2] if x["body"].startswith(b"HTTP/") else x["body"]
                     rows.append((name, x["offset"], x.get("version"), x.get("URL"), x.get("IP-address"), x.get("Archive-date"), x.get("Content-type"), x["body"], hashlib.sha1(payload).hexdigest(), len(payload), x["error"]))
                     size += len(x["body"])
