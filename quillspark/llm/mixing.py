@@ -16,10 +16,15 @@ table gives an empty result. Runs on the same rows agree.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
+from .labelled import sample
+from .quality import MOD, REST
 
 WEIGHTS = (3.0, 1.0, 2.0)
 BUDGET = 1.5
@@ -33,11 +38,45 @@ def n_words(text: Column) -> Column:
 
 
 def quality(text: Column, size: Column) -> Column:
-    """Weight in (0, 1]: falls with the number of symbols a word."""
+    """Weight in (0, 1]: falls with the number of symbols a word. For sources without labels; see fitted()."""
     symbols = F.coalesce(F.regexp_count(text, F.lit(r"[!#$%&*+/<=>@\\^_`{|}~]")), F.lit(0))
     return F.greatest(F.lit(0.05), (size + 1) / (size + 1 + symbols))
 
 
+#: What is counted in a text, a word or a character, and how finely its logarithm is cut.
+COUNTED = {
+    "symbols": (r"[!#$%&*+/<=>@\\^_`{|}~]", 4.0), "digits": (r"[0-9]", 4.0), "capitals": (r"[A-Z]", 4.0), "stops": (r"[.!?,;:]", 8.0), "letters": (r"\p{L}", 2.0), "doubled": (r"(?i)\b(\p{L}+) \1\b", 32.0),
+}
+BINS, LEAST_WEIGHT = 10, 0.05
+
+
+def binned(text: Column) -> dict[str, Column]:
+    """The bin, from 0, of each count a word of the text."""
+    size = F.greatest(n_words(text), F.lit(1))
+    rate = lambda pattern: F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)) / size
+    return {name: F.least(F.floor(F.log2(1 + rate(pattern) * scale) * 2), F.lit(BINS - 1)).cast("int") for name, (pattern, scale) in COUNTED.items()}
+
+
+def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Callable[[Column, Column], Column]:
+    """A weight in (0, 1] of (text, size): the chance that a text is good by the log odds of its counts' bins among a bounded sample of texts labelled for
+    quality, as the classifier's. The bins of all counts are len(COUNTED) * BINS rows, which go into the expression. Without both labels all texts weigh 1."""
+    rows = sample(docs, labels, "quality", MOD, REST, per_class)
+    at = F.array(*[F.struct(F.lit(name).alias("name"), bin.alias("bin")) for name, bin in binned(F.col("text")).items()])
+    got = rows.select("y", F.explode(at).alias("x")).groupBy("x.name", "x.bin").agg(F.sum("y").alias("good"), F.count("*").alias("n")).collect()
+    good, every = (sum(r[c] for r in got) / len(COUNTED) for c in ("good", "n"))
+    if not 0 < good < every:
+        return lambda text, size: F.lit(1.0)
+    odds = {(r["name"], r["bin"]): math.log((r["good"] + 1) / (good + BINS)) - math.log((r["n"] - r["good"] + 1) / (every - good + BINS)) for r in got}
+
+    def weight(text: Column, size: Column) -> Column:
+        total = F.lit(0.0)
+        for name, bin in binned(text).items():
+            total = total + F.element_at(F.array(*[F.lit(odds.get((name, b), 0.0)) for b in range(BINS)]), bin + 1)
+        return F.greatest(F.lit(LEAST_WEIGHT), 1 / (1 + F.exp(-total)))
+
+    return weight
+
+
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
     """sources (source, source_size) with target. One row a source; the windows run over that small table only."""
     by_name = Window.orderBy(F.col("source").isNull(), "source")
@@ -55,11 +94,11 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: fl
     return s.select("source", "source_size", F.greatest(target, F.lit(0.0)).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = 7) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for every row of docs."""
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = 7, weigh: Callable[[Column, Column], Column] = quality) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) for every row of docs; weigh gives a document's weight from its text and size."""
     size = n_words(F.col("text"))
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text")), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    rows = docs.select("doc_id", "source", "text", size.alias("size")).withColumn("key", -F.log(u) / quality(F.col("text"), F.col("size")))
+    rows = docs.select("doc_id", "source", "text", size.alias("size")).withColumn("key", -F.log(u) / weigh(F.col("text"), F.col("size")))
     rows = written(rows.select("doc_id", "source", "size", "key", F.floor(F.log("key") * STEPS).alias("bucket")), "keys")
 
     sums = written(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "buckets")
@@ -87,4 +126,5 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    docs = table(spark, sf_dir, "documents")
+    return mix(docs, weigh=fitted(docs, table(spark, sf_dir, "labels"))).select("doc_id", "size", "source_size", "target", "taken")

@@ -1,8 +1,8 @@
 """Quality classifier: nearest-neighbour votes among labelled latent-semantic vectors.
 
 A text's terms are runs of three characters, with letters, capitals, digits, non-ASCII bytes and spaces put in classes and
-symbols as they are, and marks for words that repeat the word before. Terms are hashed to `TERMS` columns, weighted by the
-square root of their share and by inverse document frequency, and projected to `DIMS` latent dimensions by a singular value
+symbols as they are, marks for words that repeat the word before, and the words themselves, in lower case. Runs are hashed to `TERMS` columns and
+words to `WORDS`, weighted by the square root of their share and by inverse document frequency, and projected to `DIMS` latent dimensions by a singular value
 decomposition of the labelled sample. The sample's vectors are broadcast (at most 2 * per_class * DIMS floats); for every
 document the cosines with all of them are computed in blocks, exactly, and the `k` nearest vote with weights that grow with
 similarity.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import carried, table, unpacked, with_own
 from .labelled import held_out, sample
-from .words import Words, parts
+from .words import ALNUM, Words, parts
 
 PER_CLASS = 1500
 TERMS = 2048
@@ -40,11 +40,13 @@ for _c in range(256):
     CLASS[_c] = 0 if _c in b" \t\n\r\x0b\x0c" else 1 if 97 <= _c <= 122 else 2 if 65 <= _c <= 90 else 3 if 48 <= _c <= 57 else 4 if _c >= 128 else 5 + _c % 59
 _COLUMN = (np.arange(1 << 18, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 11)).astype(np.int64)
 REPEATS = 8  # columns for repeated words
+WORDS, WORD_SHARE = 4096, 0.25  # columns of words, and what they weigh in all beside the runs
+ROWS = 1000
 END = b"\n\n\n"
 
 
 def counts(texts: list[bytes]) -> np.ndarray:
-    """(texts, TERMS + REPEATS): share of each term, under a square root."""
+    """(texts, TERMS + REPEATS + WORDS): share of each term, under a square root."""
     lengths = np.array([len(t) for t in texts])
     raw = CLASS[np.frombuffer(END.join([*texts, b""]), np.uint8)]
     doc = np.repeat(np.arange(len(texts)), lengths + len(END))
@@ -61,7 +63,16 @@ def counts(texts: list[bytes]) -> np.ndarray:
     share = np.bincount(w.doc[same], minlength=len(texts)) / np.maximum(1, w.n)
     out /= np.maximum(1, out.sum(1, keepdims=True))
     repeats = np.repeat((share / REPEATS)[:, None], REPEATS, 1).astype(np.float32)
-    return np.sqrt(np.concatenate([out, repeats], 1))
+    w = Words(texts, ALNUM)
+    words = np.bincount(w.doc * WORDS + (w.hash >> np.uint64(64 - 12)).astype(np.int64), minlength=len(texts) * WORDS).reshape(-1, WORDS).astype(np.float32)
+    words *= WORD_SHARE / np.maximum(1, w.n)[:, None]
+    return np.sqrt(np.concatenate([out, repeats, words], 1))
+
+
+def pieces(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of bounded bytes and number, as a row of counts takes the same room for any text."""
+    for a, b in parts(texts):
+        yield from ((i, min(b, i + ROWS)) for i in range(a, b, ROWS))
 
 
 class Model:
@@ -105,7 +116,7 @@ def features(rows: DataFrame) -> list[tuple[np.ndarray, int]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or b"" for t in batch.column(0).to_pylist()]
-            for a, b in parts(texts):
+            for a, b in pieces(texts):
                 x = counts(texts[a:b])
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1).slice(a, b - a)], ["x", "y"])
 
@@ -116,7 +127,7 @@ def features(rows: DataFrame) -> list[tuple[np.ndarray, int]]:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     got = features(sample(docs, labels, "quality", MOD, REST, per_class))
     got.sort(key=lambda r: (r[1], r[0].tobytes()))  # the order in which tasks end must not matter
-    x = np.stack([r[0] for r in got]) if got else np.zeros((0, TERMS + REPEATS), np.float32)
+    x = np.stack([r[0] for r in got]) if got else np.zeros((0, TERMS + REPEATS + WORDS), np.float32)
     return Model(x, np.array([r[1] for r in got]))
 
 
@@ -127,7 +138,7 @@ def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, car
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or b"" for t in batch.column(0).to_pylist()]
-            got = [model.value.score(counts(texts[a:b])) for a, b in parts(texts)]
+            got = [model.value.score(counts(texts[a:b])) for a, b in pieces(texts)]
             score = np.concatenate(got).astype(np.float64) if got else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score), pa.array((score >= CUT).astype(np.int32))], [*batch.schema.names[1:], "score", "predicted"])
 
