@@ -123,3 +123,53 @@ def test_columns_of_any_name_are_carried(spark, clashing):
     pages = clashing.withColumnRenamed("doc_id", "page_id").withColumnRenamed("text", "html")
     got = {r.page_id: r for r in html_text.extract(pages).collect()}
     assert all(got[i][n] == i for i in got for n in NAMES)
+
+
+def same_shape(words, rng):
+    return " ".join(rng.choices(words, k=40)) + "."
+
+
+def test_quality_by_vocabulary_alone(spark):
+    rng = random.Random(5)
+    good, bad = "stone river garden window".split(), "crane mover pardon winter".split()  # of the same lengths
+    texts = [(i, same_shape(good if i % 2 else bad, rng)) for i in range(240)]
+    got = quality.classify(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")).collect()
+    assert sum(r.predicted == r.doc_id % 2 for r in got if r.doc_id >= 120) >= 115
+
+
+def test_quality_by_plain_votes():
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["aa", "Bb9", "c!", "dd dd"], 30)).encode() for _ in range(60)]
+    x, y = quality.counts(texts), rng.integers(0, 2, 60)
+    model = quality.Model(x, y)
+    vectors = (x * model.idf) @ model.project
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    for i, got in enumerate(model.score(x, 9)):
+        near = vectors @ vectors[i]
+        top = sorted(range(60), key=lambda j: -near[j])[:9]
+        vote = {c: sum(max(1e-6, near[j]) ** quality.SHARPNESS for j in top if y[j] == c) / (y == c).sum() for c in (0, 1)}
+        assert abs(got - vote[1] / (vote[0] + vote[1])) < 1e-4
+
+
+def test_mix_by_a_plain_loop(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(["w"] * rng.randrange(0, 40)) + rng.choice(["", " #$%", "!"]), rng.choice("abc")) for i in range(150)]
+    labels = spark.createDataFrame([(i, int("#" not in t)) for i, t, _ in rows[:90]], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weigh = mixing.fitted(docs, labels)
+    F = mixing.F  # noqa: N806
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(7), F.col("doc_id"), F.xxhash64("text")), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    keyed = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"), u.alias("u"), weigh(F.col("text"), mixing.n_words(F.col("text"))).alias("weight")).collect()
+    good = [r.weight for r, (_, t, _) in zip(sorted(keyed), rows, strict=True) if "#" not in t and t.strip()]
+    bad = [r.weight for r, (_, t, _) in zip(sorted(keyed), rows, strict=True) if "#" in t]
+    assert np.mean(good) > np.mean(bad) + 0.3 and min(bad) >= mixing.LEAST_WEIGHT
+    got = {r.doc_id: r for r in mixing.mix(docs, weigh=weigh).collect()}
+    for source in "abc":
+        mine = sorted((-np.log(r.u) / r.weight, r.doc_id, r["size"]) for r in keyed if r.source == source)
+        whole, target = sum(m[2] for m in mine), got[mine[0][1]].target
+        epochs = int(target // whole)
+        room = round(target - epochs * whole)
+        for _, i, size in mine:
+            take = min(room, size)
+            room -= take
+            assert got[i].taken == epochs * size + take and got[i].source_size == whole
