@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import table, written
 from quillspark.llm.decontaminate import decontaminate
 from quillspark.llm.line_dedup import dedup_lines
-from quillspark.llm.mixing import mix
+from quillspark.llm.mixing import fitted, mix
 from quillspark.llm.quality import classify
 from quillspark.llm.simhash import cluster
 
@@ -37,8 +37,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
-    return mix(docs)
+    """How many words of each document the mix takes, weighed by what labels say of quality."""
+    return mix(docs, weigh=fitted(docs, table(spark, sf_dir, "labels")))
 
 
 STAGES = [("quality classifier", quality), ("line dedup", lines), ("SimHash near-dedup", near_duplicates), ("benchmark decontamination", benchmark), ("mixing to target weights", mixture)]
