@@ -168,7 +168,7 @@ def test_mix_by_a_plain_loop(spark):
         mine = sorted((-np.log(r.u) / r.weight, r.doc_id, r["size"]) for r in keyed if r.source == source)
         whole, target = sum(m[2] for m in mine), got[mine[0][1]].target
         epochs = int(target // whole)
-        room = round(target - epochs * whole)
+        room = int(target - epochs * whole + 0.5)
         for _, i, size in mine:
             take = min(room, size)
             room -= take
