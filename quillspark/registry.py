@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from .operators import analytics, answers, causal, curation, extract, graph, inference, neighbours, network, postings, questions, ranking, regression, retrieval, sentences, sets, similarity, tags, telemetry, text, walks  # noqa: F401  each adds its queries
+from .operators import analytics, answers, causal, curation, extract, graph, inference, monitor, neighbours, network, postings, questions, ranking, regression, retrieval, sentences, sets, similarity, tags, telemetry, text, walks  # noqa: F401  each adds its queries
 from .plans.named import QUERIES, SQL
 from .sources import corpus, files  # noqa: F401
 from .streaming import live, ordered  # noqa: F401
