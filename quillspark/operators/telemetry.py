@@ -39,9 +39,9 @@ def events_anomalies(spark, folder):
 
 @named("events_bursts", "select event_id, user_id, n from (select event_id, user_id, count(*) over (partition by user_id order by ts range between interval 3600 seconds preceding and current row) as n from events) where n >= 3")
 def events_bursts(spark, folder):
-    """Events with three or more of the user's in the hour up to them."""
-    h = Window.partitionBy("user_id").orderBy(F.col("ts").cast("timestamp").cast("long")).rangeBetween(-3600, 0)
-    return table(spark, folder, "events").select("event_id", "user_id", F.count("*").over(h).alias("n")).where("n >= 3")
+    """Events with three or more of the user's in the hour up to them, to the microsecond."""
+    n = F.expr("count(*) over (partition by user_id order by ts range between interval 3600 seconds preceding and current row)")
+    return table(spark, folder, "events").select("event_id", "user_id", n.alias("n")).where("n >= 3")
 
 
 @named("events_off_hours", "select user_id, count(*) as n from events where hour(ts) < 6 or hour(ts) > 23 group by 1")
