@@ -69,9 +69,10 @@ def dup_similar_titles(spark, folder):
 
 def dealt(rows: DataFrame, keys: list[str], by: str, bucket: int) -> tuple[DataFrame, DataFrame]:
     """rows twice, to be joined on keys and deal: every two rows of a key meet once in either order. Keys of one row go; those of many are
-    cut in deals of about `bucket` rows, each against all of the key, so no task holds a hot key, and a small table still fills the cores."""
+    cut in deals of about `bucket` rows, each against all of the key, so no task holds a hot key, and a small table still fills the cores.
+    Exploded rows are planned by the size of the few they come from, so joins are asked to merge: else the planner may send them whole through the driver."""
     n = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys, F.ceil(F.col("n") / bucket).cast("int").alias("deals"))
-    rows, parts = rows.join(n, keys), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows, parts = rows.join(n.hint("merge"), keys), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     mine = rows.withColumn("deal", F.pmod(F.xxhash64(by), F.col("deals")).cast("int")).drop("deals").repartition(parts, *keys, "deal")
     return mine, rows.select("*", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal")).drop("deals")
 
@@ -90,7 +91,7 @@ def title_links(titles: DataFrame, id: str, title: str, share: float = 0.6, buck
     other = other.select("word", "deal", F.col("class_id").alias("b"), F.col("s").alias("t"), F.col("n").alias("m"))
     both = F.array_intersect("s", "t")
     met = (F.col("class_id") != F.col("b")) & (F.size(both) / F.greatest("n", "m") > share) & (F.col("word") == both[0])
-    links = heads.join(other, ["word", "deal"]).where(met).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    links = heads.join(other.hint("merge"), ["word", "deal"]).where(met).groupBy("class_id").agg(F.count("*").alias("n_links"))
     return rows.join(classes.select("w", "class_id"), "w").join(links, "class_id", "left").select(id, "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
@@ -137,7 +138,7 @@ def bit_links(prints: DataFrame, distance: int = 5, bucket: int = 1000) -> DataF
     meets = F.col("k") == F.least(half("f").bitwiseXOR(last), half("g").bitwiseXOR(last))
     first = (F.col("side") == 0) | (F.bit_count(part("f", 0).bitwiseXOR(part("g", 0))) > 2)
     linked = (F.col("f") != F.col("g")) & (F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= distance) & (F.bit_count(apart) <= 2) & first & meets
-    return mine.join(theirs, ["side", "k", "deal"]).where(linked).groupBy("f").agg(F.count("*").alias("n_links"), F.min("other").alias("first"))
+    return mine.join(theirs.hint("merge"), ["side", "k", "deal"]).where(linked).groupBy("f").agg(F.count("*").alias("n_links"), F.min("other").alias("first"))
 
 
 def simhash_links(docs: DataFrame, id: str, text: str, distance: int = 5) -> DataFrame:
@@ -146,9 +147,9 @@ def simhash_links(docs: DataFrame, id: str, text: str, distance: int = 5) -> Dat
     rows = kept(docs.select(F.col(id), simhash64(C.words(F.lower(text))).alias("f")))
     prints = rows.groupBy("f").agg(F.min(id).alias("id"))
     links = bit_links(prints, distance)
-    each = prints.withColumnRenamed("id", "class_id").join(links, "f", "left")
+    each = prints.withColumnRenamed("id", "class_id").join(links.hint("merge"), "f", "left")
     first = (F.col(id) == F.col("class_id")) & (F.col("first").isNull() | (F.col("first") > F.col(id)))
-    return rows.join(each, "f").select(id, F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), first.alias("kept"))
+    return rows.join(each.hint("merge"), "f").select(id, F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), first.alias("kept"))
 
 
 @named("dup_simhash", r"""with w as (select doc_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\r\f\x0B]+'), lambda x: x <> '')) as w from documents), c as (select doc_id, w, count(*) as n from w group by all),

@@ -2,7 +2,11 @@
 
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from quillspark import registry
+from quillspark.operators import similarity
+from quillspark.operators.network import kept
 
 
 def test_bursts_to_the_microsecond(spark, tmp_path):
@@ -11,3 +15,12 @@ def test_bursts_to_the_microsecond(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
     got = {r.event_id: r.n for r in registry.queries()["events_bursts"](spark, str(tmp_path)).collect()}
     assert got == {2: 3, 3: 3, 6: 3}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fingerprints_are_not_sent_through_the_driver(spark):
+    prints = kept(spark.range(2000).select(F.xxhash64("id").alias("f"), "id"))
+    assert "Broadcast" not in plan_of(similarity.bit_links(prints))
