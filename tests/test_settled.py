@@ -5,7 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from quillspark import registry
-from quillspark.operators import similarity
+from quillspark.operators import sets, similarity
 from quillspark.operators.network import kept
 
 
@@ -24,3 +24,10 @@ def plan_of(df):
 def test_fingerprints_are_not_sent_through_the_driver(spark):
     prints = kept(spark.range(2000).select(F.xxhash64("id").alias("f"), "id"))
     assert "Broadcast" not in plan_of(similarity.bit_links(prints))
+
+
+def test_only_shared_tokens_move_and_near_sizes_meet(spark):
+    rows = [(1, ["a", "b", "c", "d"]), (2, ["a", "b", "c", "e"]), (3, ["a", "b", "c", "d", *"fghijklmnop"]), (4, ["q"])]
+    ranked = sets.rarest_first(spark.createDataFrame(rows, "id long, s array<string>"))
+    assert {r["id"]: (r["size"], len(r.r)) for r in ranked.collect()} == {1: (4, 4), 2: (4, 3), 3: (15, 4)}
+    assert {(r.a, r.b) for r in sets.met(ranked, 0.6, 2).collect()} == {(1, 2)}
