@@ -47,3 +47,12 @@ def test_links_of_clusters_go_as_clusters_grow(spark, monkeypatch):
     got = walks.bounded_clusters(spark.createDataFrame(edges, "u long, v long, w double"), 4).collect()
     assert len(got) == 12 and max(Counter(r.cluster for r in got).values()) == 4
     assert held == sorted(held, reverse=True) and held[0] == 132 and held[-1] <= 6
+
+
+def test_classes_of_odd_sets(spark):
+    rows = [(5, ["a\nb", "c"]), (4, ["a", "b\nc"]), (3, ["c", "a\nb", "c"]), (2, []), (1, [""]), (0, None), (None, ["c"]), (7, []), (8, ['a","b']), (9, ["a", "b"])]
+    own, held = sets.classes(spark.createDataFrame(rows, "doc_id long, t array<string>"), F.col("t"))
+    assert {r.doc_id: r["id"] for r in own.collect()} == {5: 3, 4: 4, 3: 3, 2: 2, 1: 1, 7: 2, 8: 8, 9: 9}
+    assert {r["id"]: r.s for r in held.collect()} == {3: ["a\nb", "c"], 4: ["a", "b\nc"], 2: [], 1: [""], 8: ['a","b'], 9: ["a", "b"]}
+    plans = [plan_of(x) for x in (own, held)]
+    assert not any("Exchange" in p for p in plans)
