@@ -1,13 +1,14 @@
 """Keyed state over events in the order of their time, whatever the order and the batches they come in.
 
 Events wait in state until the watermark has passed them, and are then taken in order. So the rows don't depend on how files fall into batches, as
-long as no event is later than the delay. A key's state is what its rule needs and the events of one delay."""
+long as no event is later than the delay. A key's state is what its rule needs and the events of one delay; of these a task holds a day at once."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,11 +19,14 @@ from ..sources.files import scratch
 from .live import events_stream
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-WAITING = "at bigint, event_id bigint, given double"
+WAITING = "at array<bigint>, event_id array<bigint>, given array<double>"
+#: Microseconds of a day, and how many events of a batch a task holds before they go to state.
+DAY, HELD = 86_400_000_000, 200_000
 
 
 class InOrder(StatefulProcessor):
-    """step(state, microseconds, given) gives the new state, a tuple, and a result, or None for no result. A timer stands at a key's earliest waiting event."""
+    """step(state, microseconds, given) gives the new state, a tuple, and a result, or None for no result. A timer stands at a key's earliest waiting event.
+    Events wait in state in runs of a day each, so what a task holds is a day of a key, however many days a batch has or wait."""
 
     def __init__(self, state: str, first: tuple, step: Callable, key: str):
         self.kind, self.first, self.step, self.key = state, first, step, key
@@ -30,33 +34,70 @@ class InOrder(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.now = handle.getValueState("now", self.kind)
-        self.waiting = handle.getListState("waiting", WAITING)
+        self.runs = handle.getValueState("runs", "n bigint")
+        self.waiting = handle.getMapState("waiting", "day bigint, run bigint", WAITING)
 
     def close(self) -> None:
         pass
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [r for pdf in rows for r in zip(pdf["at"].tolist(), pdf["event_id"].tolist(), pdf["given"].tolist(), strict=True)]
-        self.waiting.appendList(new)
-        self._ring(min(r[0] for r in new))
+        earliest, held, size = None, [], 0
+        for pdf in rows:
+            if not len(pdf):
+                continue
+            held.append(tuple(pdf[c].to_numpy() for c in ("at", "event_id", "given")))
+            first, size = int(held[-1][0].min()), size + len(pdf)
+            earliest = first if earliest is None else min(earliest, first)
+            if size >= HELD:
+                self._wait(held)
+                held, size = [], 0
+        self._wait(held)
+        if earliest is not None:
+            self._ring(earliest)
         yield self._rows([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(tuple(r) for r in self.waiting.get())
-        due, rest = [r for r in held if r[0] < passed], [r for r in held if r[0] >= passed]
-        state, found = tuple(self.now.get()) if self.now.exists() else self.first, []
-        for at, event, given in due:
-            state, result = self.step(state, at, given)
-            if result is not None:
-                found.append((key[0], event, float(result)))
+        days: dict[int, list[int]] = {}
+        for day, run in self.waiting.keys():
+            days.setdefault(day, []).append(run)
+        state = tuple(self.now.get()) if self.now.exists() else self.first
+        for day in sorted(days):
+            if day * DAY >= passed:
+                self._ring(day * DAY)
+                break
+            parts = [self.waiting.getValue((day, run)) for run in days[day]]
+            at, event, given = (np.concatenate([np.asarray(p[i]) for p in parts]) for i in range(3))
+            order = np.lexsort((event, at))
+            n, found = int(np.count_nonzero(at < passed)), []
+            for i in order[:n].tolist():
+                state, result = self.step(state, int(at[i]), float(given[i]))
+                if result is not None:
+                    found.append((key[0], int(event[i]), float(result)))
+            for run in days[day]:
+                self.waiting.removeKey((day, run))
+            if found:
+                yield self._rows(found)
+            if n < len(order):
+                rest = order[n:]
+                self._wait([(at[rest], event[rest], given[rest])])
+                self._ring(int(at[rest[0]]))
+                break
         self.now.update(state)
-        if rest:
-            self.waiting.put(rest)
-            self._ring(rest[0][0])
-        else:
-            self.waiting.clear()
-        yield self._rows(found)
+        yield self._rows([])
+
+    def _wait(self, held: list[tuple]) -> None:
+        """Puts events into state, as runs of a day each."""
+        if not held:
+            return
+        at, event, given = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.argsort(at // DAY, kind="stable")
+        days, starts = np.unique((at // DAY)[order], return_index=True)
+        run = self.runs.get()[0] if self.runs.exists() else 0
+        for day, some in zip(days.tolist(), np.split(order, starts[1:]), strict=True):
+            self.waiting.updateValue((day, run), (at[some].tolist(), event[some].tolist(), given[some].tolist()))
+            run += 1
+        self.runs.update((run,))
 
     def _rows(self, found: list[tuple]) -> pd.DataFrame:
         keys, events, results = zip(*found, strict=True) if found else ((), (), ())

@@ -6,11 +6,13 @@ from collections import Counter
 from datetime import datetime
 from itertools import permutations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quillspark import registry
 from quillspark.operators import sets, similarity, walks
 from quillspark.operators.network import kept, kept_at
+from quillspark.streaming import ordered
 
 
 def test_bursts_to_the_microsecond(spark, tmp_path):
@@ -92,3 +94,79 @@ def against_all(docs):
         if apart and (sides[a][0] & sides[b][1] or sides[a][1] & sides[b][0]) and len(words[a] & words[b]) >= 3:
             links[name[a]].append(name[b])
     return {c: (len(x), min(x, default=None)) for c, x in links.items()}
+
+
+class Held:
+    """State of one key in memory, of all kinds, that notes how many events one read brings."""
+
+    def __init__(self):
+        self.states, self.timer, self.most = {}, None, 0
+
+    def _state(self, name, kind):
+        return self.states.setdefault(name, State(self))
+
+    getValueState = getListState = _state
+
+    def getMapState(self, name, key, value):
+        return self._state(name, value)
+
+    def registerTimer(self, at):
+        self.timer = at
+
+
+class State:
+    def __init__(self, handle):
+        self.handle, self.value, self.rows, self.map = handle, None, [], {}
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        if self.rows:
+            self.handle.most = max(self.handle.most, len(self.rows))
+            return iter(self.rows)
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def appendList(self, rows):
+        self.rows += rows
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def clear(self):
+        self.rows = []
+
+    def keys(self):
+        return iter(list(self.map))
+
+    def getValue(self, key):
+        self.handle.most = max(self.handle.most, len(self.map[key][0]))
+        return self.map[key]
+
+    def updateValue(self, key, value):
+        self.map[key] = value
+
+    def removeKey(self, key):
+        del self.map[key]
+
+
+def test_events_of_many_days_are_held_a_day_at_once():
+    rows = pd.DataFrame({"at": [d * ordered.DAY + h * 3_600_000_000 for h in (5, 1, 3) for d in range(50)], "event_id": range(150), "given": [float(x % 7) for x in range(150)]})
+    handle, seen = Held(), []
+    rule = ordered.InOrder("n double", (0.0,), lambda state, at, given: ((state[0] + given,), state[0] + given), "k")
+    rule.init(handle)
+    list(rule.handleInputRows(("a",), iter([rows[:70], rows[70:]]), None))
+    for passed in (ordered.DAY * 20 + 2 * 3_600_000_000, ordered.DAY * 90):
+        times = type("Times", (), {"getCurrentWatermarkInMs": lambda self, passed=passed: passed // 1000})()
+        seen += [r for df in rule.handleExpiredTimer(("a",), times, None) for r in df.itertuples(index=False)]
+        if passed < ordered.DAY * 90:
+            assert handle.timer == (ordered.DAY * 20 + 3 * 3_600_000_000) // 1000 + 1
+    want, total = [], 0.0
+    for r in rows.sort_values(["at", "event_id"]).itertuples():
+        total += r.given
+        want.append(("a", r.event_id, total))
+    assert [tuple(r) for r in seen] == want
+    assert handle.most <= 3
