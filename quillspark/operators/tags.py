@@ -58,6 +58,8 @@ DATASETS = {x: x.lower() for x in "ANES|WVS|V-Dem|Afrobarometer|ESS|CPS|GSS|CCES
 
 FIXED = [(kind, tag, word) for kind, tags in (("method", METHODS), ("theory", THEORIES), ("theme", THEMES), ("dataset", DATASETS)) for tag, words in tags.items() for word in words.split("|")]
 KEYWORD_BYTES = 32 << 20
+#: Texts whose tags a task holds at once.
+HELD = 256
 
 
 def keyword_blocks(keywords: DataFrame, most: int) -> Iterator[list[tuple[str, list[int]]]]:
@@ -74,6 +76,25 @@ def keyword_blocks(keywords: DataFrame, most: int) -> Iterator[list[tuple[str, l
         yield held
 
 
+def _hits(batches: Iterator[pa.RecordBatch], words: list[tuple[str, list[int]]], floor: int) -> Iterator[pa.RecordBatch]:
+    """(id, n, hits) of `floor` hits or more for batches (id, text), a few texts at once, whatever the size of a batch."""
+    machine = ahocorasick.Automaton()
+    for i, (word, _) in enumerate(words):
+        machine.add_word(word, i)
+    machine.make_automaton()
+    for batch in batches:
+        for start in range(0, batch.num_rows, HELD):
+            part = batch.slice(start, HELD)
+            at, tags, hits = [], [], []
+            for row, t in enumerate(part.column(1)):
+                n = Counter(tag for i in {i for _, i in machine.iter(t.as_py())} for tag in words[i][1])
+                some = [(tag, k) for tag, k in n.items() if k >= floor]
+                at += [row] * len(some)
+                tags += [tag for tag, _ in some]
+                hits += [k for _, k in some]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array(tags, pa.int64()), pa.array(hits, pa.int64())], ["id", "n", "hits"])
+
+
 def tagged(docs: DataFrame, keywords: DataFrame, id: str, text: str, least: int = 1, most: int = KEYWORD_BYTES) -> DataFrame:
     """(id, kind, tag, hits): which tags of keywords (kind, tag, keyword) a text has, those of which it holds `least` different keywords, anywhere and
     in any case; hits is how many. A keyword is taken as it is, so one with capitals is found nowhere.
@@ -86,24 +107,17 @@ def tagged(docs: DataFrame, keywords: DataFrame, id: str, text: str, least: int
     texts = docs.where(F.col(text) != "").select(F.col(id).alias("id"), F.lower(F.col(text)).alias("t"))
     kind = docs.schema[id].dataType.simpleString()
     found = []
-    for block in keyword_blocks(words, most):
+    blocks = keyword_blocks(words, most)
+    block, after = next(blocks, None), next(blocks, None)
+    floor = least if after is None else 1  # a tag whose keywords are in several blocks is counted over all of them first
+    while block is not None:
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            machine = ahocorasick.Automaton()
-            for i, (word, _) in enumerate(sent.value):
-                machine.add_word(word, i)
-            machine.make_automaton()
-            for batch in batches:
-                at, tags, hits = [], [], []
-                for row, t in enumerate(batch.column(1).to_pylist()):
-                    n = Counter(tag for i in {i for _, i in machine.iter(t)} for tag in sent.value[i][1])
-                    at += [row] * len(n)
-                    tags += n.keys()
-                    hits += n.values()
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(tags, pa.int64()), pa.array(hits, pa.int64())], ["id", "n", "hits"])
+            return _hits(batches, sent.value, floor)
 
         found.append(texts.mapInArrow(run, f"id {kind}, n long, hits long"))
+        block, after = after, next(blocks, None)
     if not found:
         return spark.createDataFrame([], f"`{id}` {kind}, kind string, tag string, hits long")
     one = reduce(DataFrame.unionAll, found)

@@ -7,10 +7,11 @@ from datetime import datetime
 from itertools import permutations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillspark import registry
-from quillspark.operators import sets, similarity, walks
+from quillspark.operators import sets, similarity, tags, walks
 from quillspark.operators.network import kept, kept_at
 from quillspark.streaming import ordered
 
@@ -170,3 +171,10 @@ def test_events_of_many_days_are_held_a_day_at_once():
         want.append(("a", r.event_id, total))
     assert [tuple(r) for r in seen] == want
     assert handle.most <= 3
+
+
+def test_tags_of_a_large_batch_go_out_in_small_ones():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array([f"abc de {'fgh' if i % 2 else ''}" for i in range(3000)])], ["id", "t"])
+    out = list(tags._hits(iter([batch]), [("abc", [5, 6]), ("fgh", [6]), ("zzz", [7])], 2))
+    assert max(b.num_rows for b in out) <= 256
+    assert [r for b in out for r in zip(*b.to_pydict().values(), strict=True)] == [(i, 6, 2) for i in range(1, 3000, 2)]
