@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import cosine
@@ -58,15 +58,49 @@ def _supplied(spark, folder) -> DataFrame:
     return table(spark, folder, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("u"), F.concat(F.lit("p"), F.col("l_partkey")).alias("v")).distinct()
 
 
+DIGITS = 15
+
+
+def code(kind: int, number: Column, digits: int = DIGITS) -> Column:
+    """A long in the order of kind and the decimal digits of a number from 0 to below 10^digits: digits from the left, filled up, then how many there are."""
+    n = number.cast("long")
+    size = F.length(n.cast("string"))
+    return (F.lit(kind * 10**digits) + n * _power(digits, size)) * 32 + size
+
+
+def decoded(c: Column, kinds: str, digits: int = DIGITS) -> Column:
+    """The kind's letter and the number of a code()."""
+    div = lambda x, y: F.call_function("div", x, y)
+    left = div(c, F.lit(32))
+    number = div(left % F.lit(10**digits), _power(digits, c.bitwiseAND(31).cast("int")))
+    return F.concat(F.element_at(F.array(*map(F.lit, kinds)), (div(left, F.lit(10**digits)) + 1).cast("int")), number.cast("string"))
+
+
+def _power(digits: int, size: Column) -> Column:
+    """What a number of `size` digits is to be multiplied by to have `digits`."""
+    return F.element_at(F.array(*[F.lit(10**i).cast("long") for i in range(digits)]), F.lit(digits + 1) - size)
+
+
+def _joined(spark, folder) -> DataFrame:
+    """(node, component) of suppliers and parts joined by lines, whose names are numbers in the same order while the components are sought, where they have 15 digits at most."""
+    line = table(spark, folder, "lineitem").select("l_suppkey", "l_partkey")
+    ends = [x for x in line.agg(*[f(c) for c in line.columns for f in (F.min, F.max)]).first() if x is not None]
+    if any(not 0 <= x < 10**DIGITS for x in ends):
+        return components(_supplied(spark, folder))
+    digits = len(str(max(ends, default=0)))
+    found = components(line.select(code(1, F.col("l_suppkey"), digits).alias("u"), code(0, F.col("l_partkey"), digits).alias("v")))
+    return found.select(*[decoded(F.col(c), "ps", digits).alias(c) for c in found.columns])
+
+
 @named("graph_components", f"{_COMPONENTS} select node, component from r")
 def graph_components(spark, folder):
     """Suppliers and parts joined by lines."""
-    return components(_supplied(spark, folder))
+    return _joined(spark, folder)
 
 
 @named("graph_component_sizes", f"{_COMPONENTS} select component, count(*) as n, sum((node like 's%')::int)::bigint as suppliers from r group by component")
 def graph_component_sizes(spark, folder):
-    c = components(_supplied(spark, folder))
+    c = _joined(spark, folder)
     return c.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.col("node").startswith("s").cast("int")).alias("suppliers"))
 
 

@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillspark import registry
-from quillspark.operators import sets, similarity, tags, walks
-from quillspark.operators.network import kept, kept_at
+from quillspark.operators import network, sets, similarity, tags, walks
+from quillspark.operators.network import components, kept, kept_at
 from quillspark.streaming import ordered
 
 
@@ -178,3 +178,23 @@ def test_tags_of_a_large_batch_go_out_in_small_ones():
     out = list(tags._hits(iter([batch]), [("abc", [5, 6]), ("fgh", [6]), ("zzz", [7])], 2))
     assert max(b.num_rows for b in out) <= 256
     assert [r for b in out for r in zip(*b.to_pydict().values(), strict=True)] == [(i, 6, 2) for i in range(1, 3000, 2)]
+
+
+def test_names_as_numbers_keep_their_order(spark):
+    numbers = sorted({0, 1, 2, 9, 10, 11, 19, 99, 100, 101, 110, 999, 1000, 123456789012345, 999999999999999} | {7**i for i in range(17)})
+    df = spark.createDataFrame([(i, n) for i in (0, 1) for n in numbers], "kind int, n long")
+    named = df.withColumn("c", F.when(F.col("kind") == 0, network.code(0, F.col("n"))).otherwise(network.code(1, F.col("n"))))
+    rows = named.withColumn("name", network.decoded(F.col("c"), "ps")).orderBy("c").collect()
+    assert [r.name for r in rows] == sorted("ps"[r.kind] + str(r.n) for r in rows)
+
+
+def test_components_are_sought_by_numbers(spark, tmp_path, monkeypatch):
+    lines, sought = [(1, 10), (1, 9), (2, 9), (30, 4), (300, 4), (5, 500), (None, 4), (7, None)], []
+    monkeypatch.setattr(network, "components", lambda edges: sought.append(dict(edges.dtypes)["u"]) or components(edges))
+    want = {"s1": "p10", "s2": "p10", "p9": "p10", "p10": "p10", "s30": "p4", "s300": "p4", "p4": "p4", "s5": "p500", "p500": "p500"}
+    for shift, kind in ((0, "bigint"), (-1000, "string")):
+        rows = [(s and s + shift, p) for s, p in lines]
+        spark.createDataFrame(rows, "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/{kind}/lineitem.parquet")
+        got = {r.node: r.component for r in registry.queries()["graph_components"](spark, f"{tmp_path}/{kind}").collect()}
+        assert got == {n if n[0] == "p" else f"s{int(n[1:]) + shift}": c for n, c in want.items()}
+        assert sought.pop() == kind
