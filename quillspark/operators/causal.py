@@ -147,10 +147,19 @@ def closure_sizes(edges: DataFrame, k: int = 256) -> DataFrame:
     least = lambda df: df.withColumn("turn", turn("h")).where(F.col("turn") <= k).drop("turn")
     own = kept(nodes.select("node", F.xxhash64(F.lit(41), "node").alias("h")))
     held = newest = own
-    while not newest.isEmpty():
+    bound, turn_no = 1, 0
+    while True:
         told = newest.join(edges, newest.node == edges.v).select(F.col("u").alias("node"), "h").distinct()
-        fresh = told.join(held, ["node", "h"], "left_anti").withColumn("new", F.lit(True))
-        both = kept(least(held.withColumn("new", F.lit(False)).unionByName(fresh)))
+        fresh = kept(told.join(held, ["node", "h"], "left_anti"))
+        most = fresh.groupBy("node").count().agg(F.max("count")).first()[0]
+        if most is None:
+            break
+        bound, turn_no = bound + most, turn_no + 1
+        if bound <= k:  # no node has more than k yet, so none has to be cut
+            held, newest = held.unionByName(fresh), fresh
+            held = kept(held) if turn_no % 8 == 0 else held
+            continue
+        both = kept(least(held.withColumn("new", F.lit(False)).unionByName(fresh.withColumn("new", F.lit(True)))))
         held, newest = both.select("node", "h"), kept(both.where("new").select("node", "h"))
     size = held.groupBy("node").agg(F.count("*").alias("size"), F.max("h").alias("last"))
     within = (F.col("last") / F.lit(float(1 << 63)) + 1) / 2  # the k-th hash as a share of all hashes

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillspark import registry
-from quillspark.operators import network, sets, similarity, tags, walks
+from quillspark.operators import causal, network, sets, similarity, tags, walks
 from quillspark.operators.network import components, kept, kept_at
 from quillspark.streaming import ordered
 
@@ -198,3 +198,11 @@ def test_components_are_sought_by_numbers(spark, tmp_path, monkeypatch):
         got = {r.node: r.component for r in registry.queries()["graph_components"](spark, f"{tmp_path}/{kind}").collect()}
         assert got == {n if n[0] == "p" else f"s{int(n[1:]) + shift}": c for n, c in want.items()}
         assert sought.pop() == kind
+
+
+def test_closures_below_the_bound_are_not_cut(spark, monkeypatch):
+    edges, made = spark.createDataFrame([(m * 10 + i, m * 10 + i + 1) for m in range(30) for i in range(5)], "u long, v long"), []
+    monkeypatch.setattr(causal, "kept", lambda df: made.append("Window" in plan_of(df)) or kept(df))
+    got = {r.node: (r.n, r.exact) for r in causal.closure_sizes(edges).collect()}
+    assert got == {m * 10 + i: (5 - i, True) for m in range(30) for i in range(6)}
+    assert not any(made)
