@@ -22,9 +22,16 @@ def graph_most_cited(spark, folder):
 @named("graph_shared_orders", "with s as (select distinct l_orderkey, l_suppkey from lineitem) select a.l_suppkey as a, b.l_suppkey as b, count(*) as n from s a join s b on a.l_orderkey = b.l_orderkey and a.l_suppkey < b.l_suppkey group by all")
 def graph_shared_orders(spark, folder):
     """Supplier pairs by shared orders. An order holds at most seven lines, so a key's pairs are few."""
-    s = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey").distinct()
-    a, b = s.withColumnRenamed("l_suppkey", "a"), s.withColumnRenamed("l_suppkey", "b")
-    return a.join(b, "l_orderkey").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    return shared(table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_suppkey").alias("x")))
+
+
+def shared(rows: DataFrame, lines: int = 250_000) -> DataFrame:
+    """(a, b, n): pairs a < b of x in rows (key, x) by how many keys have both. Keys and pairs are dealt to as many parts as have about so many lines each, so a task's
+    memory doesn't grow with the table."""
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // lines))
+    s = rows.repartition(parts, "key").distinct()
+    a, b = s.withColumnRenamed("x", "a"), s.withColumnRenamed("x", "b")
+    return a.join(b.hint("merge"), "key").where("a < b").repartition(parts, "a", "b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 @named("graph_degrees", "with e as (select distinct l_suppkey as s, l_partkey as p from lineitem) select s, count(*) as out_degree from e group by s")

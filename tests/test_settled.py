@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillspark import registry
-from quillspark.operators import causal, network, sets, similarity, tags, walks
+from quillspark.operators import causal, graph, network, sets, similarity, tags, walks
 from quillspark.operators.network import components, kept, kept_at
 from quillspark.streaming import ordered
 
@@ -206,3 +206,16 @@ def test_closures_below_the_bound_are_not_cut(spark, monkeypatch):
     got = {r.node: (r.n, r.exact) for r in causal.closure_sizes(edges).collect()}
     assert got == {m * 10 + i: (5 - i, True) for m in range(30) for i in range(6)}
     assert not any(made)
+
+
+def test_shared_keys_are_dealt_by_the_number_of_lines(spark):
+    rows = [(k, (k * k + 3 * i) % 23) for k in range(200) for i in range(4)] + [(None, 1), (None, 2), (5, None)]
+    df = graph.shared(spark.createDataFrame(rows, "key long, x long"), 50)
+    plan = plan_of(df)
+    assert len(re.findall(r"hashpartitioning\([^()]*, 17\)", plan)) >= 2
+    held = {}
+    for k, x in rows:
+        if k is not None and x is not None:
+            held.setdefault(k, set()).add(x)
+    want = Counter((a, b) for xs in held.values() for a in xs for b in xs if a < b)
+    assert {(r.a, r.b): r.n for r in df.collect()} == want
