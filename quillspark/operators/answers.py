@@ -9,9 +9,8 @@ from ..functions import columns as C
 from ..plans.named import named
 from ..sources.tables import chunks, table
 from .network import kept
-from .postings import ImpactIndex, bm25_impacts
 from .ranking import diversified
-from .retrieval import _BM25
+from .retrieval import _BM25, bm25
 
 POOL, TOP, VARIETY = 60, 12, 0.7
 ENOUGH, FAMILIES = 0.35, 2
@@ -53,20 +52,11 @@ def short_of(scored: DataFrame, items: DataFrame) -> DataFrame:
 def answers(docs: DataFrame, items: DataFrame, vectors: DataFrame, labels: DataFrame, facets: DataFrame) -> DataFrame:
     """(item_id, doc_id, source, attempt, score, rank): up to TOP documents for each of items (item_id, text) within its facet of facets (item_id, lang), if it has
     one; where these are not enough, the same without the facet behind them, what came first staying, 2 TOP in all (VEC13, VEC16)."""
-    impacts, idf = bm25_impacts(docs, C.tokens(F.col("text")))
-    index = ImpactIndex(impacts)
-    asked = items.where("item_id is not null").select("item_id", F.explode(C.tokens(F.col("text"))).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("times"))
-    asked = kept(asked.join(idf, "term").select("item_id", "term", (F.col("times") * F.col("idf")).alias("weight")))
-    lang, wanted = docs.select("doc_id", "lang"), facets.select("item_id", F.col("lang").alias("wanted"))
-
-    def within(scored: DataFrame) -> DataFrame:
-        both = scored.join(wanted, "item_id", "left").join(lang, "doc_id")
-        return both.where("wanted is null or wanted = lang").select("item_id", "doc_id", "score")
-
-    first = blended(kept(index.search(asked, POOL, keep=within)[0]), vectors, docs, labels)
+    asked = items.select("item_id", "text").join(facets.select("item_id", "lang"), "item_id", "left")
+    first = blended(kept(bm25(docs, asked, POOL, "lang")), vectors, docs, labels)
     short = kept(short_of(first, items))
-    again = asked.join(short, "item_id", "left_semi")
-    second = blended(kept(index.search(again, POOL)[0]), vectors, docs, labels)
+    again = items.select("item_id", "text").join(short, "item_id", "left_semi")
+    second = blended(kept(bm25(docs, again, POOL)), vectors, docs, labels)
     every = None
     for attempt, scored in ((1, first), (2, second)):
         rows = picked(scored).join(scored.drop("embedding"), ["item_id", "doc_id"]).withColumn("attempt", F.lit(attempt))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillspark import registry
-from quillspark.operators import causal, graph, network, sets, similarity, tags, walks
+from quillspark.operators import answers, causal, graph, network, sets, similarity, tags, walks
 from quillspark.operators.network import components, kept, kept_at
 from quillspark.streaming import ordered
 
@@ -219,3 +219,18 @@ def test_shared_keys_are_dealt_by_the_number_of_lines(spark):
             held.setdefault(k, set()).add(x)
     want = Counter((a, b) for xs in held.values() for a in xs for b in xs if a < b)
     assert {(r.a, r.b): r.n for r in df.collect()} == want
+
+
+def test_answers_shuffle_only_what_a_task_found_best(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "aa bb " * (1 + i % 5) + f"w{i}", ("en", "fr", None)[i % 3], "x") for i in range(90)], "doc_id long, text string, lang string, source string")
+    items = spark.createDataFrame([(1, "aa w7 w8"), (2, "bb"), (3, "bb w5"), (4, None), (5, "none")], "item_id long, text string")
+    facets = spark.createDataFrame([(1, "fr"), (2, None), (3, "xx")], "item_id long, lang string")
+    vectors, labels = spark.createDataFrame([], "vec_id long, embedding array<float>"), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    pools = []
+    monkeypatch.setattr(answers, "kept", lambda df: pools.append((plan_of(df), kept(df))) or pools[-1][1])
+    got = answers.answers(docs, items, vectors, labels, facets).where("attempt = 1").collect()
+    plan, pool = pools[0]
+    assert "Generate explode" not in plan and plan.count("Exchange") == 1 and "MapInArrow" in plan
+    held = {i: {r.doc_id for r in pool.collect() if r.item_id == i} for i in range(1, 6)}
+    assert held == {1: {d for d in range(90) if d % 3 == 1}, 2: held[2], 3: set(), 4: set(), 5: set()} and len(held[2]) == answers.POOL
+    assert {r.item_id for r in got} == {1, 2} and all(r.doc_id % 3 == 1 for r in got if r.item_id == 1)
