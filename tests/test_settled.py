@@ -262,3 +262,21 @@ def test_texts_are_indexed_without_a_shuffle(spark, monkeypatch, documents, toke
     assert {(r.item_id, r.doc_id, r["rank"]) for r in got.collect()} == best
     df = index.documents_of(spark.createDataFrame([("w1",), ("no",)], "term string")).collect()
     assert [tuple(r) for r in df] == [("w1", sum(t == "w1" for t, _ in want))]
+
+
+def test_rounds_of_ranks_move_vectors_only(spark, monkeypatch):
+    rng, rounds = random.Random(4), []
+    links = {(f"n{int(60 * rng.random() ** 2)}", f"n{rng.randrange(70)}") for _ in range(400)} | {("n1", "n1"), ("n1", "end")}
+    monkeypatch.setattr(graph, "kept_at", lambda df: rounds.append(df.dtypes) or kept_at(df))
+    got = {r.id: r.v for r in graph.page_rank(spark.createDataFrame(sorted(links), "src string, dst string"), 7, deal=9, bucket=16).collect()}
+    links = {(a, b) for a, b in links if a != b}
+    out, ids = Counter(a for a, _ in links), {x for p in links for x in p}
+    want = dict.fromkeys(ids, 1 / len(ids))
+    for _ in range(7):
+        new = dict.fromkeys(ids, 0.15 / len(ids))
+        for a, b in links:
+            new[b] += 0.85 * want[a] / out[a]
+        want = new
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-12 for x in want)
+    assert len(rounds) == 8 and all(("v", "binary") in d and "string" not in dict(d).values() for d in rounds)
+    assert graph.page_rank(spark.createDataFrame([("a", "a")], "src string, dst string"), 2).collect() == []
