@@ -280,3 +280,16 @@ def test_rounds_of_ranks_move_vectors_only(spark, monkeypatch):
     assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-12 for x in want)
     assert len(rounds) == 8 and all(("v", "binary") in d and "string" not in dict(d).values() for d in rounds)
     assert graph.page_rank(spark.createDataFrame([("a", "a")], "src string, dst string"), 2).collect() == []
+
+
+@pytest.mark.parametrize("name", ["graph_personal", "graph_walks"])
+def test_links_of_walks_are_dealt_once_and_are_numbers(spark, monkeypatch, name):
+    plans = []
+    monkeypatch.setattr(walks, "kept", lambda df: plans.append((plan_of(df), df.dtypes)) or kept(df))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert registry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    rounds = [p for p, _ in plans if "Bucketed: true" in p]
+    assert rounds and not any("string" in dict(d).values() for _, d in plans)
