@@ -9,6 +9,7 @@ from ..functions import columns as C
 from ..plans.named import SQL, named
 from ..sources.files import scratch
 from ..sources.tables import table
+from .network import parts_of
 from .questions import _how_many, _sql_list, text_citations
 from .ranking import _NEAR, _near
 
@@ -209,13 +210,15 @@ def atlas_places(spark, folder):
 
 @named("graph_effects", """with p as (select distinct n_regionkey, n_nationkey, l_partkey from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey),
     e as (select 'nation' as kind, n_nationkey as cause, l_partkey, 0.8::double * 0.8 as effect from p union select 'region', n_regionkey, l_partkey, 0.8::double * 0.8 * 0.8 from p) select kind, cause::bigint as cause, l_partkey, round(effect, 4) as effect from e""")
-def graph_effects(spark, folder, decay: float = 0.8):
-    """What a change of a nation or region does to parts, fading by 0.8 a step down to suppliers and their parts (GRF15). Nations and regions are few, so reached pairs grow as parts do."""
+def graph_effects(spark, folder, decay: float = 0.8, lines: int = 250_000):
+    """What a change of a nation or region does to parts, fading by 0.8 a step down to suppliers and their parts (GRF15). Nations and regions are few, so reached pairs grow as parts do.
+    Both steps are dealt to as many parts as have about `lines` lines each."""
     line, supplier, nation = table(spark, folder, "lineitem"), table(spark, folder, "supplier"), table(spark, folder, "nation")
     homes = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_nationkey", "n_regionkey")
-    p = line.select("l_suppkey", "l_partkey").distinct().join(homes, F.col("l_suppkey") == F.col("s_suppkey"))
+    parts = parts_of(line, lines)
+    p = line.select("l_suppkey", "l_partkey").repartition(parts, "l_suppkey", "l_partkey").distinct().join(homes, F.col("l_suppkey") == F.col("s_suppkey"))
     steps = F.array(F.struct(F.lit("nation").alias("kind"), F.col("n_nationkey").cast("long").alias("cause"), F.lit(decay**2).alias("effect")), F.struct(F.lit("region").alias("kind"), F.col("n_regionkey").cast("long").alias("cause"), F.lit(decay**3).alias("effect")))
-    return p.select("l_partkey", F.explode(steps).alias("x")).select("x.kind", "x.cause", "l_partkey", F.round("x.effect", 4).alias("effect")).distinct()
+    return p.select("l_partkey", F.explode(steps).alias("x")).select("x.kind", "x.cause", "l_partkey", F.round("x.effect", 4).alias("effect")).repartition(parts, "kind", "cause", "l_partkey").distinct()
 
 
 @named("graph_citing", f"""with c as ({SQL["text_citations"]}), d as (select doc_id, lower(substr(source, 1, 1)) || 'mith_' || (1990 + (doc_id * 7) % 30) as node from documents), e as (select node as citing, cited, count(*) as texts from c join d using (doc_id) where node <> cited group by all)

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark import registry
-from quillspark.operators import answers, causal, graph, network, postings, sets, similarity, tags, walks
+from quillspark.operators import answers, causal, graph, network, postings, sentences, sets, similarity, tags, walks
 from quillspark.operators.network import components, kept, kept_at
 from quillspark.streaming import ordered
 
@@ -293,3 +293,11 @@ def test_links_of_walks_are_dealt_once_and_are_numbers(spark, monkeypatch, name)
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     rounds = [p for p, _ in plans if "Bucketed: true" in p]
     assert rounds and not any("string" in dict(d).values() for _, d in plans)
+
+
+def test_effects_are_dealt_by_the_number_of_lines(spark):
+    folder = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    df = sentences.graph_effects(spark, folder, lines=300)
+    assert len(re.findall(rf"hashpartitioning\([^()]*, {-(-n // 300)}\)", plan_of(df))) == 2
+    assert Counter(map(tuple, df.collect())) == Counter(map(tuple, registry.queries()["graph_effects"](spark, folder).collect()))
