@@ -301,3 +301,45 @@ def test_effects_are_dealt_by_the_number_of_lines(spark):
     df = sentences.graph_effects(spark, folder, lines=300)
     assert len(re.findall(rf"hashpartitioning\([^()]*, {-(-n // 300)}\)", plan_of(df))) == 2
     assert Counter(map(tuple, df.collect())) == Counter(map(tuple, registry.queries()["graph_effects"](spark, folder).collect()))
+
+
+def judged_both_ways(monkeypatch, judge, rounds):
+    """What judge() gives of small models in one step, of some in rounds, and of all in rounds."""
+    got, turns = [], []
+    plain = getattr(causal, rounds)
+    monkeypatch.setattr(causal, rounds, lambda *tables: turns.append(1) or plain(*tables))
+    for width, most in ((64, 256), (6, 9), (0, 0)):
+        monkeypatch.setattr(causal, "WIDTH", width)
+        monkeypatch.setattr(causal, "MOST", most)
+        got.append(Counter(tuple(r) for r in judge().collect()))
+    return got, len(turns)
+
+
+def some_models(rng):
+    """Edges and pairs of variables of models with cycles, one with 64 variables, one with 65, one without edges, and null ones."""
+    edges = [(m, rng.randrange(n), rng.randrange(n)) for m, n in enumerate((3, 5, 6, 7, 8, 9)) for _ in range(2 * n)]
+    edges += [(m, i, i + 1) for m, n in ((50, 64), (51, 65)) for i in range(0, n - 1, 2)] + [(50, 0, 63), (51, 0, 64), (51, 64, 1), (None, 1, 2), (1, None, 2), (2, 1, None)]
+    pairs = [(m, *rng.sample(range(10), 2)) for m in range(6) for _ in range(6)] + [(50, 62, 63), (51, 63, 64), (60, 1, 2), (None, 1, 2), (50, 0, 63), (1, 99, 0)]
+    return edges, pairs
+
+
+def test_backdoor_of_packed_models_is_that_of_rounds(spark, monkeypatch):
+    rng = random.Random(5)
+    edges, pairs = some_models(rng)
+    cases = [(i, *p) for i, p in enumerate(pairs)]
+    given = [(i, rng.randrange(12)) for i, *_ in cases for _ in range(3)] + [(0, None), (0, 77), (37, 63), (None, 1)]
+    frames = [spark.createDataFrame(r, s) for r, s in ((edges, "model int, u int, v int"), (cases, "case int, model int, t int, y int"), (given, "case int, z int"))]
+    (one, some, every), turns = judged_both_ways(monkeypatch, lambda: causal.backdoor(*frames), "backdoor_rounds")
+    assert one == some == every and sum(one.values()) == len(cases) and turns == 3
+    assert {k[4] for k in one} == {"IDENTIFIED", "COLLIDER_BIAS", "CONFOUNDED"}
+
+
+def test_models_of_lines_move_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(causal, "kept", lambda df: written.append(plan_of(df)) or kept(df))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert registry.queries()["causal_backdoor"](spark, "/root/testdata/sf0.001").count() > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(written) == 1 and "Bucketed: true" in written[0] and "Exchange" not in written[0]
