@@ -122,6 +122,18 @@ def backdoor_rule(up: np.ndarray, down: np.ndarray, places: np.ndarray, given: n
     return [opens & t == 0, (over | under) & y == 0, count(common), count(common & ~given)]
 
 
+def instruments_rule(up: np.ndarray, down: np.ndarray, places: np.ndarray, given: np.ndarray) -> list[np.ndarray]:
+    """As instruments(): relevance, exclusion and independence."""
+    i, t, y = (alone(places[:, k]) for k in range(3))
+    reach, above, free = i, closed(up), np.where(places[:, 1] < 0, np.uint64(0), ~t)  # nothing is known to be other than a null t
+    while True:
+        new = reach | (joined(down, reach) & free)
+        if (new == reach).all():
+            break
+        reach = new
+    return [joined(down, i) & t != 0, reach & y == 0, joined(above, i) & ~i & joined(above, y) & ~y == 0]
+
+
 def larger(models: DataFrame, *tables: DataFrame) -> list[DataFrame] | None:
     """The rows of tables that belong to packed models that are not small; nothing if there are none."""
     big = models.where("not small").select(F.col("model").alias("big"))
@@ -195,7 +207,17 @@ def backdoor_rounds(edges: DataFrame, cases: DataFrame, given: DataFrame) -> Dat
 
 def instruments(edges: DataFrame, cases: DataFrame) -> DataFrame:
     """(case, relevance, exclusion, independence) of cases (case, model, i, t, y): i causes t directly, reaches y only through t, and shares no ancestor with y."""
-    edges, cases = kept(edges.select("model", "u", "v").where("u <> v").distinct()), kept(cases.select("case", "model", "i", "t", "y"))
+    edges, cases = edges.select("model", "u", "v").where("model is not null and u <> v").distinct(), cases.select("case", "model", "i", "t", "y")
+    models = packed(edges, cases, ["i", "t", "y"])
+    found = judged(models, ["i", "t", "y"], "relevance boolean, exclusion boolean, independence boolean", instruments_rule)
+    rest = larger(models, edges, cases)
+    found = found if rest is None else found.unionByName(instruments_rounds(*rest))
+    return found.withColumn("valid", F.expr("relevance and exclusion and independence"))
+
+
+def instruments_rounds(edges: DataFrame, cases: DataFrame) -> DataFrame:
+    """As instruments(), without valid, by rounds, for models of any size."""
+    edges, cases = kept(edges), kept(cases)
     down = edges.select("model", F.col("u").alias("node"), F.col("v").alias("to"))
     key = ["case", "model", "t", "node"]
     reach = spread(cases.withColumn("node", F.col("i")), lambda now: now.join(down, ["model", "node"]).where("to <> t").select("case", "model", "t", F.col("to").alias("node")), key)
@@ -206,7 +228,7 @@ def instruments(edges: DataFrame, cases: DataFrame) -> DataFrame:
     causes = cases.join(edges.select("model", F.col("u").alias("i"), F.col("v").alias("t"), F.lit(True).alias("causes")), ["model", "i", "t"], "left")
     found = causes.join(direct, "case", "left").join(common, "case", "left")
     relevance, exclusion, independence = F.col("causes").isNotNull(), F.col("direct").isNull(), F.col("common").isNull()
-    return found.select("case", "model", "i", "t", "y", relevance.alias("relevance"), exclusion.alias("exclusion"), independence.alias("independence"), (relevance & exclusion & independence).alias("valid"))
+    return found.select("case", "model", "i", "t", "y", relevance.alias("relevance"), exclusion.alias("exclusion"), independence.alias("independence"))
 
 
 def _lines(spark, folder) -> DataFrame:
@@ -262,12 +284,13 @@ def causal_backdoor(spark, folder):
         not exists (select 1 from up a join up b on a.model = b.model and a.top = b.top where a.model = i.model and a.node = i.i and b.node = i.y) as independence from i""")
 def causal_instruments(spark, folder):
     """Is an order's first line an instrument for its second one's effect on each later one (GRF14)?"""
-    line = _lines(spark, folder)
-    edges = _drives(line)
+    dealt = _dealt(spark, folder)
+    line = dealt.rows
     second = line.where("node > 1").groupBy("model").agg(F.min("node").alias("t"))
     nodes = line.select("model", "node").distinct()
     cases = second.join(nodes.withColumnRenamed("node", "y"), "model").where("t < y").join(nodes.withColumnRenamed("node", "i"), "model").where("i < t")
-    found = instruments(edges, cases.withColumn("case", F.struct("model", "i", "y")))
+    found = instruments(_drives(line), cases.withColumn("case", F.struct("model", "i", "y")))
+    dealt.close()
     return found.select(F.col("model").alias("order_id"), "i", "t", "y", "relevance", "exclusion", "independence")
 
 

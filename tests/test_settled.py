@@ -343,3 +343,19 @@ def test_models_of_lines_move_once(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(written) == 1 and "Bucketed: true" in written[0] and "Exchange" not in written[0]
+
+
+def test_instruments_of_packed_models_are_those_of_rounds(spark, monkeypatch):
+    rng = random.Random(6)
+    edges, pairs = some_models(rng)
+    cases = [(i, m, rng.randrange(9), t, y) for i, (m, t, y) in enumerate(pairs)] + [(90, 1, 0, 1, None), (91, 1, 0, None, 1), (92, 1, None, 0, 1), (93, 2, 3, 3, 1), (94, 2, 3, 1, 3)]
+    frames = [spark.createDataFrame(r, s) for r, s in ((edges, "model int, u int, v int"), (cases, "case int, model int, i int, t int, y int"))]
+    one, some, every = judged_both_ways(monkeypatch, lambda: causal.instruments(*frames), "instruments_rounds")[0]
+    assert one == some == every and sum(one.values()) == len(cases) and {k[5:8] for k in one} >= {(True, True, True), (False, False, False)}
+
+
+def test_instruments_of_lines_move_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(causal, "kept", lambda df: written.append(plan_of(df)) or kept(df))
+    assert registry.queries()["causal_instruments"](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(written) == 1 and "Bucketed: true" in written[0] and "Exchange hashpartitioning" not in written[0]
