@@ -244,8 +244,9 @@ def nearest(points: DataFrame) -> DataFrame:
     """(label, id, other, distance): for each of points (label, id, x, y, z) the nearest of its label, exactly; ties go to the smallest id.
 
     Equal points are one place, so copies meet each other without a search. Places are dealt to cells of a grid; what is found in
-    a place's own and the 26 cells around is the nearest if it is within a cell's side, and other places go on to a round with wider cells."""
-    at = ["label", "x", "y", "z"]
+    a place's own and the 26 cells around is the nearest if it is within a cell's side, and other places go on to a round with wider cells. A cell's places
+    are lists of 256 at most, of which a place takes the nearest, so pairs are no rows; the 27 rows of a place are dealt by their number."""
+    at, cells = ["label", "x", "y", "z"], ["label", "cx", "cy", "cz"]
     places = kept(points.groupBy(*at).agg(F.min("id").alias("first"), F.count("*").alias("n")))
     copies = points.join(places.where("n > 1"), at)
     twins = copies.where("id <> first").groupBy(*at).agg(F.min("id").alias("second"))
@@ -255,14 +256,19 @@ def nearest(points: DataFrame) -> DataFrame:
         return found
     extent = max(*span[:3], 1e-9)
     side, todo = extent / max(1.0, (span[3] / 4) ** (1 / 3)), kept(places.where("n = 1").select("label", F.col("first").alias("id"), "x", "y", "z"))
-    while not todo.isEmpty():
+    while rows := todo.count():
+        parts = parts_of(27 * rows)
         cell = lambda c: F.floor(F.col(c) / side)  # noqa: B023, E731
         asked = todo
         for c in "xyz":
             asked = asked.withColumn(f"c{c}", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: cell(c) + d)))  # noqa: B023
-        held = places.select("label", F.col("first").alias("other"), *[F.col(c).alias(f"o{c}") for c in "xyz"], *[cell(c).alias(f"c{c}") for c in "xyz"])
-        far = F.expr("(x - ox) * (x - ox) + (y - oy) * (y - oy) + (z - oz) * (z - oz)")
-        best = asked.join(held, ["label", "cx", "cy", "cz"]).where("id <> other").groupBy("label", "id").agg(F.min(F.struct(far.alias("d"), "other")).alias("best"))
+        held = places.select("label", *[cell(c).alias(f"c{c}") for c in "xyz"], F.struct(F.col("first").alias("other"), "x", "y", "z").alias("place")).repartition(parts, *cells)
+        turn = F.row_number().over(Window.partitionBy(*cells).orderBy("place.other"))
+        lists = held.withColumn("list", F.floor((turn - 1) / 256)).groupBy(*cells, "list").agg(F.collect_list("place").alias("places"))
+        square = lambda p, c: (F.col(c) - p[c]) * (F.col(c) - p[c])
+        far = F.transform(F.filter("places", lambda p: p["other"] != F.col("id")), lambda p: F.struct((square(p, "x") + square(p, "y") + square(p, "z")).alias("d"), p["other"].alias("other")))
+        near = asked.repartition(parts, *cells).join(lists.hint("merge"), cells).select("label", "id", F.array_min(far).alias("best")).where("best is not null")
+        best = near.repartition(parts, "label", "id").groupBy("label", "id").agg(F.min("best").alias("best"))
         best = best.select("label", "id", "best.other", F.sqrt("best.d").alias("distance"))
         last = side > extent
         settled = kept(best if last else best.where(F.col("distance") < side))

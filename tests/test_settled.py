@@ -359,3 +359,20 @@ def test_instruments_of_lines_move_once(spark, monkeypatch):
     monkeypatch.setattr(causal, "kept", lambda df: written.append(plan_of(df)) or kept(df))
     assert registry.queries()["causal_instruments"](spark, "/root/testdata/sf0.001").count() > 0
     assert len(written) == 1 and "Bucketed: true" in written[0] and "Exchange hashpartitioning" not in written[0]
+
+
+def test_near_places_meet_as_lists(spark, monkeypatch):
+    rng, plans = random.Random(7), []
+    points = [(1, i, *(rng.random() * 1e-3 for _ in "xyz")) for i in range(600)] + [(2, 1000 + i, *(rng.random() for _ in "xyz")) for i in range(40)] + [(3, 5000, 0.5, 0.5, 0.5)]
+    points += [(1, 700 + i, *points[i][2:]) for i in range(5)] + [(2, 2000, 9.0, 9.0, 9.0)]
+    monkeypatch.setattr(network, "kept", lambda df: plans.append(plan_of(df)) or kept(df))
+    monkeypatch.setattr(network, "parts_of", lambda rows: 5 + rows % 7)
+    got = {r.id: (r.other, r.distance) for r in network.nearest(spark.createDataFrame(points, "label int, id long, x double, y double, z double")).collect()}
+    want = {}
+    for label, i, *p in points:
+        far = [(sum((a - b) * (a - b) for a, b in zip(p, q, strict=True)), j) for other, j, *q in points if other == label and j != i]
+        if far:
+            want[i] = min(far)
+    assert {i: o for i, (o, _) in got.items()} == {i: o for i, (_, o) in want.items()} and all(abs(got[i][1] ** 2 - d) < 1e-12 for i, (d, _) in want.items())
+    rounds = [p for p in plans if "places" in p]
+    assert rounds and all("BroadcastHashJoin" not in p and len(re.findall(r"hashpartitioning\([^()]*, \d+\), REPARTITION_BY_NUM", p)) == 3 for p in rounds)
