@@ -150,8 +150,12 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def frequencies(rows: DataFrame, name: str) -> DataFrame:
-    """(name, n, n_docs) of rows with arrays t: how often each value occurs, and in how many rows."""
+def frequencies(docs: DataFrame, values: Column, name: str, chars: int = 4_000_000) -> DataFrame:
+    """(name, n, n_docs) of the values, an array, of documents (doc_id, text): how often each occurs, and in how many rows. Texts are dealt to parts of about so many characters, whose values
+    are counted there, and counts to as many parts, so a task's memory doesn't grow with the table."""
     mark = lambda x, n, docs: F.struct(x.alias(name), F.lit(n).cast("long").alias("n"), F.lit(docs).cast("long").alias("docs"))
     every = F.concat(F.transform("t", lambda x: mark(x, 1, 0)), F.transform(F.array_distinct("t"), lambda x: mark(x, 0, 1)))
-    return rows.select(F.explode(every).alias("x")).groupBy(f"x.{name}").agg(F.sum("x.n").alias("n"), F.sum("x.docs").alias("n_docs"))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(docs.agg(F.sum(F.length("text"))).first()[0] or 0) // chars))
+    dealt = docs.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("part")).repartitionById(parts, F.col("part"))
+    own = dealt.select("part", values.alias("t")).select("part", F.explode(every).alias("x")).groupBy("part", f"x.{name}").agg(F.sum("x.n").alias("n"), F.sum("x.docs").alias("docs"))
+    return own.repartition(parts, name).groupBy(name).agg(F.sum("n").alias("n"), F.sum("docs").alias("n_docs"))

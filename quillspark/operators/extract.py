@@ -84,9 +84,9 @@ def chunk_filter(spark, folder):
 @named("text_bigrams", """with t as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]{2,}') as t from documents), p as (select doc_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) as bigram from t)
     select bigram, count(*) as n, count(distinct doc_id) as n_docs from p group by bigram having count(distinct doc_id) >= 3""")
 def text_bigrams(spark, folder):
-    """Word pairs of three documents or more, in one shuffle."""
+    """Word pairs of three documents or more."""
     pairs = C.once(C.tokens(F.col("text")), lambda t: F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.size(t)), lambda a, b: F.concat_ws(" ", a, b)))
-    return C.frequencies(table(spark, folder, "documents").select(pairs.alias("t")), "bigram").where("n_docs >= 3")
+    return C.frequencies(table(spark, folder, "documents"), pairs, "bigram").where("n_docs >= 3")
 
 
 @named("text_detail", r"""with d as (select doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w, greatest(len(regexp_extract_all(text, '[.!?]+')), 1) as s from documents)

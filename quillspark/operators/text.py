@@ -30,8 +30,8 @@ def text_density(spark, folder):
 
 @named("text_tokens", "with t as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) as token from documents) select token, count(*) as n, count(distinct doc_id) as n_docs from t group by token")
 def text_tokens(spark, folder):
-    """Corpus and document frequency of every token. A row gives its tokens, and each once more for the document, so both come from one shuffle."""
-    return C.frequencies(table(spark, folder, "documents").select(C.tokens(F.col("text")).alias("t")), "token")
+    """Corpus and document frequency of every token. A row gives its tokens, and each once more for the document, so both are sums of the same rows."""
+    return C.frequencies(table(spark, folder, "documents"), C.tokens(F.col("text")), "token")
 
 
 @named("text_token_estimate", "select source, count(*) as docs, sum(len(text))::bigint as chars, round(sum(len(text) / 4.0), 2) as tokens from documents group by source")

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark import registry
+from quillspark.functions import columns
 from quillspark.operators import answers, causal, graph, network, postings, sentences, sets, similarity, tags, walks
 from quillspark.operators.network import components, kept, kept_at
 from quillspark.streaming import ordered
@@ -376,3 +377,15 @@ def test_near_places_meet_as_lists(spark, monkeypatch):
     assert {i: o for i, (o, _) in got.items()} == {i: o for i, (_, o) in want.items()} and all(abs(got[i][1] ** 2 - d) < 1e-12 for i, (d, _) in want.items())
     rounds = [p for p in plans if "places" in p]
     assert rounds and all("BroadcastHashJoin" not in p and len(re.findall(r"hashpartitioning\([^()]*, \d+\), REPARTITION_BY_NUM", p)) == 3 for p in rounds)
+
+
+def test_frequencies_are_dealt_by_the_length_of_texts(spark):
+    texts = [(i, " ".join(f"w{(i * j) % 13}" for j in range(1, 9))) for i in range(60)] + [(3, "w1 w1 w2"), (3, "w1 w1 w2"), (None, "w5 w5"), (99, None), (98, "")]
+    df = columns.frequencies(spark.createDataFrame(texts, "doc_id long, text string"), F.filter(F.split("text", " "), lambda x: x != ""), "w", 100)
+    parts = -(-sum(len(t or "") for _, t in texts) // 100)
+    assert len(re.findall(rf"Exchange \w+\(.*, {parts}\), REPARTITION_BY_NUM", plan_of(df))) == 2 and plan_of(df).count("Exchange") == 2
+    n, docs = Counter(), Counter()
+    for _, t in texts:
+        n.update((t or "").split())
+        docs.update(set((t or "").split()))
+    assert {r.w: (r.n, r.n_docs) for r in df.collect()} == {w: (n[w], docs[w]) for w in n}
