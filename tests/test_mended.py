@@ -72,3 +72,25 @@ def test_sparse_scores_are_rounded_from_exact_sums(spark, tmp_path):
             halves += next(s for s, d in sums if d == i) % 100 == 50
     got = {(r.item_id, r["rank"]): (r.doc_id, r.score) for r in registry.queries()["retrieve_sparse"](spark, str(tmp_path)).collect()}
     assert got == want and halves > 5
+
+
+@pytest.mark.parametrize("name, share", [("dup_greedy", 0.8)])
+def test_keep_first_shuffles_no_tokens(spark, tmp_path, name, share):
+    rng = random.Random(9)
+    texts = [[rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("aeiou") + str(rng.randrange(9)) for _ in range(90)] for _ in range(300)]
+    texts = [list(texts[rng.randrange(i)]) if i % 5 == 4 else t for i, t in enumerate(texts)]
+    for t in texts[4::5]:
+        for _ in range(rng.randrange(3)):
+            t[rng.randrange(len(t))] = "new"
+    spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)] + [(900, ""), (901, None)], "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    kept, held = {}, []
+    for i, t in enumerate(texts):
+        s = set(zip(t, t[1:], t[2:], strict=False)) if name == "dup_greedy" else set(t)
+        kept[i] = all(len(s & x) / len(s | x) <= share for x in held)
+        if kept[i]:
+            held.append(s)
+    before = shuffled(spark)
+    got = {r.doc_id: r.kept for r in registry.queries()[name](spark, str(tmp_path)).collect()}
+    moved = sum(n for k, n in shuffled(spark).items() if k not in before)
+    assert got == kept | {900: True, 901: name != "dup_greedy"} and 0 < sum(not k for k in kept.values())
+    assert moved < 10_000  # of 27,000 tokens
