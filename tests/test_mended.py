@@ -74,7 +74,7 @@ def test_sparse_scores_are_rounded_from_exact_sums(spark, tmp_path):
     assert got == want and halves > 5
 
 
-@pytest.mark.parametrize("name, share", [("dup_greedy", 0.8)])
+@pytest.mark.parametrize("name, share", [("dup_greedy", 0.8), ("dup_greedy_words", 0.92)])
 def test_keep_first_shuffles_no_tokens(spark, tmp_path, name, share):
     rng = random.Random(9)
     texts = [[rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("aeiou") + str(rng.randrange(9)) for _ in range(90)] for _ in range(300)]
