@@ -13,7 +13,7 @@ from quillspark.operators import sets
 
 
 def shuffled(spark):
-    """Rows written to shuffles so far."""
+    """Rows written to shuffles so far, by stage."""
     sc = spark.sparkContext._jsc.sc()
     sc.listenerBus().waitUntilEmpty()
     stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
@@ -94,3 +94,16 @@ def test_keep_first_shuffles_no_tokens(spark, tmp_path, name, share):
     moved = sum(n for k, n in shuffled(spark).items() if k not in before)
     assert got == kept | {900: True, 901: name != "dup_greedy"} and 0 < sum(not k for k in kept.values())
     assert moved < 10_000  # of 27,000 tokens
+
+
+def test_sentences_are_not_shuffled_for_each_block_they_meet(spark):
+    rng = random.Random(5)
+    words = [f"{rng.choice('bcdfgh')}{rng.choice('aeiou')}{i:03}" for i in range(400)]
+    docs = spark.createDataFrame([(i, " ".join(rng.sample(words, 90)) + (" increases" if i % 2 else " decreases")) for i in range(240)], "doc_id long, text string").coalesce(2)
+    plans, got = [], []
+    for bucket in (1000, 80):
+        found = sets.contradictions(docs, sets.OPPOSED, bucket=bucket)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        got.append({r.claim: (r.n_links, r.first) for r in found.collect()})
+    assert got[0] == got[1] and sum(n for n, _ in got[0].values()) > 10_000
+    assert not any("CoGroup" in p for p in plans)  # blocks that meet were shuffled for a cogroup
