@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark import registry
-from quillspark.operators import sets
+from quillspark.operators import sets, walks
+from quillspark.operators.network import kept_at
 
 
 def shuffled(spark):
@@ -107,3 +108,17 @@ def test_sentences_are_not_shuffled_for_each_block_they_meet(spark):
         got.append({r.claim: (r.n_links, r.first) for r in found.collect()})
     assert got[0] == got[1] and sum(n for n, _ in got[0].values()) > 10_000
     assert not any("CoGroup" in p for p in plans)  # blocks that meet were shuffled for a cogroup
+
+
+def test_clusters_are_sought_by_numbers_with_the_rows_of_names(spark, monkeypatch):
+    folder, held = "/root/testdata/sf0.001", []
+
+    def noted(df):
+        held.append(dict(df.dtypes))
+        return kept_at(df)
+
+    want = {r.node: r.cluster for r in walks.bounded_clusters(walks._supply(spark, folder)).collect()}
+    monkeypatch.setattr(walks, "kept_at", noted)
+    got = {r.node: r.cluster for r in registry.queries()["graph_clusters"](spark, folder).collect()}
+    assert got == want and len(set(got.values())) > 5
+    assert held and all(x["a"] == x["b"] == "bigint" for x in held)
